@@ -273,7 +273,7 @@ def hamming_components(fps: DataFrame, radius: int = 4, parts: int = 4, block: i
                         yield as_batch(schema, keys, np.repeat(fp[at], len(m)), np.ones(len(keys), np.int8))
 
     rows_of = written(fps.mapInArrow(spread, "key long, fp long, role byte"), "probes")
-    size = rows_of.groupBy("key").agg(F.count_if("role = 0").alias("n_i"), F.count_if("role = 1").alias("n_p"))
+    size = rows_of.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("n_i"), F.count_if(F.col("role") == 1).alias("n_p"))
     size = size.where("n_i > 0 and n_p > 0 and n_i + n_p > 2")
     blocks = size.select(
         "key", F.ceil(F.col("n_i") / block).cast("int").alias("b_i"), F.ceil(F.col("n_p") / block).cast("int").alias("b_p")
