@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import read
 
 
+def tokenizer_path(name: str) -> str:
+    """Vocabulary files are named, never copied; every worker opens its own."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprint_hex, near_duplicates
 
@@ -15,5 +22,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess
+
+    return assess(read(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048, end_id=0)
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
