@@ -136,7 +136,7 @@ def estimates(rows: DataFrame, min_group: int, h: float = 0.75, steps: int = 3)
     first = written(med.join(mad, "g"), "medians")
     z = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) / (1.4826 * F.col(f"a{i}") + NOISE[i]) for i in range(P)]
     tried = rows.join(first, "g").select(
-        "g", *_X, F.inline(F.array(F.struct(F.lit(0).alias("start"), reduce(add, [a * a for a in z]).alias("d2")), F.struct(F.lit(1), F.pow(F.greatest(*z), 2))))
+        "g", *_X, F.inline(F.array(F.struct(F.lit(0).alias("start"), reduce(add, [a * a for a in z]).alias("d2")), F.struct(F.lit(1).alias("start"), F.pow(F.greatest(*z), F.lit(2.0)).alias("d2"))))
     )
     params = written(_factor(_moments(tried, 0.5)), "mcd")
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -165,14 +165,14 @@ def assess(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    cutoff: float = 45.0,
+    cutoff: float = 25.745,
     min_group: int = 200,
     h: float = 0.75,
 ) -> DataFrame:
     """One row per document: ``keep``, the counts, base_failed, distance, kept.
 
     ``cutoff`` bounds the squared distance (chi-squared with five degrees of freedom
-    exceeds 45 once in 70 million). Rows that fail the base rules are rejected and take
+    exceeds 25.745 once in 10,000). Rows that fail the base rules are rejected and take
     no part in the estimates. Null text counts as empty and fails; null languages and
     sources are groups of their own; where no group has ``min_group`` rows (an empty or
     small table), the base rules alone decide. Repeated rows are judged alike. Ids may
