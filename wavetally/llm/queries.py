@@ -34,9 +34,28 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048, end_id=0)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .toxicity import assess, train
+
+    docs = read(spark, sf_dir, "documents")
+    scorer = train(docs, read(spark, sf_dir, "labels"), ~held_out())
+    return assess(docs, scorer, ["doc_id", held_out().alias("held_out")])
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .langid import identify, learn_profiles
+
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, learn_profiles(docs, ~held_out()), ["doc_id", held_out().alias("held_out")])
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
