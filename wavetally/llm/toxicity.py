@@ -24,8 +24,8 @@ DECAY, SPAN, LONGEST = 0.75, 7, 24
 CLASSES = 32
 #: Words of one text that are looked up at a time, and entries of the dictionary.
 BLOCK, KNOWN = 200_000, 400_000
-#: Stands in for "no word" in a text of fewer than two words.
-NOTHING = -1.5
+#: So many of a text's most suspicious words count; NOTHING stands in for missing ones.
+TOP, NOTHING = 3, -1.5
 
 
 def _classes() -> np.ndarray:
@@ -82,16 +82,16 @@ def _features(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 def plain(word: bytes) -> list[bytes]:
-    """A word without marks around it, lower case; over ``LONGEST`` bytes, overlapping
-    parts that together hold every span of the whole word."""
-    w = word.lower().strip(STRIP)
+    """A word without marks around it, lower case, after a sign for its start; over
+    ``LONGEST`` bytes, overlapping parts that together hold every span of the whole word."""
+    w = b"^" + word.lower().strip(STRIP)
     return [w] if len(w) <= LONGEST else [w[k : k + LONGEST] for k in range(0, len(w) - SPAN, LONGEST - SPAN)]
 
 
 class Scorer:
     """Kernel expansion sum_l beta_l k(word, landmark_l) + bias, by subsequence weights."""
 
-    def __init__(self, table: np.ndarray, bias: float, link: tuple[float, float, float]):
+    def __init__(self, table: np.ndarray, bias: float, link: tuple[float, ...]):
         self.table, self.bias, self.link = table, bias, link
         self.known: dict[bytes, float] = {}
 
@@ -108,9 +108,10 @@ class Scorer:
         starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
         return np.maximum.reduceat(self.raw(flat), starts).tolist() if flat else []
 
-    def top_two(self, text: bytes) -> tuple[float, float]:
-        """Scores of the two most suspicious words, repeats counted."""
-        tokens, best = text.split(), [NOTHING, NOTHING]
+    def evidence(self, text: bytes) -> list[float]:
+        """Scores of the most suspicious words, repeats counted, and the text's length (a
+        long text meets such words by chance)."""
+        tokens, best = text.split(), [NOTHING] * TOP
         for at in range(0, len(tokens), BLOCK):
             block = tokens[at : at + BLOCK]
             if missing := list(set(filterfalse(self.known.__contains__, block))):
@@ -119,14 +120,12 @@ class Scorer:
                     missing = list(set(block))
                 self.known.update(zip(missing, self.words(missing), strict=True))
             v = np.fromiter(map(self.known.__getitem__, block), np.float64, len(block))
-            best += np.sort(v)[-2:].tolist() if len(v) < 64 else np.partition(v, len(v) - 2)[-2:].tolist()
-        best.sort()
-        return best[-1], best[-2]
+            best += (np.partition(v, len(v) - TOP) if len(v) > TOP else v)[-TOP:].tolist()
+        return [*sorted(best)[-TOP:], float(np.log1p(len(tokens)))]
 
     def score(self, text: bytes) -> float:
-        a, b = self.top_two(text)
-        w0, w1, w2 = self.link
-        return float(1 / (1 + np.exp(-np.clip(w0 + w1 * a + w2 * b, -30, 30))))
+        z = self.link[0] + sum(w * e for w, e in zip(self.link[1:], self.evidence(text), strict=True))
+        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
 # ---------------------------------------------------------------- training
@@ -186,7 +185,7 @@ def fit(words: list[bytes], bad: np.ndarray, landmarks: int = 160, ridge: float
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, most_words: int = 12_000) -> Scorer:
     """Fits on about ``sample`` labelled documents (chosen by a hash of their id, whole
-    texts) for which ``use`` holds. The driver gets at most ``most_words`` words and two
+    texts) for which ``use`` holds. The driver gets at most ``most_words`` words and a few
     numbers of each sampled document.
 
     Words much more frequent in toxic documents (G squared) are taken for insults, a hashed
@@ -206,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
             n = [0, 0]
             for bad, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[bad] += 1
-                for w in {p for t in set(text.split()) for p in plain(t) if len(p) > 2}:
+                for w in {p for t in set(text.split()) for p in plain(t) if len(p) > 3}:
                     counts.setdefault(w, [0, 0])[bad] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b"", *counts], pa.binary()), pa.array([n[0], *(c[0] for c in counts.values())]), pa.array([n[1], *(c[1] for c in counts.values())])],
@@ -216,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     counted = texts.mapInArrow(seen, "w binary, good long, bad long").groupBy("w").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     total = counted.where("octet_length(w) = 0").first()
     if total is None or not total["b"] or not total["g"]:
-        return Scorer(np.zeros(TABLE), -1.0, (-4.0, 0.0, 0.0))
+        return Scorer(np.zeros(TABLE), -1.0, (-4.0, *[0.0] * (TOP + 1)))
     n_g, n_b = F.lit(float(total["g"])), F.lit(float(total["b"]))
     both, all_ = F.col("g") + F.col("b"), n_g + n_b
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
@@ -226,19 +225,20 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     others = told.where((F.col("g2") <= 6) & (F.col("g") > 0)).orderBy(F.xxhash64("w"), "w").limit(most_words - most_words // 6)
     words = [(bytes(r[0]), True) for r in insults.select("w").collect()] + [(bytes(r[0]), False) for r in others.select("w").collect()]
     table, bias = fit([w for w, _ in words], np.array([b for _, b in words], bool))
-    raw = Scorer(table, bias, (0.0, 0.0, 0.0))
+    raw = Scorer(table, bias, ())
 
     def tops(batches):
         for b in batches:
-            two = np.array([raw.top_two(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["bad", "a", "b"])
+            found = np.array([raw.evidence(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, TOP + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(TOP + 1))], names=["bad", *(f"e{k}" for k in range(TOP + 1))])
 
-    got = texts.mapInArrow(tops, "bad int, a double, b double").toPandas().sort_values(["bad", "a", "b"]).to_numpy()
+    got = texts.mapInArrow(tops, "bad int, " + ", ".join(f"e{k} double" for k in range(TOP + 1))).toPandas()
+    got = got.sort_values(list(got.columns)).to_numpy()
     x, y = np.column_stack([np.ones(len(got)), got[:, 1:]]), got[:, 0]
-    w = np.array([0.0, 1.0, 1.0])
-    for _ in range(50):  # logistic regression with a small ridge
+    w = np.zeros(x.shape[1])
+    for _ in range(100):  # logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
