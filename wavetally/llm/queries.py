@@ -34,6 +34,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048, end_id=0)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import Model, digest_columns, scan
+
+    found = scan(read(spark, sf_dir, "documents"), ["doc_id"], Model())
+    return found.select("doc_id", *[c.alias(k) for k, c in digest_columns().items()])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import held_out
     from .toxicity import assess, train
@@ -55,6 +62,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_scans": op4_secret_scans,
     "op8_toxicity": op8_toxicity,
     "op10_language_id": op10_language_id,
 }
