@@ -41,6 +41,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(k) for k, c in digest_columns().items()])
 
 
+def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenautomaton import roundtrip
+
+    return roundtrip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ["doc_id"])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import held_out
     from .toxicity import assess, train
@@ -63,6 +69,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
+    "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_toxicity": op8_toxicity,
     "op10_language_id": op10_language_id,
 }
