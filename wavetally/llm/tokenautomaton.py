@@ -6,10 +6,12 @@ for v, u leads to the copy from now on, and the new token uv gets an arc from ev
 with an arc for u, to where v led. A token sequence is what BPE yields if and only if the
 automaton has a path for it.
 
-Two facts keep the tables small: an arc's target depends on its token alone, and a copied
-state differs from its origin in one forbidden token, while a token made later is allowed
-where its left part is. So a state is (origin, time of copying, forbidden token), a token
-is (time of making, left part, target), and an arc test follows a few table entries.
+An arc's target depends on its token alone, so states are named by the token that leads to
+them: the state of token a is born with a (as the state that a's right part had then), and
+every later merge (a, v) copies it once more, forbidding v. A token t made later than a has
+an arc where its left part had one when t was made. So the copies of a state need no rows
+of their own: the table of (state, forbidden token, time of the copy), with the times and
+parts of all tokens, answers an arc test in at most as many look-ups as a and t have parts.
 
 Each prefix of a word has one path; the last token of a prefix is the one token that ends
 there and has an arc from the state of the prefix before it. Words go through the tables
@@ -38,45 +40,45 @@ class Automaton:
         if v.suffix:
             raise ValueError("word-end vocabularies have other start symbols")
         self.v = v
-        made = np.full(v.size, NEVER, np.int32)  # time of making; bytes at -1
-        made[v.first] = -1
-        left = np.zeros(v.size, np.int32)
-        target = np.zeros(v.size, np.int32)
-        origin, copied, forbidden = [0], [-1], [-1]
+        made = [int(NEVER)] * v.size  # time of making; bytes at -1
+        for t in v.first.tolist():
+            made[t] = -1
+        left, right, copies = [0] * v.size, [0] * v.size, {}
         for k, (a, b, c) in enumerate(zip(v.left.tolist(), v.right.tolist(), v.merged.tolist(), strict=True)):
-            if not self._arc_at(made, left, origin, copied, forbidden, int(target[a]), b):
-                continue  # no tokenization has a then b any more: the token cannot arise
-            made[c], left[c], target[c] = k, a, target[b]
-            origin.append(int(target[a]))
-            copied.append(k)
-            forbidden.append(b)
-            target[a] = len(origin) - 1
-        self.made, self.left, self.target = made, left, target
-        self.origin, self.copied, self.forbidden = (np.array(x, np.int32) for x in (origin, copied, forbidden))
+            if self._arc(made, left, right, copies, a, b):  # else no tokenization has a then b: c cannot arise
+                made[c], left[c], right[c], copies[a, b] = k, a, b, k
+        self.made, self.left, self.right = (np.array(x, np.int32) for x in (made, left, right))
+        pairs = np.array(list(copies), np.int64).reshape(-1, 2)
+        self.copies = Pairs(pairs[:, 0], pairs[:, 1], np.array(list(copies.values()), np.int32))
         self._trie()
 
     @staticmethod
-    def _arc_at(made, left, origin, copied, forbidden, s: int, t: int) -> bool:
-        while s:
-            if made[t] < copied[s]:
-                if t == forbidden[s]:
-                    return False
-                s = origin[s]
-            else:
-                t = left[t]
-        return True
-
-    def arcs(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Which states s have an arc for tokens t."""
-        out, todo = np.ones(len(s), bool), np.flatnonzero(s != 0)
-        s, t = s[todo], t[todo]
+    def _arc(made, left, right, copies, a: int, t: int) -> bool:
+        until = int(NEVER)
+        while True:
+            if copies.get((a, t), until) < until:
+                return False
+            if made[a] < 0 and made[t] < 0:
+                return True
+            if made[t] >= made[a]:  # t's arcs were made after the copy of the same merge
+                t, until = left[t], made[t] + 1
+            else:  # a's state was born before it
+                a, until = right[a], made[a]
+
+    def arcs(self, a: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Which states (of last tokens a, or -1 at the start) have an arc for tokens t."""
+        out, todo = np.ones(len(a), bool), np.flatnonzero(a >= 0)
+        a, t = a[todo], t[todo]
+        until = np.full(len(todo), NEVER, np.int32)
         while len(todo):
-            later = self.made[t] >= self.copied[s]
-            banned = ~later & (t == self.forbidden[s])
+            k = self.copies.get(a, t)
+            banned = (k >= 0) & (k < until)
             out[todo[banned]] = False
-            s, t = np.where(later, s, self.origin[s]), np.where(later, self.left[t], t)
-            go = ~banned & (s != 0)
-            todo, s, t = todo[go], s[go], t[go]
+            made_a, made_t = self.made[a], self.made[t]
+            later = made_t >= made_a
+            go = ~banned & (np.maximum(made_a, made_t) >= 0)
+            todo, a, t, later, until = todo[go], a[go], t[go], later[go], np.where(later, made_t + 1, made_a)[go]
+            a, t = np.where(later, a, self.right[a]), np.where(later, self.left[t], t)
         return out
 
     def _trie(self) -> None:
@@ -109,7 +111,6 @@ class Automaton:
         # ``last[base + w + i]``: token that ends after i bytes of word w; ``length`` its bytes
         first = base + np.arange(n)
         last, length = np.full(len(data) + n, -1, np.int32), np.zeros(len(data) + n, np.int32)
-        state = np.zeros(len(data) + n, np.int32)
         words_by_length = np.argsort(-lens, kind="stable")
         open_w = np.zeros(0, np.int64)  # word, start and trie node of open substrings
         open_at, node = np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -125,9 +126,9 @@ class Automaton:
             t = self.token[node]
             hit = np.flatnonzero(t >= 0)
             before = first[open_w[hit]] + open_at[hit]
-            good = hit[self.arcs(state[before], t[hit])]
+            good = hit[self.arcs(last[before], t[hit])]
             to = first[open_w[good]] + i + 1
-            last[to], length[to], state[to] = t[good], i + 1 - open_at[good], self.target[t[good]]
+            last[to], length[to] = t[good], i + 1 - open_at[good]
         # back from the end of each word
         at, w, out_t, out_w, out_p = lens.copy(), np.arange(n), [], [], []
         live = at > 0
