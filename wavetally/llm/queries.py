@@ -56,6 +56,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(docs, scorer, ["doc_id", held_out().alias("held_out")])
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import read_files, store
+
+    return read_files(spark, store(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import held_out
     from .langid import identify, learn_profiles
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_toxicity": op8_toxicity,
+    "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
