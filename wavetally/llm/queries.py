@@ -47,6 +47,19 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ["doc_id"])
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .capfilter import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), cut=0.98)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    out = shard(read(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import held_out
     from .toxicity import assess, train
@@ -76,6 +89,8 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
