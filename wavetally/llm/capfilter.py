@@ -44,6 +44,20 @@ class ProductCode:
         both = lambda p, q: (p[:, :, None] + q[:, None, :]).reshape(len(x), -1)
         return both(s[0], s[1]), both(s[2], s[3])
 
+    def decode_all(self, unit: np.ndarray, alpha: float, least: int, step: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+        """As ``decode``; the threshold of rows with fewer than ``least`` filters goes down in
+        steps until they have as many, which only adds filters: no vector is left unseen."""
+        row, f = self.decode(unit, alpha)
+        todo = np.flatnonzero(np.bincount(row, minlength=len(unit)) < least)
+        while len(todo) and alpha > -1:
+            alpha -= step
+            more, g = self.decode(unit[todo], alpha)
+            keep = ~np.isin(row, todo)
+            row, f = np.concatenate((row[keep], todo[more])), np.concatenate((f[keep], g))
+            todo = todo[np.bincount(more, minlength=len(todo)) < least]
+        order = np.lexsort((f, row))
+        return row[order], f[order]
+
     def decode(self, unit: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every filter that a row exceeds alpha with, in order."""
         rows, filters, width = [], [], self.size**2
@@ -137,13 +151,14 @@ def _compare(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.Recor
         yield out
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cut: float = 0.98, filters: float = 40.0, sample: int = 2000, block: int = 512) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cut: float = 0.98, filters: float = 40.0, least: int = 24, sample: int = 2000, block: int = 512) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Only vectors of equal, non-null label link. Vectors that are null, zero, of another
     length than most, or hold null or non-finite components link with nothing: no links,
     their own id as component. ``filters`` is the mean number of filters of a vector, fitted
-    on about ``sample`` distinct vectors chosen by hash; every vector is indexed. Equal
+    on about ``sample`` distinct vectors chosen by hash; every vector is indexed and has
+    ``least`` filters at least. Equal
     vectors are one node with a weight, so a hot vector costs no pairs. Null ids keep their
     row; repeated ids and rows are rows of their own; other columns are not read.
     """
@@ -169,7 +184,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 x = np.array(part.column("vec").to_pylist(), np.float64)
-                row, f = code.decode(unit(x), alpha)
+                row, f = code.decode_all(unit(x), alpha, least)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(x)))))
                 yield part.append_column("filters", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int64())))
 

@@ -261,3 +261,16 @@ def assess(docs: DataFrame, scorer: Scorer, keep: list[Column | str], text_col:
             yield out.append_column("predicted", pa.array((s >= cut).astype(np.int32)))
 
     return docs.select(*keep, text_bytes(text_col).alias("_text")).mapInArrow(of, f"{schema}, score double, predicted int")
+
+
+def reject(docs: DataFrame, scorer: Scorer, text_col: str = "text", cut: float = 0.3) -> DataFrame:
+    """``docs`` without the rows whose text scores ``cut`` or more; all columns stay."""
+    at, model = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast((scorer.table.astype(np.float32), scorer.bias, scorer.link))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = Scorer(*model.value)
+        for b in batches:
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array([mine.score(t or b"") < cut for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
