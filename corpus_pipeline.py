@@ -29,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, fingerprints
-    within four bits (see README for what that finds)."""
+    within eight bits (see README for what that finds)."""
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    groups = simhash.near_duplicates(keyed.select(F.struct("doc_id", "_hash").alias("key"), "text"), id_col="key", shingle=5, radius=4)
+    groups = simhash.near_duplicates(keyed.select(F.struct("doc_id", "_hash").alias("key"), "text"), id_col="key", shingle=5, radius=8)
     stay = groups.where(F.col("key") == F.col("component_id")).select(F.col("key.doc_id").alias("_id"), F.col("key._hash").alias("_h")).distinct()
     left = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
     # Repeated rows have one key: the first of them stays.

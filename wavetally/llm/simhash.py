@@ -272,16 +272,18 @@ def hamming_components(fps: DataFrame, radius: int = 4, parts: int = 4, block: i
                         keys = (v[at, k][:, None] ^ m[None, :]).ravel() | (k << 32)
                         yield as_batch(schema, keys, np.repeat(fp[at], len(m)), np.ones(len(keys), np.int8))
 
-    rows_of = written(fps.mapInArrow(spread, "key long, fp long, role byte"), "probes")
+    # Probes are cheaper to make twice than to keep.
+    rows_of = fps.mapInArrow(spread, "key long, fp long, role byte")
     size = rows_of.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("n_i"), F.count_if(F.col("role") == 1).alias("n_p"))
-    size = size.where("n_i > 0 and n_p > 0 and n_i + n_p > 2")
-    blocks = size.select(
-        "key", F.ceil(F.col("n_i") / block).cast("int").alias("b_i"), F.ceil(F.col("n_p") / block).cast("int").alias("b_p")
-    )
+    parts_of = lambda n: F.ceil(F.col(n) / block).cast("int")
+    # Only buckets of more than one block: at most rows / block of them.
+    hot = size.where(F.greatest("n_i", "n_p") > block).select("key", parts_of("n_i").alias("b_i"), parts_of("n_p").alias("b_p"))
     own = lambda n: F.pmod(F.xxhash64("fp", F.lit(7)), F.col(n)).cast("int")
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     dealt = (
-        rows_of.join(blocks, "key")
+        rows_of.join(hot, "key", "left")
+        .withColumn("b_i", F.greatest(F.coalesce("b_i", F.lit(1)), F.lit(1)))
+        .withColumn("b_p", F.greatest(F.coalesce("b_p", F.lit(1)), F.lit(1)))
         .withColumn("x", F.explode(F.when(F.col("role") == 0, F.array(own("b_i"))).otherwise(to("b_i"))))
         .withColumn("y", F.explode(F.when(F.col("role") == 1, F.array(own("b_p"))).otherwise(to("b_p"))))
         .select("key", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "fp", "role")
