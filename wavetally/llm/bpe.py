@@ -190,6 +190,7 @@ class TextEncoder:
         self.words = words or Merger(v).words
         self.known: dict[bytes, bytes | None] = {}
         self.firsts: dict[bytes, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
         self.marks = [t.encode() for t in v.special]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, v.special)) + ")")
 
@@ -235,15 +236,15 @@ class TextEncoder:
         self.known.update(zip(plain, self._cut(tokens, ends), strict=True))
 
     def _cut(self, tokens: list[str], ends: np.ndarray) -> list[bytes]:
-        """The ids of runs of tokens that end at ``ends``; each distinct token is encoded once."""
-        place: dict[str, int] = {}
-        at = np.fromiter((place.setdefault(t, len(place)) for t in tokens), np.int64, len(tokens))
-        ids, n = self.words([t.encode() for t in place])
-        start = np.cumsum(n) - n
-        size = n[at]
-        total = np.cumsum(size)
-        data = ids[np.repeat(start[at] - total + size, size) + np.arange(total[-1] if len(total) else 0)].astype("<u2").tobytes()
-        stops = (np.concatenate(([0], total))[ends] * 2).tolist()
+        """The ids of runs of tokens that end at ``ends``; tokens are kept like pieces."""
+        if new := list(dict.fromkeys(filterfalse(self.tokens.__contains__, tokens))):
+            ids, n = self.words([t.encode() for t in new])
+            stops = (np.cumsum(n) * 2).tolist()
+            data = ids.astype("<u2").tobytes()
+            self.tokens.update(zip(new, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+        found = list(map(self.tokens.__getitem__, tokens))
+        total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        data, stops = b"".join(found), total[ends].tolist()
         return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
@@ -251,6 +252,8 @@ class TextEncoder:
         if len(known) > self.most:
             known.clear()
             firsts.clear()
+        if len(self.tokens) > self.most:
+            self.tokens.clear()
         split, missing = [], set()
         for t in texts:
             pieces = t.split() if self.v.lower else t.split(b" ")

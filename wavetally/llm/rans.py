@@ -24,9 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary  # noqa: F401  (the vocabulary type behind ``codec``)
+from .bpe import text_encoder
 from .common import as_batch, chunks, drop_written, new_path, text_bytes, written
-from .tokenautomaton import codec
 
 SCALE, LOW = 20, np.uint64(1 << 31)
 LANES, STEPS, BLOCK = 1024, 256, 1 << 19
@@ -121,7 +120,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = codec(vocabulary_path)
+        encoder = text_encoder(vocabulary_path)
         part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
         for b in chunks(batches, "text"):
             data = [d + end for d in encoder.texts(b.column("text").to_pylist())]
