@@ -156,12 +156,8 @@ def _gram(words: list[bytes], columns: np.ndarray, place: np.ndarray) -> np.ndar
     return out
 
 
-def fit(words: list[bytes], bad: np.ndarray, landmarks: int = 160, ridge: float = 0.02) -> tuple[np.ndarray, float]:
-    """words and which of them are insults, most telling first. Returns table and bias."""
-    if not bad.any() or bad.all():
-        return np.zeros(TABLE), -1.0
-    half = landmarks // 2
-    marks = [w for w, b in zip(words, bad, strict=True) if b][:half] + [w for w, b in zip(words, bad, strict=True) if not b][: landmarks - half]
+def _expansion(words: list[bytes], bad: np.ndarray, marks: list[bytes], ridge: float) -> tuple[np.ndarray, float]:
+    """Subsequence weights and bias of the machine over the Nyström features of ``marks``."""
     used: dict[int, np.ndarray] = {}
     for which, keys, weights in _features(marks):
         for row, ks in zip(which, keys, strict=True):
@@ -183,13 +179,29 @@ def fit(words: list[bytes], bad: np.ndarray, landmarks: int = 160, ridge: float
     return table, float(theta[-1])
 
 
+def fit(words: list[bytes], bad: np.ndarray, landmarks: int = 480, ridge: float = 0.005) -> tuple[np.ndarray, float]:
+    """words and which of them are insults, most telling first. Half of the landmarks are
+    insults; the other half is refilled, after a first fit, with the clean words that come
+    nearest to insults. Returns table and bias."""
+    if not bad.any() or bad.all():
+        return np.zeros(TABLE), -1.0
+    half = landmarks // 2
+    insults, clean = ([w for w, b in zip(words, bad, strict=True) if b == kind] for kind in (True, False))
+    table, bias = _expansion(words, bad, insults[: half // 2] + clean[: half // 2], ridge)
+    hard = np.argsort(-Scorer(table, bias, ()).raw(clean), kind="stable")[: half // 2]
+    near = [clean[k] for k in hard.tolist()]
+    marks = list(dict.fromkeys(insults[:half] + near + clean[: half - len(near)]))
+    return _expansion(words, bad, marks, ridge)
+
+
 def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, most_words: int = 12_000) -> Scorer:
     """Fits on about ``sample`` labelled documents (chosen by a hash of their id, whole
     texts) for which ``use`` holds. The driver gets at most ``most_words`` words and a few
     numbers of each sampled document.
 
-    Words much more frequent in toxic documents (G squared) are taken for insults, a hashed
-    choice of the others for the rest. Null labels and labels of missing documents are left
+    Words much more frequent in toxic documents (G squared), also when each pair of
+    neighbours counts once, are taken for insults; the most
+    frequent others and a hashed choice of them for the rest. Null labels and labels of missing documents are left
     out; a document with several labels is toxic if one says so.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & use).groupBy(id_col).agg(F.max(label_col).alias("bad"))
@@ -221,9 +233,40 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     g2 = 2 * (part(F.col("b"), both * n_b / all_) + part(F.col("g"), both * n_g / all_))
     told = counted.where("octet_length(w) > 0").withColumn("g2", g2).withColumn("more", F.col("b") * n_g > 3 * F.col("g") * n_b)
-    insults = told.where((F.col("g2") > 24) & F.col("more")).orderBy(F.desc("g2"), "w").limit(most_words // 6)
-    others = told.where((F.col("g2") <= 6) & (F.col("g") > 0)).orderBy(F.xxhash64("w"), "w").limit(most_words - most_words // 6)
-    words = [(bytes(r[0]), True) for r in insults.select("w").collect()] + [(bytes(r[0]), False) for r in others.select("w").collect()]
+    likely = told.where((F.col("g2") > 24) & F.col("more")).orderBy(F.desc("g2"), "w").limit(most_words // 2).collect()
+    named = docs.sparkSession.sparkContext.broadcast({bytes(r["w"]) for r in likely})
+
+    def around(batches):
+        wanted, of_token = named.value, {}
+        for b in batches:
+            found = []
+            for bad, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = text.split() if bad else []
+                for i, t in enumerate(tokens):
+                    if t not in of_token:
+                        of_token[t] = [p for p in plain(t) if p in wanted]
+                    found += [(p, b" ".join(tokens[max(0, i - 1) : i] + tokens[i + 1 : i + 2])) for p in of_token[t]]
+                if len(of_token) > KNOWN:
+                    of_token.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["w", "near"])
+
+    # Copies of a toxic document lend all their words a high count, but few neighbours.
+    seen_near = texts.mapInArrow(around, "w binary, near binary").groupBy("w", "near").agg(F.count("*").alias("n")).groupBy("w").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    kinds = {bytes(r["w"]): (r["kinds"], r["n"]) for r in seen_near.collect()}  # at most most_words / 2 rows
+    odds = float(total["b"]) / float(total["b"] + total["g"])
+    insults = []
+    for r in likely:
+        w, (k, n) = bytes(r["w"]), kinds.get(bytes(r["w"]), (0, 1))
+        own = min(k, r["b"])
+        evidence = 2 * own * np.log(1 / odds) if not r["g"] else 2 * (own * np.log(own / ((own + r["g"]) * odds)) + r["g"] * np.log(r["g"] / ((own + r["g"]) * (1 - odds)))) if own else 0
+        if evidence > 24 and k >= 0.35 * n and own * (1 - odds) > 3 * r["g"] * odds:
+            insults.append((-evidence, w))
+    insults = [w for _, w in sorted(insults)[: most_words // 6]]
+    rest = told.where(((F.col("g2") <= 6) | ~F.col("more")) & (F.col("g") > 0))
+    half = (most_words - most_words // 6) // 2
+    common, others = rest.orderBy(F.desc("g"), "w").limit(half), rest.orderBy(F.xxhash64("w"), "w").limit(half)
+    clean = list(dict.fromkeys(bytes(r[0]) for df in (others, common) for r in df.select("w").collect()))
+    words = [(w, True) for w in insults] + [(w, False) for w in clean]
     table, bias = fit([w for w, _ in words], np.array([b for _, b in words], bool))
     raw = Scorer(table, bias, ())
 
