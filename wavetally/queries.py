@@ -449,6 +449,7 @@ def label_seed(spark, d):
 
 
 # ---------------------------------------------------------------- codes
+#: The code book (id, rhythm).
 BOOK = (("legacy_lrl", "EEE"), ("legacy_lrlr", "EEEE"), ("legacy_lrlrlr", "EEEEEE"), ("double_lrlr_pause", "EEEEPEEEE"), ("iso8_matched", "EEEEEEEE"), ("sync8_c0", "SSLSLSLL"), ("sync8_c1", "SSLLSLSL"))
 BOOK_SQL = "book AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in BOOK) + ") t(code_id, rhythm))"
 WORDS_SQL = "words AS (SELECT translate(lpad(to_binary(i), 8, '0'), '01', 'SL') AS word FROM range(256) t(i) WHERE bit_count(i) = 4), ok AS (SELECT word FROM words WHERE word NOT LIKE '%SSS%' AND word NOT LIKE '%LLL%')"
