@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavetally.llm import packing, quality, secrets, simhash, toxicity
+from wavetally.llm import jaccard, packing, quality, secrets, toxicity
 from wavetally.llm.common import held_out, read, written
 from wavetally.llm.queries import tokenizer_path
 
@@ -28,10 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, fingerprints
-    within eight bits (see README for what that finds)."""
+    """One document of each near-duplicate group stays: sets of five-word shingles of a
+    Jaccard similarity of 0.8 and more, all pairs of them (fingerprints lose some at any
+    affordable radius, see README)."""
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    groups = simhash.near_duplicates(keyed.select(F.struct("doc_id", "_hash").alias("key"), "text"), id_col="key", shingle=5, radius=8)
+    groups = jaccard.near_duplicates(keyed.select(F.struct("doc_id", "_hash").alias("key"), "text"), id_col="key", shingle=5, cut=0.8)
     stay = groups.where(F.col("key") == F.col("component_id")).select(F.col("key.doc_id").alias("_id"), F.col("key._hash").alias("_h")).distinct()
     left = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
     # Repeated rows have one key: the first of them stays.

@@ -1,0 +1,56 @@
+"""The pipeline's near-duplicates against all pairs of shingle sets."""
+
+import numpy as np
+import pytest
+
+from wavetally.llm import jaccard
+
+DOCS = "doc_id long, text string, source string"
+
+
+def plain_components(rows, cut):
+    def of(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [of(t) for _, t, *_ in rows]
+    near = [[j for j, b in enumerate(sets) if a == b or len(a & b) >= cut * len(a | b)] for a in sets]
+    label = [i for i, *_ in rows]
+    while True:
+        new = [min(label[j] for j in js) for js in near]
+        if new == label:
+            return {i: c for (i, *_), c in zip(rows, label, strict=True)}
+        label = new
+
+
+def copies(seed, groups=40, words=80):
+    """Texts with 0 to 4 words changed: similarities around 0.8, far apart in fingerprints."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    line, texts = [word() for _ in range(12)], [None, "", " \n", "one two", "One TWO", "one two three"]
+    for g in range(groups):
+        base = [word() for _ in range(words)] + (line if g % 2 else [])
+        for _ in range(25 if g == 0 else 4):
+            t = list(base)
+            for k in rng.choice(len(t), rng.integers(0, 5), replace=False):
+                t[k] = word()
+            texts.append(" ".join(t))
+    return [(i, texts[k], "s") for i, k in enumerate(rng.permutation(len(texts)).tolist())]
+
+
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_near_duplicates_against_all_pairs(spark, most):
+    rows = copies(0)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df, most=most).collect()}
+    assert got == plain_components(rows, 0.8)
+    assert jaccard.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pipeline_stage_keeps_one_of_each_similar_pair(spark):
+    import corpus_pipeline
+
+    rows = copies(1)
+    want = plain_components(rows, 0.8)
+    left = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(want.values()))

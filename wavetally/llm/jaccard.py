@@ -1,0 +1,153 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: an exact prefix join.
+
+Two sets of similarity ``cut`` or more share at least one of their first
+``n - ceil(cut * n) + 1`` shingles under any fixed order of all shingles, so that
+documents which meet nowhere in these prefixes need no comparison and no pair is lost.
+Shingles that are frequent in a sample come last in the order: the sample decides the
+cost, never the result. Every link is checked on the whole sets.
+
+Pairs are checked in two rounds: first each set against one leader of each shingle (a
+large group of near copies becomes one component by few pairs), then all pairs of a
+shingle that are still in different components and were not checked before.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import text_bytes, written
+from .components import connected_components
+
+
+def shingles(text: bytes, k: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the shingles, as signed numbers. Words and short texts as
+    in ``simhash.fingerprint``; no words give an empty set."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(k, len(words))
+    digest, n = xxhash.xxh64_intdigest, len(words) - k + 1
+    spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in spans), np.uint64, n).view(np.int64))
+
+
+def needed(n: int, cut: float) -> int:
+    """The least overlap of a set of n with any set of similarity ``cut``."""
+    return math.ceil(cut * n - 1e-9)
+
+
+def prefix(mine: np.ndarray, often: np.ndarray, rank: np.ndarray, cut: float) -> np.ndarray:
+    """The first shingles of a set: rare ones by hash, then those of ``often`` by rank."""
+    if not len(mine):
+        return mine
+    order = np.zeros(len(mine), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, mine), len(often) - 1)
+        order = np.where(often[at] == mine, rank[at] + 1, 0)
+    return mine[np.lexsort((mine, order))[: len(mine) - needed(len(mine), cut) + 1]]
+
+
+def similar(a: np.ndarray, b: np.ndarray, cut: float) -> bool:
+    if min(len(a), len(b)) < needed(max(len(a), len(b)), cut):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= cut * (len(a) + len(b) - both) - 1e-9
+
+
+def frequent(docs: DataFrame, text_col: str, shingle: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are most frequent in about ``sample`` documents, sorted, and their
+    ranks by frequency. At most ``most`` of them reach the driver."""
+    share = min(1.0, sample / max(1, docs.count()))
+    few = docs.select(text_bytes(text_col).alias("_text")).where(F.pmod(F.xxhash64("_text", F.lit(11)), F.lit(1_000_000)) < share * 1e6)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column(0).to_pylist()]
+            token, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    got = few.mapInArrow(of, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(most).toPandas()
+    token, n = got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    by_token = np.argsort(token)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(len(token))
+    return token[by_token], rank[by_token]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, shingle: int, cut: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets have a similarity of ``cut`` or more."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = written(sets.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    named = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def set_of(node, text):
+            if node not in known:
+                if len(known) > 2000:
+                    known.clear()
+                known[node] = shingles(text, shingle)
+            return known[node]
+
+        for b in batches:
+            u, v, a, c = (b.column(k).to_pylist() for k in range(4))
+            good = [similar(set_of(*x), set_of(*y), cut) for x, y in zip(zip(u, a, strict=True), zip(v, c, strict=True), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "text_u", "text_v")
+    return joined.mapInArrow(of, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, cut: float = 0.8, sample: int = 24_000, most: int = 400_000) -> DataFrame:
+    """One row per document: id and component_id (smallest id reachable by links of
+    similarity ``cut`` or more, itself included). Texts without words are alike."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, shingle, sample, most))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "text", "node", "size", "tokens"]
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            tokens = pa.array([prefix(s, *often.value, cut) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), tokens], names=names)
+
+    sets = written(docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(of, f"id {kind}, text binary, node long, size long, tokens array<long>"), "sets")
+    # Equal sets are one node.
+    rows = sets.select("node", "size", "tokens").dropDuplicates(["node"]).select("node", "size", F.posexplode("tokens").alias("at", "token"))
+    rows = written(rows, "prefixes")
+    leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    shared = written(rows.join(leaders, "token"), "shared")
+    first = written(shared.where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), "pairs")
+    links = written(verified(first, sets, shingle, cut), "links")
+
+    # What the first round left apart. A shingle of two sets is settled by it.
+    groups = written(connected_components(links), "groups")
+    open_ = shared.where("n > 2").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    mixed = open_.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+    open_ = written(open_.join(mixed, "token", "left_semi").select("token", "node", "size", "at", "c"), "open")
+    x = open_.select("token", F.col("node").alias("u"), F.col("size").alias("n_u"), F.col("at").alias("at_u"), F.col("c").alias("c_u"))
+    y = open_.select("token", F.col("node").alias("v"), F.col("size").alias("n_v"), F.col("at").alias("at_v"), F.col("c").alias("c_v"))
+    # Overlap that is still possible if this is the first common shingle.
+    enough = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= (F.col("n_u") + F.col("n_v")) * (cut / (1 + cut)) - 1e-6
+    other = x.join(y, "token").where((F.col("c_u") != F.col("c_v")) & (F.col("u") > F.col("v")) & enough).select("u", "v").distinct()
+    # The leader is the smallest node, so checked pairs have u > v as well.
+    second = written(other.join(first, ["u", "v"], "left_anti"), "pairs")
+    links = links.unionByName(verified(second, sets, shingle, cut))
+
+    least = sets.groupBy("node").agg(F.min("id").alias("least"))
+    least = written(least.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "distinct")
+    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    to = least.join(ids, "component").select("node", "component_id")
+    return sets.select("id", "node").join(to, "node").select(F.col("id").alias(id_col), "component_id")
