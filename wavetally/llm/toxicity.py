@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from . import jaccard
+from .common import chunks, text_bytes, written
 
 DECAY, SPAN, LONGEST = 0.75, 7, 24
 CLASSES = 32
@@ -202,7 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     Words much more frequent in toxic documents (G squared), also when each pair of
     neighbours counts once, are taken for insults; the most
     frequent others and a hashed choice of them for the rest. Null labels and labels of missing documents are left
-    out; a document with several labels is toxic if one says so.
+    out; a document with several labels is toxic if one says so. Copies are sampled texts
+    that count once (toxic if one is), and of near copies of a toxic text one counts, so
+    that a document that stands very often in the sample has no more say than another.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & use).groupBy(id_col).agg(F.max(label_col).alias("bad"))
     share = min(1.0, sample / max(1, known.count()))
@@ -210,6 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     few = known.where(draw < share).select(F.col(id_col).alias("_id"), F.col("bad").cast("int").alias("_bad"))
     # ``few`` holds about ``sample`` rows of two numbers, whatever the input.
     texts = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_bad", "_text")
+    texts = written(texts.groupBy(F.xxhash64("_text").alias("_hash")).agg(F.max("_bad").alias("_bad"), F.first("_text").alias("_text")), "sampled")
+    toxic = jaccard.near_duplicates(texts.where("_bad = 1"), id_col="_hash", text_col="_text")
+    copies = toxic.where("_hash != component_id").select("_hash")
+    texts = written(texts.join(copies, "_hash", "left_anti").select("_bad", "_text"), "distinct-sampled")
 
     def seen(batches):
         for b in batches:
