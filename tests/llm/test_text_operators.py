@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on awkward rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -71,7 +72,7 @@ def test_simhash_of_dense_groups_and_blocks(spark):
     base = rng.integers(0, 2**63, 3)
     fps = sorted({int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 60, (200, 2))})
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {r["node"]: r["component"] for r in simhash.hamming_components(df, 4, 4, block=16).collect()}
+    got = {r["node"]: r["component"] for r in simhash.hamming_components(df, 4, (4,), block=16).collect()}
     x = np.array(fps, np.uint64)
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
     label = np.arange(len(x))
@@ -333,25 +334,57 @@ def test_treap_takes_the_tightest():
 
 
 # ---------------------------------------------------------------- toxicity and language
-def test_kernel_table_equals_the_kernel():
-    words = [b"^idiot", b"^i.d.i.o.t", b"^stupid", b"^hello", b"^river", b"^window"]
+def plain_kernel(a, b):
+    """Sum over common subsequences of products of gap weights, words scaled by length."""
 
     def phi(w):
         out = Counter()
-        n = len(w)
-        for at, weight, base in toxicity._tuples(n):
-            for t, x in zip(at, weight, strict=True):
-                key = 0
-                for p in t:
-                    key = key * toxicity.CLASSES + int(toxicity.CLASS[w[p]])
-                out[base + key] += x * toxicity._scale(n)
+        for k in (3, 4):
+            for t in itertools.combinations(range(len(w)), k):
+                if t[-1] - t[0] < toxicity.SPAN:
+                    out["".join(w[p] for p in t)] += toxicity.DECAY ** (t[-1] - t[0] + 1)
         return out
 
-    table, bias = toxicity.fit(words, np.array([1, 0, 1, 0, 0, 0], bool), landmarks=6)
-    got = toxicity.Scorer(table, bias, ()).raw(words)
-    want = [bias + sum(table[k] * x for k, x in phi(w).items()) for w in words]
-    assert np.allclose(got, want)
-    assert got[0] > 0 > got[3] and got[1] > got[3]  # inserted characters are seen through
+    def norm(n):
+        return sum(toxicity.DECAY ** (2 * (t[-1] - t[0] + 1)) for k in (3, 4) for t in itertools.combinations(range(n), k) if t[-1] - t[0] < toxicity.SPAN) ** 0.5
+
+    x, y = phi(a), phi(b)
+    return sum(x[k] * y[k] for k in x) / (norm(len(a)) * norm(len(b)))
+
+
+def test_kernel_and_table_against_the_plain_kernel():
+    marks = ["^idiot", "^stupid", "^river", "^ебанат"]
+    words = ["^idiot", "^i.d.i.o.t", "^stupid", "^hello", "^window", "^ебxанат"]
+    m = toxicity.Landmarks(marks)
+    want = np.array([[plain_kernel(w, k) for k in marks] for w in words])
+    assert np.allclose(m.kernel(words), want)
+    theta = np.append(np.arange(1.0, m.root.shape[1] + 1), -0.25)
+    raw = toxicity.Scorer(m.table(theta), -0.25).raw(words)
+    assert np.allclose(raw, want @ m.root @ theta[:-1] - 0.25)
+    assert want[1, 0] > 5 * want[3, 0] and want[5, 3] > 0.3  # inserted characters are seen through
+
+
+def test_machine_against_a_plain_one(spark):
+    rng = np.random.default_rng(12)
+    words = ["^" + "".join(rng.choice(list("abcdefgh"), rng.integers(4, 8))) for _ in range(60)]
+    up, down = rng.integers(0, 3, 60).astype(float), rng.integers(0, 3, 60).astype(float)
+    table, bias = toxicity._fit(spark.createDataFrame(list(zip(words, up.tolist(), down.tolist(), strict=True)), "w string, up double, down double").repartition(3), words[:20], 30, 0.02)
+    k = np.array([[plain_kernel(a, b) for b in words[:20]] for a in words])
+    values, vectors = np.linalg.eigh(k[:20])
+    x = np.hstack([k @ (vectors / np.sqrt(values)), np.ones((60, 1))])
+    theta, p, n = np.zeros(21), up / up.sum() / 2, down / down.sum() / 2
+    for _ in range(3000):  # gradient steps on the same objective
+        f = x @ theta
+        g = x.T @ (-p * np.maximum(0, 1 - f) + n * np.maximum(0, 1 + f)) + np.append(np.full(20, 0.02), 1e-9) * theta
+        theta -= 0.5 * g
+    assert np.abs(toxicity.Scorer(table, bias).raw(words) - x @ theta).max() < 0.02
+
+
+def test_spelled_words():
+    assert [u for _, u in toxicity.units(b"you i d i o t are a b ok \xd1\x8f \xd1\x82 \xd1\x83")] == ["^you", "^are", "^idiot", "^яту"]
+    s = toxicity.Scorer(np.zeros(1 << toxicity.TABLE_BITS), -1.0)
+    s.raw = lambda words: np.array([5.0 if w == "^idiot" else -1.0 for w in words])
+    assert s.evidence(b"i d i o t")[2] == 5.0 and s.evidence(b"i d")[2] == toxicity.NOTHING
 
 
 def test_toxicity(spark, nothing):

@@ -31,7 +31,7 @@ def test_insults_of_a_copied_document_are_learned(spark, near):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i in toxic)) for i, _ in rows if i < 400 or i >= 500], "doc_id long, toxic int")
     scorer = toxicity.train(df, labels, F.lit(True))
-    raw = toxicity.Scorer(scorer.table, scorer.bias, ())
+    raw = toxicity.Scorer(scorer.table, scorer.bias)
     assert min(raw.words([b.encode() for b in bad])) > 0 > np.median(raw.words([w.encode() for w in copied if w not in bad]))
     got = {r["doc_id"]: r["predicted"] for r in toxicity.assess(df, scorer, ["doc_id"]).collect()}
     assert all(got[i] == (i in toxic) for i in range(400, 600))

@@ -17,10 +17,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a folder in the
+    warehouse; in local mode, where all tasks see the driver's disk, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="wavetally-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        at = "file://" + tempfile.mkdtemp(prefix="wavetally-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -46,6 +48,17 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``weight`` the number of
+    ``rows`` with that key (``total`` in all). Keys with over ``1 / share`` of all rows, fewer
+    than ``share`` of them, are broadcast, so that no key fills a task; the others meet in a
+    shuffle. ``weight`` is dropped. ``rows`` is read twice: better a written table."""
+    hot = F.col(weight) * share > total
+    few, rest = table.where(hot).drop(weight), table.where(~hot).drop(weight)
+    cool = rows.join(F.broadcast(few.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(few), on).unionByName(cool.join(rest, on))
+
+
 def text_bytes(name: str = "text") -> Column:
     """The whole text as UTF-8 bytes, null as empty: Python then reads bytes without decoding."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)

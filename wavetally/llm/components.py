@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (combined before its shuffle) and a join back, so a
-hub with very many links needs no task of its own. Work is cut by tables in the shared
-folder, so a lost executor costs one step.
+Every step is a grouped minimum (combined before its shuffle) and a join back, in which
+nodes with over a thousandth of all links are broadcast, so a hub needs no task of its own.
+Work is cut by tables in the shared folder, so a lost executor costs one step.
 """
 
 from __future__ import annotations
@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, join_counted, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with v < u. Links of each node move to its smallest neighbour."""
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+    """edges: ``total`` rows (u, v) with v < u. Links of each node move to its smallest
+    neighbour."""
     both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    moved = join_counted(both, least, ["u"], "n", total * (1 + large))
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -42,8 +43,10 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     for _ in range(most_steps):
         if not before[0]:
             break
-        then = written(_star(_star(now, True), False), "edges")
+        star = written(_star(now, before[0], True), "stars")
+        then = written(_star(star, before[0], False), "edges")
         drop_written(now)
+        drop_written(star)
         now, after = then, mark(then)
         if after == before:
             break
