@@ -8,11 +8,11 @@ its id and a hash of its text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetally.llm import jaccard, packing, quality, secrets, toxicity
-from wavetally.llm.common import held_out, read, written
+from wavetally.llm import packing, quality, secrets, simhash, toxicity
+from wavetally.llm.common import drop_written, held_out, read, written
 from wavetally.llm.queries import tokenizer_path
 
 
@@ -28,16 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: sets of five-word shingles of a
-    Jaccard similarity of 0.8 and more, all pairs of them (fingerprints lose some at any
-    affordable radius, see README)."""
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    groups = jaccard.near_duplicates(keyed.select(F.struct("doc_id", "_hash").alias("key"), "text"), id_col="key", shingle=5, cut=0.8)
-    stay = groups.where(F.col("key") == F.col("component_id")).select(F.col("key.doc_id").alias("_id"), F.col("key._hash").alias("_h")).distinct()
-    left = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    # Repeated rows have one key: the first of them stays.
-    first = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("source"))
-    return left.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    """One document of each near-duplicate group stays, that of the least id: pairs of SimHash
+    fingerprints within 14 bits whose sets of five-word shingles have a Jaccard similarity of
+    0.8 or more. Null texts count as empty; of repeated rows one stays; an empty table gives
+    an empty table."""
+    return simhash.Copies(docs, shingle=5, cut=0.8, radius=14).first_of_each()
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        then = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            drop_written(docs)
+        docs = then
     return docs
