@@ -118,7 +118,7 @@ def test_quality_counts(docs):
         want = plain_counts(r["text"])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
-        assert r["kept"] == (not r["base_failed"])  # too few rows for an estimate
+        assert (r["distance"] is None) == r["base_failed"] and r["kept"] == (not r["base_failed"] and r["distance"] <= 25.745)
     assert len(got) == len(corpus())
 
 
@@ -127,23 +127,61 @@ def test_quality_outliers(spark, nothing):
     text = lambda junk: " ".join(("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) + ("###" if junk else "")) + ("." if rng.random() < 0.1 else "") for _ in range(60))
     rows = [(i, text(i % 20 == 0), "en", f"s{i % 2}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r["doc_id"]: r for r in quality.assess(df, min_group=100).collect()}
+    got = {r["doc_id"]: r for r in quality.assess(df).collect()}
     assert all(got[i]["kept"] == (i % 20 != 0) for i in got)
     assert quality.assess(nothing).count() == 0
 
 
-def test_mcd_against_numpy(spark):
+def plain_mcd(x, h=0.75):
+    """The same estimate of rows x (whole numbers), step by step."""
+    noise, unit = np.array(quality.NOISE), quality.UNIT
+    grid = lambda d: np.floor(np.log1p(d) * 1000 + 0.5) / 1000
+
+    def moments(q, share):
+        order = np.unique(q)
+        before = np.array([(q < v).sum() for v in order])
+        inside = x[np.isin(q, order[before < len(q) * share])] / unit
+        return inside.mean(axis=0), np.cov(inside.T, bias=True)
+
+    def distance(m, c):
+        d = x / unit - m
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + np.diag(noise**2)), d)
+
+    med = np.median(x, axis=0)
+    z = np.abs(x - med) / (1.4826 * np.median(np.abs(x - med), axis=0) + noise * unit)
+    found = [moments(grid(q), 0.5) for q in ((z * z).sum(axis=1), z.max(axis=1) ** 2)]
+    det = lambda e: np.linalg.slogdet(e[1] + np.diag(noise**2))[1]
+    for step in range(12):
+        was = [det(e) for e in found]
+        found = [moments(grid(distance(*e)), h) for e in found]
+        if step == 1:
+            found = [min(found, key=det)]
+        elif step > 1 and was[0] - det(found[0]) <= 2e-3:
+            break
+    return found[0]
+
+
+@pytest.mark.parametrize("sizes", [(30, 150, 250), (1, 2, 400)])
+def test_mcd_against_a_plain_version(spark, sizes):
     rng = np.random.default_rng(3)
-    x = np.vstack([rng.normal(0, [0.2, 0.1, 0.1, 0.1, 0.1], (400, 5)), rng.normal(3, 0.1, (80, 5))])
-    df = spark.createDataFrame([("0", *map(float, r)) for r in x], "g string, " + ", ".join(f"x{i} double" for i in range(5)))
-    e = quality.estimates(df, 100).first()["e"]
-    mean = np.array([e[f"m{i}"] for i in range(5)])
-    assert np.abs(mean).max() < 0.1  # the far group has no say
-    low = np.array([[e[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
-    cov = low @ low.T - np.diag(np.square(quality.NOISE))
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(low @ low.T), x - mean)
-    kept = x[d <= np.quantile(d, 0.75)]
-    assert np.abs(np.cov(kept.T, bias=True) - cov).max() < 0.01
+    groups = {f"g{k}": np.round(10_000 * np.vstack([rng.normal(k, 0.3, (n - n // 6, 5)), rng.normal(k + 3, 0.1, (n // 6, 5))])) for k, n in enumerate(sizes)}
+    df = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "g string, " + ", ".join(f"x{i} double" for i in range(5)))
+    got, n = quality.estimates(df.repartition(3))
+    assert n == len(sizes)
+    for r in got.collect():
+        x = groups[r["g"]]
+        mean, cov = plain_mcd(x) if len(x) > 1 else (x[0] / 10_000, np.zeros((5, 5)))
+        assert np.allclose([r[f"m{i}"] for i in range(5)], mean) and r["n"] == len(x)
+        assert np.allclose([r[f"c{i}{j}"] for i in range(5) for j in range(i + 1)], [cov[i, j] for i in range(5) for j in range(i + 1)], atol=1e-6)
+
+
+@pytest.mark.parametrize("n", [30, 150, 250])
+def test_small_groups_have_verdicts(spark, n):
+    rng = np.random.default_rng(4)
+    text = lambda junk: " ".join(("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) + ("###" if junk else "")) + ("." if rng.random() < 0.1 else "") for _ in range(60))
+    rows = [(i, text(i % 10 == 0), "en", ("a", None)[i % 2]) for i in range(n)]
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r["distance"] is not None and r["kept"] == (i % 10 != 0) for i, r in got.items())
 
 
 # ---------------------------------------------------------------- tokens
