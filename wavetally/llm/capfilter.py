@@ -5,7 +5,8 @@ coordinates; a vector belongs to every filter whose direction it exceeds ``alpha
 List decoding finds exactly these filters: sums of two blocks each are formed, and only
 those that can reach ``alpha`` with the best other half are extended. Vectors of one label
 that share a filter are compared in double precision, each pair in the least filter they
-share, so link counts need no list of pairs.
+share, so link counts need no list of pairs. The code grows with the number of vectors, so
+that a filter holds about as many at any size of the table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, written
+from .common import as_batch, drop_written, join_counted, written
 from .components import connected_components
 from .simhash import forest
 
@@ -82,136 +83,172 @@ def fit_alpha(sample: np.ndarray, code: ProductCode, mean: float) -> float:
     return high
 
 
-def _pairs_in(x: np.ndarray, norm: np.ndarray, own: np.ndarray, cross: bool, cut: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of linked pairs of a block, or of two blocks (own: which is which)."""
-    if not cross:
-        good = np.triu((x @ x.T) / np.outer(norm, norm) >= cut, 1)
-        return np.nonzero(good)
-    p, q = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
-    i, j = np.nonzero((x[p] @ x[q].T) / np.outer(norm[p], norm[q]) >= cut)
-    return p[i], q[j]
+def code_size(n: int, filters: float, tables: int = 2, held: float = 4.0) -> int:
+    """Vectors of a block's code, so that a filter holds ``held`` of ``n`` vectors on average."""
+    return max(8, int(np.ceil((n * filters / (tables * held)) ** (1 / BLOCKS))))
 
 
-def _first_shared(lists: np.ndarray, i: np.ndarray, j: np.ndarray, f: int) -> np.ndarray:
-    """Which pairs share no filter below f. lists: (rows, longest), padded with f."""
+def _first_shared(lists: np.ndarray, i: np.ndarray, j: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Which pairs share no filter below their f. lists: (rows, longest), sorted, padded."""
     out, step = np.ones(len(i), bool), max(1, (1 << 22) // max(1, lists.shape[1] ** 2))
-    below = np.where(lists < f, lists, -1)
-    width = int((below >= 0).sum(axis=1).max(initial=0))
-    if not width:
-        return out
-    below = below[:, :width]
     for k in range(0, len(i), step):
-        a, b = below[i[k : k + step]], below[j[k : k + step]]
-        out[k : k + step] = ~((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
+        g = f[k : k + step, None]
+        a, b = lists[i[k : k + step]], lists[j[k : k + step]]
+        width = int(max((a < g).sum(axis=1).max(initial=0), (b < g).sum(axis=1).max(initial=0)))
+        a, b = np.where(a < g, a, -1)[:, :width], np.where(b < g, b, -2)[:, :width]
+        out[k : k + step] = ~(a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
     return out
 
 
+def _links(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.ndarray, cross: np.ndarray, cut: float, large: int = 64, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit rows of equal bucket (starts, ends) with a cosine of ``cut`` or more. A
+    bucket is one block, or two whose rows of side 0 come first and meet those of side 1."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    size = ends - starts
+    for s, e, c in zip(starts[size > large].tolist(), ends[size > large].tolist(), cross[size > large].tolist(), strict=True):
+        m = s + int((side[s:e] == 0).sum()) if c else s
+        i, j = np.nonzero(x[s:m] @ x[m:e].T >= cut) if c else np.nonzero(np.triu(x[s:e] @ x[s:e].T >= cut, 1))
+        found.append((s + i, (m if c else s) + j))
+    small = np.flatnonzero(size <= large)
+    row = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e) for s, e in zip(starts[small].tolist(), ends[small].tolist(), strict=True))])
+    of = np.repeat(small, size[small])
+    ones = np.cumsum(np.concatenate(([0], side == 0)))
+    begin = np.where(cross[of], starts[of] + ones[ends[of]] - ones[starts[of]], row + 1)
+    width = np.where(cross[of] & (side[row] == 1), 0, ends[of] - begin)
+    done, at = np.cumsum(width), 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + most, "right")))
+        w = width[at:to]
+        left = np.repeat(row[at:to], w)
+        right = np.repeat(begin[at:to], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        good = np.einsum("ij,ij->i", x[left], x[right]) >= cut
+        found.append((left[good], right[good]))
+        at = to
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (label, f, i, j). Yields (u, v, n): with v null the links of u counted
-    by weight, else an edge of a spanning forest."""
+    """Rows (key, i, j, side, f, lab, node, weight, dim, vec, filters) sorted by (key, i, j,
+    side). Yields (u, v, n): with v null the links of u counted by weight, else an edge of a
+    spanning forest. The last bucket of a batch waits for the next batch."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
-    def work(rows: list[tuple]) -> pa.RecordBatch | None:
-        f, cross = rows[0][1], rows[0][2] != rows[0][3]
-        if len(rows) < 2:
-            return None
-        x = np.array([r[6] for r in rows], np.float64)
-        node, weight, own = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 8))
-        i, j = _pairs_in(x, np.sqrt((x * x).sum(axis=1)), own, cross, cut)
-        if not len(i):
-            return None
-        longest = max(len(r[7]) for r in rows)
-        lists = np.full((len(rows), longest), f, np.int64)
-        for k, r in enumerate(rows):
-            lists[k, : len(r[7])] = r[7]
-        new = _first_shared(lists, i, j, f)
-        i, j = i[new], j[new]
-        if not len(i):
-            return None
-        n = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
-        at = np.flatnonzero(n)
-        u, v = forest(node[i], node[j])
-        return as_batch(
-            schema,
-            np.concatenate((node[at], u)),
-            pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(v, pa.int64())]),
-            np.concatenate((n[at].astype(np.int64), np.zeros(len(u), np.int64))),
-        )
-
-    held: list[tuple] = []
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        dims = t.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            part = t.filter(pa.array(dims == dim)).combine_chunks() if (dims != dim).any() else t.combine_chunks()
+            key, i, j, side, f, lab, node, weight = (part.column(c).to_numpy() for c in ("key", "i", "j", "side", "f", "lab", "node", "weight"))
+            x = part.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            change = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            a, b = _links(x, change, np.append(change[1:], len(key)), side, (i != j)[change], cut)
+            same = lab[a] == lab[b]  # keys are hashes
+            a, b = a[same], b[same]
+            if not len(a):
+                continue
+            filters = part.column("filters").combine_chunks()
+            lens = filters.value_lengths().to_numpy()
+            lists = np.full((len(key), int(lens.max())), np.iinfo(np.int64).max, np.int64)
+            lists[np.arange(lists.shape[1]) < lens[:, None]] = filters.flatten().to_numpy()
+            new = _first_shared(lists, a, b, f[a])
+            a, b = a[new], b[new]
+            n = np.bincount(a, weight[b], len(key)) + np.bincount(b, weight[a], len(key))
+            at = np.flatnonzero(n)
+            u, v = forest(node[a], node[b])
+            yield as_batch(
+                schema,
+                np.concatenate((node[at], u)),
+                pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(v, pa.int64())]),
+                np.concatenate((n[at].astype(np.int64), np.zeros(len(u), np.int64))),
+            )
+
+    held: pa.Table | None = None
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held and row[:4] != held[-1][:4]:
-                out = work(held)
-                held = []
-                if out is not None:
-                    yield out
-            held.append(row)
-    if held and (out := work(held)) is not None:
-        yield out
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cut: float = 0.98, filters: float = 40.0, least: int = 24, sample: int = 2000, block: int = 512) -> DataFrame:
+        if not b.num_rows:
+            continue
+        now = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        key = np.stack([now.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+        last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+        held = now.slice(last)
+        if last:
+            yield from work(now.slice(0, last))
+    if held is not None:
+        yield from work(held)
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cut: float = 0.98, filters: float = 32.0, least: int = 20, sample: int = 2000, block: int = 1024) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
-    Only vectors of equal, non-null label link. Vectors that are null, zero, of another
-    length than most, or hold null or non-finite components link with nothing: no links,
-    their own id as component. ``filters`` is the mean number of filters of a vector, fitted
-    on about ``sample`` distinct vectors chosen by hash; every vector is indexed and has
-    ``least`` filters at least. Equal
-    vectors are one node with a weight, so a hot vector costs no pairs. Null ids keep their
-    row; repeated ids and rows are rows of their own; other columns are not read.
+    Only vectors of equal, non-null label and equal length link. Vectors that are null,
+    empty, zero, or hold null or non-finite components link with nothing: no links, their own
+    id as component. ``filters`` is the mean number of filters of a vector, fitted on about
+    ``sample`` distinct vectors chosen by hash; every vector is indexed and has ``least``
+    filters at least, whatever its length. Equal vectors are one node with a weight (known by
+    a 64-bit hash), so a hot vector costs no pairs. Null ids keep their row; repeated ids and
+    rows are rows of their own; other columns are not read; an empty table gives none.
     """
     v = F.col("vec")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vec"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & (F.size(v) > 0) & ~bad, F.lit(False)))
-    dims = rows.where("ok").groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim = dims["d"] if dims else 1
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("vec") == dim))
-    distinct = rows.where("ok").groupBy("label", "vec").agg(F.count("*").alias("weight"), F.min("id").alias("least"))
-    nodes = written(distinct, "vectors").withColumn("node", F.monotonically_increasing_id())
-    total = nodes.count()
+    rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & (F.size(v) > 0) & ~bad, F.lit(False))).withColumn("node", F.xxhash64("label", "vec"))
+    ids = written(rows.select("id", "ok", "node"), "vector-ids")
+    distinct = rows.where("ok").groupBy("node").agg(F.xxhash64(F.first("label")).alias("lab"), F.first("vec").alias("vec"), F.count("*").alias("weight"), F.min("id").alias("least"))
+    nodes = written(distinct.withColumn("dim", F.size("vec")), "vectors")
+    total, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
     share = min(1.0, sample / max(1, total))
     draw = F.pmod(F.xxhash64("vec", F.lit(6)), F.lit(1_000_000)) / 1e6
     some = nodes.where(draw < share).select("vec").toPandas()["vec"] if total else []
-    code = ProductCode(dim)
+    size = code_size(total, filters)
     unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    alpha = fit_alpha(unit(np.array(list(some), np.float64)), code, filters) if len(some) else 1.0
+    by_dim: dict[int, list] = {}
+    for x in some:
+        by_dim.setdefault(len(x), []).append(x / np.abs(x).max())
+    # Lengths that the sample lacks start from a high threshold, which goes down to ``least``.
+    alphas = {d: fit_alpha(unit(np.array(x, np.float64)), ProductCode(d, size), filters) for d, x in by_dim.items()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                x = np.array(part.column("vec").to_pylist(), np.float64)
-                row, f = code.decode_all(unit(x), alpha, least)
-                ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(x)))))
-                yield part.append_column("filters", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int64())))
+        codes: dict[int, ProductCode] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                dims, found = np.asarray(part.column("dim")), []
+                for d in np.unique(dims).tolist():
+                    code = codes.setdefault(d, codes.get(d) or ProductCode(d, size))
+                    mine = part.filter(pa.array(dims == d))
+                    x = mine.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                    row, f = code.decode_all(unit(x / np.abs(x).max(axis=1, keepdims=True)), alphas.get(d, 0.9), least)
+                    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(x)))))
+                    yield mine.append_column("filters", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int64())))
 
     schema = nodes.schema.simpleString()[7:-1].replace(":", " ")
     coded = written(nodes.mapInArrow(decode, f"{schema}, filters array<long>"), "filters")
-    members = coded.select("label", "node", F.explode("filters").alias("f"))
-    many = members.groupBy("label", "f").agg(F.count("*").alias("n")).where("n > 1").select("label", "f", F.ceil(F.col("n") / block).cast("int").alias("b"))
+    members = coded.select("lab", "dim", "node", F.explode("filters").alias("f")).select(F.xxhash64("lab", "dim", "f").alias("key"), "f", "node")
+    n_members = coded.agg(F.coalesce(F.sum(F.size("filters")), F.lit(0))).first()[0]
+    many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", F.ceil(F.col("n") / block).cast("int").alias("b"))
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("b")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("b") - 1),
         lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (k < F.col("own")).cast("int").alias("side")),
     )
-    dealt = members.join(many, ["label", "f"]).withColumn("own", own).select("label", "f", "node", F.inline(pairs))
+    dealt = join_counted(members, many, ["key"], "n", n_members).withColumn("own", own).select("key", "f", "node", F.inline(pairs))
     dealt = (
-        dealt.join(coded.select("node", "weight", "vec", "filters"), "node")
-        .select("label", "f", "i", "j", "node", "weight", "vec", "filters", "side")
-        .repartition("label", "f", "i", "j")
-        .sortWithinPartitions("label", "f", "i", "j", "node")
+        dealt.join(coded.select("node", "lab", "dim", "weight", "vec", "filters"), "node")
+        .select("key", "i", "j", "side", "f", "lab", "node", "weight", "dim", "vec", "filters")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "side")
     )
     found = written(dealt.mapInArrow(lambda batches: _compare(batches, cut), "u long, v long, n long"), "links")
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("far"))
     comp = connected_components(found.where("v is not null").select("u", "v"))
-    known = coded.select("label", "vec", "node", "weight", "least").join(links, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(ids, "component").select("label", "vec", (F.coalesce("far", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    found_rows = rows.where("ok").join(known, ["label", "vec"]).select("id", "n_links", "component_id")
-    rest = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    known = coded.select("node", "weight", "least").join(links, "node", "left").join(comp, "node", "left")
+    known = written(known.select("node", "weight", "least", (F.coalesce("far", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "known")
+    drop_written(coded)
+    drop_written(found)
+    least_ids = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    known = written(join_counted(known, least_ids, ["component"], "m", total).select("node", "weight", "n_links", "component_id"), "known")
+    found_rows = join_counted(ids.where("ok"), known, ["node"], "weight", n_rows).select("id", "n_links", "component_id")
+    rest = ids.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found_rows.unionByName(rest).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
