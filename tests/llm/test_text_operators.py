@@ -336,26 +336,70 @@ def test_learned_formats():
 
 
 # ---------------------------------------------------------------- sharding
+def plain_best_fit(sizes, capacity):
+    room, out = [], []
+    for k in sorted(sizes, reverse=True):
+        fit = min(((r, b) for b, r in enumerate(room) if r >= k), default=None)
+        if fit is None:
+            room.append(capacity)
+            fit = (capacity, len(room) - 1)
+        room[fit[1]] -= k
+        out.append((k, fit[1]))
+    return sorted(out), len(room)
+
+
+def histogram(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def test_best_fit_of_a_histogram_against_one_by_one():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        sizes = rng.integers(1, 40, rng.integers(1, 60)).tolist()
+        runs, n = sharding.best_fit_decreasing(histogram(sizes), 50)
+        want, most = plain_best_fit(sizes, 50)
+        # Bins of equal room are interchangeable: compare what each bin holds.
+        holds = lambda pairs: sorted(tuple(sorted(s for s, b in pairs if b == k)) for k in {b for _, b in pairs})
+        assert holds([(s, b) for s, k, b in runs for _ in range(k)]) == holds(want) and n == most
+
+
 def test_sharding(docs, nothing):
-    got = sharding.shard(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), shards=4).toPandas()
-    texts = {i: t for i, t, *_ in corpus()}
-    assert (got["size"] == [len((texts[i] or "").encode()) + 1 for i in got["doc_id"]]).all()
-    assert (got["text_crc32"] == [zlib.crc32((texts[i] or "").encode()) for i in got["doc_id"]]).all()
+    got = sharding.shard(docs, shards=4, rows=3).toPandas()
+    assert len(got) == len(corpus()) and sharding.shard(nothing).count() == 0
+    texts = Counter((-1 if i is None else i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in corpus())
+    assert Counter(zip(got["doc_id"].fillna(-1).astype(int), got["size"], got["text_crc32"], strict=True)) == texts
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
-    where: dict = {}
-    for i, s in zip(got["doc_id"], got["shard"], strict=True):
-        assert where.setdefault(texts[i], s) == s
-    assert sharding.shard(docs).count() == len(corpus()) and sharding.shard(nothing).count() == 0
+    # Equal texts are together (null texts have the checksum of the empty one), and every group is placed as the packing says.
+    groups = Counter()
+    for _, t, *_ in corpus():
+        groups[t] += len((t or "").encode()) + 1
+    of = {(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): t for t in groups if t}
+    where = {}
+    for size, crc, s in zip(got["size"], got["text_crc32"], got["shard"], strict=True):
+        if (size, crc) in of:
+            assert where.setdefault(of[size, crc], s) == s
+    want = np.zeros(4)
+    for size, k, s in sharding.balance(histogram(list(groups.values())), 4):
+        want[s] += size * k
+    assert np.bincount(got["shard"], got["size"], 4).tolist() == want.tolist()
 
 
 def test_balance_is_near_equal_and_gives_hot_groups_a_shard():
     rng = np.random.default_rng(7)
     sizes = rng.integers(1, 1000, 3000).tolist()
-    total = np.bincount(sharding.balance(sizes, 8), sizes, 8)
-    assert total.max() - total.min() < 0.002 * total.mean()
-    total = np.bincount(sharding.balance([sum(sizes), *sizes], 8), [sum(sizes), *sizes], 8)
+
+    def totals(sizes):
+        out = np.zeros(8)
+        for size, k, s in sharding.balance(histogram(sizes), 8):
+            out[s] += size * k
+        return out
+
+    total = totals(sizes)
+    assert total.max() - total.min() < 0.002 * total.mean() and total.sum() == sum(sizes)
+    total = totals([sum(sizes), *sizes])
     assert sorted(total)[-1] == sum(sizes) and np.ptp(np.sort(total)[:7]) < 0.002 * sum(sizes)
+    assert totals([5, 5, 5]).max() == 5 and sharding.balance([], 8) == []
 
 
 def test_treap_takes_the_tightest():
