@@ -35,9 +35,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import Model, digest_columns, scan
+    from .secrets import digest_columns, learn, scan
 
-    found = scan(read(spark, sf_dir, "documents"), ["doc_id"], Model())
+    docs = read(spark, sf_dir, "documents")
+    found = scan(docs, ["doc_id"], learn(docs))
     return found.select("doc_id", *[c.alias(k) for k, c in digest_columns().items()])
 
 
