@@ -36,8 +36,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span that the scan finds is replaced in its text."""
-    return secrets.redact(docs, secrets.Model())
+    """Every span that the scan, with formats learned from what is left, finds is replaced in its
+    text. Null texts stay null; an empty table gives an empty table."""
+    return secrets.redact(docs, secrets.learn(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
