@@ -78,12 +78,14 @@ def _features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 _MARKS = str.maketrans("", "", STRIP)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=100_000)
 def plain(token: bytes) -> tuple[str, ...]:
     """A token without marks around it, lower case, after a sign for its start, and, if there
     are marks within, once more without them; over ``LONGEST`` characters, overlapping parts
     that together hold every span of the whole."""
     word = token.decode("utf-8", "replace").lower().strip(STRIP)
+    if len(word) < LONGEST and word.isalnum():
+        return ("^" + word,)
     bare = word.translate(_MARKS)
     return tuple(w[k : k + LONGEST] for w in ("^" + x for x in ((word,) if bare == word else (word, bare))) for k in range(0, max(1, len(w) - SPAN) if len(w) > LONGEST else 1, LONGEST - SPAN))
 
@@ -123,22 +125,37 @@ class Scorer:
         flat = [p for ps in parts for p in ps]
         if not flat:
             return np.zeros(0)
+        place = {p: k for k, p in enumerate(dict.fromkeys(flat))}  # tokens differ in marks and capitals
+        scores = self.raw(list(place))[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))]
         starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
-        out = np.maximum.reduceat(self.raw(flat), starts)
+        out = np.maximum.reduceat(scores, starts)
         out[[len(p) == 1 and len(p[0]) == 2 for p in parts]] = np.nan
         return out
 
+    def prepare(self, texts: list[bytes]) -> None:
+        """Scores the new words of many texts together."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        missing: set[bytes] = set()
+        for text in texts:
+            missing.update(filterfalse(self.known.__contains__, text.split()))
+            if len(missing) > BLOCK:
+                self._learn(missing)
+                missing = set()
+        self._learn(missing)
+
+    def _learn(self, missing: set[bytes]) -> None:
+        tokens = list(missing)
+        self.known.update(zip(tokens, self.words(tokens).tolist(), strict=True))
+
     def evidence(self, text: bytes) -> list[float]:
         """Scores of the most suspicious words, repeats counted, and the text's length (a
         long text meets such words by chance)."""
         tokens, best = text.split(), [NOTHING] * TOP
         for at in range(0, len(tokens), BLOCK):
             block = tokens[at : at + BLOCK]
-            if missing := list(set(filterfalse(self.known.__contains__, block))):
-                if len(self.known) > KNOWN:
-                    self.known.clear()
-                    missing = list(set(block))
-                self.known.update(zip(missing, self.words(missing).tolist(), strict=True))
+            if missing := set(filterfalse(self.known.__contains__, block)):
+                self._learn(missing)
             v = np.fromiter(map(self.known.__getitem__, block), np.float64, len(block))
             single = np.isnan(v)
             if single.any():
@@ -350,7 +367,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "_text"):
-            found = np.array([raw.evidence(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, TOP + 1)
+            texts_ = b.column(1).to_pylist()
+            raw.prepare(texts_)
+            found = np.array([raw.evidence(t) for t in texts_], np.float64).reshape(-1, TOP + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(TOP + 1))], names=["bad", *(f"e{k}" for k in range(TOP + 1))])
 
     got = texts.mapInArrow(tops, "bad int, " + ", ".join(f"e{k} double" for k in range(TOP + 1))).toPandas()
@@ -370,7 +389,9 @@ def assess(docs: DataFrame, scorer: Scorer, keep: list[Column | str], text_col:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Scorer(*model.value)
         for b in chunks(batches, "_text"):
-            s = np.array([mine.score(t) for t in b.column("_text").to_pylist()], np.float64)
+            texts = b.column("_text").to_pylist()
+            mine.prepare(texts)
+            s = np.array([mine.score(t) for t in texts], np.float64)
             out = b.drop_columns(["_text"]).append_column("score", pa.array(s))
             yield out.append_column("predicted", pa.array((s >= cut).astype(np.int32)))
 
