@@ -76,3 +76,36 @@ def test_first_of_each(spark):
     assert sorted(ids) == sorted(set(want.values()))
     assert left.where("text = 'again and again'").count() == 1 and left.where("text = 'no id here'").count() == 1
     assert simhash.Copies(df.limit(0)).first_of_each().count() == 0
+
+
+def test_sketches_hold_back_no_similar_pair(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    for _ in range(200):
+        a, b = (np.unique(np.concatenate((base[rng.random(300) < 0.9], rng.integers(0, 1 << 63, 20).astype(np.uint64)))) for _ in "ab")
+        differ = int(np.bitwise_count((simhash.odd_sketch(a) ^ simhash.odd_sketch(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+    assert not simhash.odd_sketch(np.zeros(0, np.uint64)).any()
+
+
+def test_group_under_the_cut_gives_few_pairs(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base, texts = [word() for _ in range(100)], []
+    for _ in range(150):
+        t = list(base)
+        for k in rng.choice(100, 6, replace=False):
+            t[k] = word()
+        texts.append(" ".join(t))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    found = []
+    plain = simhash.Copies._similar
+
+    class Watched(simhash.Copies):
+        def _similar(self, pairs, text_col):
+            found.append(pairs.count())
+            return plain(self, pairs, text_col)
+
+    got = {r["doc_id"]: r["component_id"] for r in Watched(spark.createDataFrame(rows, DOCS)).classes().collect()}
+    assert got == plain_components(rows, 0.8, 14)
+    assert found[1] < 1000  # of 11,175 pairs, most of them near in fingerprints

@@ -38,6 +38,9 @@ from .components import connected_components
 BITS = 64
 #: What a probe row costs (made twice, shuffled, sorted), in comparisons of two rows.
 PROBE = 50
+#: Words of 64 bits in an odd sketch.
+SKETCH = 8
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -64,6 +67,13 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * SKETCH values: how many of the distinct hashes have it, mod 2.
+    Sketches of two sets differ in at most as many bits as the sets have unshared elements."""
+    odd = np.bincount((hashes % np.uint64(BITS * SKETCH)).astype(np.int64), minlength=BITS * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     """The majority over all shingles, repeats included; no words give zero."""
     return majority(shingle_hashes(text, shingle, seed))
@@ -207,18 +217,34 @@ def _linked(p: np.ndarray, i: np.ndarray, far: np.ndarray, probe: np.ndarray, in
 
 
 def _nearest(p: np.ndarray, i: np.ndarray, far: np.ndarray, probe: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node's nearest partner of a smaller number: few pairs, that join large groups."""
+    """Each node's nearest partner of a smaller number: few pairs, that join large groups; and
+    (u, u) for each probe u that met another node."""
     a, b = probe[p, 1], index[i, 1]
+    met = np.unique(a[a != b])
     u, v = np.maximum(a, b), np.minimum(a, b)
     order = np.lexsort((v, far, u))
     order = order[u[order] != v[order]]
     first = order[np.flatnonzero(np.diff(u[order], prepend=u[order[:1]] - 1))] if len(order) else order
-    return u[first], v[first]
+    return np.concatenate((u[first], met)), np.concatenate((v[first], met))
 
 
 def _apart(p: np.ndarray, i: np.ndarray, far: np.ndarray, probe: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of different components."""
+    return _pairs_of(p, i, probe[p, 2] != index[i, 2], probe, index)
+
+
+def _possible(p: np.ndarray, i: np.ndarray, far: np.ndarray, probe: np.ndarray, index: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose sketches differ in no more bits than sets of the
+    wanted similarity have unshared elements; no similar pair is left out."""
     keep = probe[p, 2] != index[i, 2]
+    for at in range(0, len(p), most):
+        a, b = probe[p[at : at + most]], index[i[at : at + most]]
+        differ = np.bitwise_count((a[:, 4:] ^ b[:, 4:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        keep[at : at + most] &= differ * 1000 <= a[:, 3] + b[:, 3]
+    return _pairs_of(p, i, keep, probe, index)
+
+
+def _pairs_of(p: np.ndarray, i: np.ndarray, keep: np.ndarray, probe: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = probe[p[keep], 1], index[i[keep], 1]
     pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
     return pairs[:, 0], pairs[:, 1]
@@ -261,7 +287,8 @@ class Probes:
     to all its rows, and the pairs that meet in them.
 
     ``sized`` rows are of sets whose sizes differ at most by the factor ``cut``: index rows go
-    to the size class of their own set and the next, probes to their own class."""
+    to the size class of their own set and the next, probes to their own class. Rows with false
+    in a column ``asks`` do not probe."""
 
     def __init__(self, fps: DataFrame, radius: int, options: tuple[int, ...] = (4, 5, 6, 8), cut: float | None = None):
         if not all(1 <= p <= 8 and BITS // p <= 22 for p in options):
@@ -327,18 +354,20 @@ class Probes:
         return cost
 
     def _spread(self, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, role, names). A batch has ``names`` and, if sized, ``size``."""
+        """Rows (key, role, names). A batch has ``names``, ``asks`` and, if sized, ``size``."""
         schema = pa.schema([("key", pa.int64()), ("role", pa.int8()), *((c, pa.int64()) for c in names)])
         total = self.radius - len(self.groups) + 1
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            step = min(2048, 6144 // len(names))  # rows of many columns make larger batches
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 columns = [np.asarray(b.column(c)) for c in names]
                 v = values(columns[0], self.groups)
                 level = np.zeros(len(v), np.int64)
                 if self.cut is not None:
                     level = np.floor(np.log(np.maximum(np.asarray(b.column("size")), 1)) / -np.log(self.cut)).astype(np.int64)
                 chosen = allot(self._cost(columns[0], self.groups, self.near, self.masks), total)
+                chosen[~np.asarray(b.column("asks"))] = -1
                 for k in range(len(self.groups)):
                     own = v[:, k] | (k << 32) | (level << 36)
                     for up in (0, 1) if self.cut is not None else (0,):
@@ -352,8 +381,9 @@ class Probes:
     def pairs(self, fps: DataFrame, pick, block: int = 4096) -> DataFrame:
         """(u, v) as ``pick`` chooses them from the pairs within the radius. Probes are cheaper
         to make twice than to keep."""
-        names = {_linked: ["fp"], _nearest: ["fp", "node"], _apart: ["fp", "node", "c"]}[pick]
-        rows = fps.select(*names, *(["size"] if self.cut is not None else [])).mapInArrow(lambda batches: self._spread(batches, names), "key long, role byte, " + ", ".join(f"{c} long" for c in names))
+        names = {_linked: ["fp"], _nearest: ["fp", "node"], _apart: ["fp", "node", "c"], _possible: ["fp", "node", "c", "room", *SKETCHES]}[pick]
+        asks = F.col("asks") if "asks" in fps.columns else F.lit(True).alias("asks")
+        rows = fps.select(*names, asks, *(["size"] if self.cut is not None else [])).mapInArrow(lambda batches: self._spread(batches, names), "key long, role byte, " + ", ".join(f"{c} long" for c in names))
         size = rows.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("n_i"), F.count_if(F.col("role") == 1).alias("n_p"))
         parts_of = lambda n: F.ceil(F.col(n) / block).cast("int")
         # Only buckets of more than one block: at most rows / block of them.
@@ -429,7 +459,10 @@ class Copies:
     deviation of 2.9, so that a radius of 14 holds 95 % of pairs at the cut itself and nearly
     all above it. Equal sets are one node however many rows have them. Pairs are checked in
     two rounds: each node with its nearest partner in every block, which joins a large group
-    by few pairs, then all pairs whose ends are still in different components.
+    by few pairs, then those whose ends are still in different components. Of these only pairs
+    leave their block whose odd sketches (512 bits) allow the similarity, which every similar
+    pair's do: a large group of texts just under the cut is compared in blocks and gives few
+    rows. Sketches of sets of over some 1,000 shingles are full and hold back less.
 
     Null texts count as empty; texts without words are alike. Ids may be null or repeated, and
     other columns, whatever their names, are carried along. ``rows`` is a written table (uid,
@@ -447,24 +480,31 @@ class Copies:
                 fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 out = b.drop_columns(["text"])
-                for name, x in (("node", node), ("fp", fp), ("size", np.array([len(s) for s in sets], np.int64))):
+                sketch = np.array([odd_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
+                size = np.array([len(s) for s in sets], np.int64)
+                for name, x in (("node", node), ("fp", fp), ("size", size), *zip(SKETCHES, np.ascontiguousarray(sketch.T), strict=True)):
                     out = out.append_column(name, pa.array(x))
                 yield out
 
         kept = docs.select(whole, text_bytes(text_col).alias("text"))
         kind = kept.schema["doc"].dataType.simpleString()
-        self.rows = written(kept.mapInArrow(of, f"doc {kind}, node long, fp long, size long").withColumn("uid", F.monotonically_increasing_id()), "copies")
+        self.rows = written(kept.mapInArrow(of, f"doc {kind}, node long, fp long, size long, " + ", ".join(f"{c} long" for c in SKETCHES)).withColumn("uid", F.monotonically_increasing_id()), "copies")
         at = F.col("doc").getField(id_col)
         rep = F.min(F.struct(at.isNull().alias("no_id"), at.alias("id"), F.col("uid").alias("uid"))).alias("rep")
-        nodes = written(self.rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), rep, F.count("*").alias("n")), "nodes")
+        nodes = written(self.rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", *SKETCHES)], rep, F.count("*").alias("n")), "nodes")
         self.total = nodes.agg(F.sum("n")).first()[0] or 0
         probes = Probes(nodes, radius, cut=cut)
-        first = written(probes.pairs(nodes, _nearest).distinct(), "pairs")
+        met = written(probes.pairs(nodes, _nearest).distinct(), "pairs")
+        first = met.where("u != v")
         links = written(self._similar(first, text_col), "links")
         groups = written(connected_components(links), "groups")
-        placed = nodes.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        placed = written(placed.select("node", "fp", "size", "c"), "placed")
-        second = written(probes.pairs(placed, _apart).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+        # Who met nobody in the first round meets nobody now.
+        asks = met.where("u = v").select(F.col("u").alias("node"), F.lit(True).alias("asks"))
+        placed = nodes.join(groups, "node", "left").join(asks, "node", "left")
+        room = F.ceil(F.col("size") * (1000 * (1 - cut) / (1 + cut)) + 1e-6).alias("room")  # thousandths of unshared elements, for each end
+        placed = placed.select("node", "fp", "size", F.coalesce("component", "node").alias("c"), F.coalesce("asks", F.lit(False)).alias("asks"), room, *SKETCHES)
+        placed = written(placed, "placed")
+        second = written(probes.pairs(placed, _possible).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
         links = links.unionByName(self._similar(second, text_col))
         comp = nodes.join(connected_components(links), "node", "left")
         self.nodes = written(comp.select("node", "rep", "n", F.coalesce("component", "node").alias("component")), "classes")
