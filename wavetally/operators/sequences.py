@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetally.functions import signals
+from wavetally.operators import intervals
 from wavetally.operators.robust import finite
 
 
@@ -23,6 +24,16 @@ def flat_runs(df: DataFrame, keys: list[str], order: list[str], value: str, tole
     return runs.where(F.col("n") >= max(2, least)).select(*keys, "first", "last", "n")
 
 
+def invalid_runs(df: DataFrame, keys: list[str], sample: str, value: str, least: int, tolerance: float = 0.0) -> DataFrame:
+    """Half-open intervals (keys, start, stop) of samples that are not finite or lie in a flat
+    run of ``least`` samples; ``sample`` counts without gaps from its first value."""
+    first = df.groupBy(*keys).agg(F.min(sample).alias("_0"))
+    flat = flat_runs(df, keys, [sample], value, tolerance, least).join(first, keys)
+    flat = flat.select(*keys, (F.col("first") - 1 + F.col("_0")).alias("start"), (F.col("last") + F.col("_0")).alias("stop"))
+    lost = df.where(~F.coalesce(finite(F.col(value)), F.lit(False))).select(*keys, F.col(sample).alias("start"), (F.col(sample) + 1).alias("stop"))
+    return intervals.merge(lost.unionByName(flat), keys).drop("n")
+
+
 def interpolate(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """``filled``: linear in ``order`` through missing values, constant at the ends."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -48,6 +48,44 @@ def exact_count(scores: DataFrame, keys: list[str], fraction: float, score: str
     return got.withColumn("tied", F.col("recoveries") != F.col("wanted"))
 
 
+def exact_or_raise(scores: DataFrame, keys: list[str], fraction: float, score: str = "score") -> DataFrame:
+    """``exact_count`` for scores in [0, 1]; a key whose count would be under one, and ties
+    across the rank, raise."""
+    if not 0 < fraction <= 1:
+        raise ValueError("the fraction lies within (0, 1]")
+    inside = F.coalesce(F.col(score).between(0.0, 1.0) & ~F.isnan(score), F.lit(False))
+    seen = scores.groupBy(*keys).agg(F.count("*").alias("trials"), F.count_if(~inside).alias("outside"))
+    faults = seen.agg(F.count("*").alias("groups"), F.sum("outside").alias("outside"), F.count_if(F.floor(fraction * F.col("trials") + 0.5) < 1).alias("small")).first()
+    if not faults["groups"] or faults["outside"]:
+        raise ValueError("scores are finite numbers within [0, 1], one at least")
+    if faults["small"]:
+        raise ValueError("the wanted recovery is under one trial")
+    found = exact_count(scores, keys, fraction, score)
+    tied = found.where("tied").select(*keys, "recoveries", "wanted").limit(1).collect()  # one is named
+    if tied:
+        raise UnattainableError(f"ties recover {tied[0]['recoveries']} trials, not {tied[0]['wanted']}: {tied[0].asDict()}")
+    return found.drop("tied")
+
+
+def development_thresholds(injections: DataFrame, codes: list[str], grid: list[float], target: float, amplitude: float, jitter: float, score: str = "maximum_matched_score") -> DataFrame:
+    """``grid_threshold`` of each code over the trials of one condition; a code without any
+    trial raises."""
+    rows = injections.where((F.col("amplitude_mad") == amplitude) & (F.col("interval_jitter_fraction") == jitter) & F.col("code_id").isin(codes))
+    out = grid_threshold(rows, ["code_id"], grid, target, score)
+    lost = sorted(set(codes) - {r["code_id"] for r in out.select("code_id").collect()})  # one row a code
+    if lost:
+        raise ValueError(f"no trials of the condition for {lost}")
+    return out
+
+
+def calibrated_only(found: DataFrame) -> DataFrame:
+    """Codes with a threshold; none at all raises."""
+    kept = found.where("calibrated").select("code_id", "threshold")
+    if kept.isEmpty():
+        raise ValueError("no code is calibrated")
+    return kept
+
+
 def decimal_grid(spark: SparkSession, start: float, stop: float, step: float) -> DataFrame:
     """start, start + step, ..., stop; the last value is ``stop`` itself."""
     n = round((stop - start) / step)

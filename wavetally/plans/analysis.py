@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetally.operators import rates, thresholds
@@ -52,6 +52,47 @@ def matched(bundle: Bundle, design: Design) -> DataFrame:
     return t.join(least, "level").drop("_d", "single", "below")
 
 
+#: The entries of a gate document that hold frozen thresholds.
+FROZEN = "sc_95_descriptive_thresholds"
+
+
+def frozen_thresholds(spark: SparkSession, gate: dict) -> DataFrame:
+    """The thresholds of a gate document in the form of ``matched``: a row for each role."""
+    got, level = gate[FROZEN], float(gate["recovery_target"])
+    n, trials = int(got["recoveries"]), int(got["trials"])
+    rows = [(level, role, str(gate[role]), float(got[f"{role}_threshold"]), n, trials, n) for role in ("candidate", "control")]
+    return spark.createDataFrame(rows, "level double, role string, code_id string, threshold double, recoveries long, trials long, matched_recoveries long")
+
+
+def gate_design(gate: dict, scope: str = "rem") -> Design:
+    """The condition that a gate document froze."""
+    return Design(str(gate["candidate"]), str(gate["control"]), float(gate["amplitude_mad"]), float(gate["interval_jitter_fraction"]), (float(gate["recovery_target"]),), scope)
+
+
+def verify_sources(gate: dict, digests: dict[str, str]) -> None:
+    """The files that a gate document was made from, a few, must have their digests still."""
+    changed = sorted(f for f, want in gate["generated_from"]["files"].items() if digests.get(f) != want)
+    if changed:
+        raise ValueError(f"sources differ from the gate: {', '.join(changed)}")
+
+
+def subject_differences(events: DataFrame, exposure: DataFrame, thresholds: dict[str, float], candidate: str, control: str) -> DataFrame:
+    """Each subject's counts and rates of both codes and their difference (null without hours):
+    the table behind a figure of subjects."""
+    two = {"candidate": candidate, "control": control}
+    pair = [rates.subject_counts(events, exposure, code, thresholds[code]) for code in two.values()]
+    rate = lambda role: F.try_divide(f"{role}_events", "hours")
+    out = rates.paired(*pair).withColumns({f"{role}_rate": rate(role) for role in two})
+    return out.withColumn("difference", F.col("candidate_rate") - F.col("control_rate"))
+
+
+def contrast_panels(rows: DataFrame, high: float = 0.95) -> DataFrame:
+    """Contrasts (cohort, level, role, difference, lower, upper) with the label and panel that a
+    figure shows them under."""
+    percent = F.round(F.col("level") * 100).cast("int").cast("string")
+    return rows.withColumns({"label": F.format_string("%s %s%% (%s)", "cohort", percent, "role"), "panel": F.when(F.col("level") < high, "lower-rate points").otherwise("high-recovery tests")})
+
+
 def points(bundle: Bundle, table: DataFrame, design: Design) -> DataFrame:
     """Operating points with exact intervals; ``table`` may come from another cohort."""
     events = bundle.events.where(F.col("scope") == design.scope)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -117,6 +118,52 @@ def candidates(chunks: DataFrame, intervals: DataFrame, banks: dict[str, dict[fl
     return _with_intervals(chunks, intervals).groupBy("record_id").applyInPandas(of, CANDIDATES)
 
 
+GRID = "record_id string, code_id string, anchor_index int, anchor_sample long, amplitude_mad double, interval_jitter_fraction double, injection_samples long, matched_score double, matched_start long, matched_scale double, local_mad double"
+
+
+def _best_near(y: np.ndarray, offset: int, bank: dict[float, np.ndarray], d: Detector, eligible: np.ndarray, scale: float, anchor: int, tolerance: float) -> tuple:
+    """(score, start, template scale) of the best candidate that starts near the anchor; the
+    first sample of ``y`` and ``eligible`` is ``offset``."""
+    near = [r for r in scan(y, bank, d, eligible, scale) if abs(r[0] + offset - anchor) <= tolerance * d.rate]
+    best = max(near, key=lambda r: (r[4], -r[0])) if near else None
+    return (best[4], best[0] + offset, best[3]) if best else (0.0, None, None)
+
+
+def injection_grid(chunks: DataFrame, intervals: DataFrame, rhythms: dict[str, str], w: waveforms.Waveform, banks: dict[str, dict[float, np.ndarray]], sos: np.ndarray, d: Detector, p: waveforms.Perturbation, amplitudes: list[float], jitters: list[float], seed: int, most: int = 20, separation: int = 3000, context: float = 1.5, tolerance: float = 0.75) -> DataFrame:
+    """Every code x jitter x amplitude at the same anchors of a recording.
+
+    A condition puts all its copies into one signal, which is filtered whole; its draws have a
+    seed of record, code, amplitude and jitter. Anchors with too little signal before them are
+    left out; a recording without any anchor raises."""
+    width = waveforms.longest_injection(list(rhythms.values()), w, max(jitters), p.transition[1])
+    grid = list(product(rhythms.items(), jitters, amplitudes))
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = signals.fill_gaps(_signal(rows))
+        first = rows.sort_values("chunk_idx").iloc[0]
+        record, invalid = first["record_id"], _mask(first["invalid"], len(raw))
+        eligible = _mask(first["eligible"], len(raw)) & ~invalid
+        x = signals.zero_phase(raw, sos)
+        drawn = signals.choose_anchors(eligible, width, separation, most, np.random.default_rng(labelled_seed(seed, record, "anchors")), stride=round(d.rate))
+        places = [(i, a, mad) for i, a in enumerate(drawn.tolist()) if (mad := trailing_scale(x, invalid, a, d))]
+        if not places:
+            raise ValueError(f"{record}: no anchor")
+        out, around = [], int(context * d.rate)
+        for (code, rhythm), jitter, amplitude in grid:
+            rng, added = np.random.default_rng(labelled_seed(seed, record, code, amplitude, jitter)), np.zeros(len(raw))
+            waves = [waveforms.perturbed(rhythm, w, amplitude * mad, rng, replace(p, jitter=jitter)) for _, _, mad in places]
+            for (_, a, _), wave in zip(places, waves, strict=True):
+                added[a : a + len(wave)] += wave
+            y = signals.zero_phase(raw + added, sos)
+            for (i, a, mad), wave in zip(places, waves, strict=True):
+                part = slice(max(0, a - around), min(len(raw), a + width + around))
+                best = _best_near(y[part], part.start, banks[code], d, eligible[part], mad, a, tolerance)
+                out.append((record, code, i, a, amplitude, jitter, len(wave), *best, mad))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in GRID.split(", ")])
+
+    return _with_intervals(chunks, intervals).groupBy("record_id").applyInPandas(of, GRID)
+
+
 def injections(chunks: DataFrame, intervals: DataFrame, rhythms: dict[str, str], w: waveforms.Waveform, banks: dict[str, dict[float, np.ndarray]], sos: np.ndarray, d: Detector, p: waveforms.Perturbation, amplitude: float, seed: int, most: int = 20, separation: int = 3000, context: float = 1.5, tolerance: float = 0.75) -> DataFrame:
     """Scores of synthetic copies added to the raw signal at shared anchors; both codes use
     one seed per anchor. Anchors without enough signal before them have a status."""
@@ -143,9 +190,7 @@ def injections(chunks: DataFrame, intervals: DataFrame, rhythms: dict[str, str],
                 y = raw[far_lo:far_hi].copy()
                 y[a - far_lo : a - far_lo + len(wave)] += wave[: len(y) - (a - far_lo)]
                 y = signals.zero_phase(y, sos)[lo - far_lo : hi - far_lo]
-                near = [r for r in scan(y, banks[code], d, np.ones(len(y), bool), scale) if abs(r[0] + lo - a) <= tolerance * d.rate]
-                best = max(near, key=lambda r: (r[4], -r[0])) if near else None
-                out.append((record, code, i, a, best[4] if best else 0.0, best[0] + lo if best else None, best[3] if best else None, scale, "ok"))
+                out.append((record, code, i, a, *_best_near(y, lo, banks[code], d, np.ones(len(y), bool), scale, a, tolerance), scale, "ok"))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")])
 
     return _with_intervals(chunks, intervals).groupBy("record_id").applyInPandas(of, SCORES)

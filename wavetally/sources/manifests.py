@@ -115,6 +115,51 @@ def repeated(df: DataFrame, digest: str, member: str) -> DataFrame:
     return df.groupBy(digest).agg(F.count("*").alias("n"), F.min(member).alias("first")).where("n > 1")
 
 
+#: File names of the two studies. Groups: subject and night.
+NAMES = {
+    "sc": r"^sleep-cassette/SC4(\d{2})([12])[EFG]0-PSG\.edf$",
+    "st": r"^sleep-telemetry/ST7(\d{2})([12])J0-PSG\.edf$",
+}
+
+
+def named(files: DataFrame, patterns: dict[str, str] = NAMES, path: str = "file") -> DataFrame:
+    """Files that match a study's pattern, with study, subject and night; others go. A null path
+    matches none."""
+    study = F.coalesce(*[F.when(F.col(path).rlike(p), F.lit(k)) for k, p in patterns.items()])
+    part = lambda n: F.coalesce(*[F.when(F.col("study") == k, F.regexp_extract(path, p, n)) for k, p in patterns.items()]).cast("int")
+    return files.withColumn("study", study).where("study is not null").withColumns({"subject": part(1), "night": part(2)})
+
+
+def classified(records: DataFrame, nights: DataFrame, placebo: DataFrame, first_subject: int = 12) -> DataFrame:
+    """records: as ``named`` gives them. nights: (subject, night) of study sc; placebo: (subject,
+    placebo_night) of study st. Adds participant, cohort, role and condition. Subjects of sc
+    under ``first_subject`` go, as they served development; a record without a row of its table
+    raises."""
+    sc = records.where((F.col("study") == "sc") & (F.col("subject") >= first_subject)).join(nights.select("subject", "night", F.lit(True).alias("_known")), ["subject", "night"], "left")
+    st = records.where("study = 'st'").join(placebo.select("subject", "placebo_night"), "subject", "left").withColumn("_known", F.col("placebo_night").isNotNull())
+    both = sc.withColumn("placebo_night", F.lit(None).cast("int")).unionByName(st)
+    if not both.where("_known is null or not _known").isEmpty():
+        raise ValueError("a record is missing from its table of subjects")
+    kind = F.when(F.col("study") == "sc", "sc").when(F.col("night") == F.col("placebo_night"), "placebo").otherwise("drug")
+    # The cohorts, roles and conditions below.
+    named_as = lambda sc, placebo, drug: F.when(kind == "sc", sc).when(kind == "placebo", placebo).otherwise(drug)
+    return both.withColumns({
+        "participant_id": F.concat(F.upper("study"), F.lpad(F.col("subject").cast("string"), 2, "0")),
+        "cohort": named_as("sleep_edf_sc_confirmatory", "sleep_edf_st_placebo", "sleep_edf_st_temazepam"),
+        "analysis_role": named_as("primary_confirmation", "threshold_transport", "exploratory_drug_condition"),
+        "condition": named_as("spontaneous", "placebo", "temazepam"),
+    }).drop("_known", "placebo_night")
+
+
+def require_counts(rows: DataFrame, want: dict[str, tuple[int, int]], role: str = "analysis_role", subject: str = "participant_id") -> DataFrame:
+    """``want``: rows and subjects of each role, a few roles. Any other count raises."""
+    got = {r[role]: (r["n"], r["s"]) for r in rows.groupBy(role).agg(F.count("*").alias("n"), F.count_distinct(subject).alias("s")).collect()}
+    wrong = {k: got.get(k, (0, 0)) for k in want if got.get(k, (0, 0)) != want[k]}
+    if wrong:
+        raise ValueError(f"rows and subjects differ from the plan: {wrong}")
+    return rows
+
+
 def build_manifest(records: DataFrame, checksums: DataFrame, subjects: DataFrame) -> DataFrame:
     """Records with the digests of their two files and their subject's row; a record that
     lacks one raises."""

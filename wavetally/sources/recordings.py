@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavetally.functions import signals
+
 CHUNKS = "record_id string, label string, chunk_idx int, start_sample long, sample_rate_hz double, values array<double>"
 HEADER = "path string, status string, error string, n_records long, record_seconds double, label string, unit string, sample_rate_hz double, n_samples long"
 NOTES = "record_id string, onset_s double, duration_s double, label string"
@@ -124,6 +126,31 @@ def subtract(chunks: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("record_id", F.lit(f"{a}-{b}").alias("label"), "chunk_idx", "start_sample", "sample_rate_hz", F.zip_with("_a", "_b", lambda x, y: x - y).alias("values"))
 
 
+def one_channel(chunks: DataFrame, operation: str, a: str, b: str = "") -> DataFrame:
+    """The channel that a manifest row names: itself, or the difference of two."""
+    if operation not in ("identity", "subtract") or (operation == "subtract") != bool(b):
+        raise ValueError("identity has one channel, subtract two")
+    return subtract(chunks, a, b) if b else chunks.where(F.col("label") == a)
+
+
+def resampled(chunks: DataFrame, target: float, chunk: int = 60_000) -> DataFrame:
+    """Each recording and channel at the rate ``target``: gaps are filled, the whole recording
+    is filtered at once, and samples that stem from a gap are marked in ``lost``. Null values
+    count as gaps; a recording without a finite sample raises."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk_idx")
+        x = np.concatenate([np.asarray(v, float) for v in rows["values"]])
+        source = float(rows["sample_rate_hz"].iloc[0])
+        y = signals.resample(signals.fill_gaps(x), source, target)
+        origin = np.minimum(len(x) - 1, np.floor(np.arange(len(y)) / target * source + 1e-9).astype(int))
+        lost, first = ~np.isfinite(x)[origin], rows.iloc[0]
+        out = [(first["record_id"], first["label"], i, at, target, y[at : at + chunk].tolist(), lost[at : at + chunk].tolist()) for i, at in enumerate(range(0, len(y), chunk))]
+        return pd.DataFrame(out, columns=[*(c.split()[0] for c in CHUNKS.split(", ")), "lost"])
+
+    return chunks.groupBy("record_id", "label").applyInPandas(of, CHUNKS + ", lost array<boolean>")
+
+
 def exploded(chunks: DataFrame) -> DataFrame:
     """(record_id, sample, value) for operators in SQL."""
     return chunks.select("record_id", "start_sample", F.posexplode("values").alias("k", "value")).select("record_id", (F.col("start_sample") + F.col("k")).alias("sample"), "value")

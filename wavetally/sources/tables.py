@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, is_dataclass
@@ -134,6 +135,18 @@ def write_records(df: DataFrame, path: str, key: str = "record_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def fingerprint(settings: dict) -> str:
+    """SHA-256 of the settings of a run, whatever the order of their keys."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def same_run(finished: DataFrame, settings: dict, column: str = "run_fingerprint") -> DataFrame:
+    """Finished records, which must all stem from a run of these settings."""
+    if not finished.where(~F.col(column).eqNullSafe(fingerprint(settings))).isEmpty():
+        raise TableError("finished records stem from other settings")
+    return finished
+
+
 def unfinished(records: DataFrame, finished: DataFrame, key: str = "record_id") -> DataFrame:
     """Records that a resumed run still has to do."""
     return records.join(finished.select(key).distinct(), key, "left_anti")
