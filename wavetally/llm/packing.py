@@ -4,14 +4,17 @@ Pieces are dealt evenly to partitions of about ``rows`` pieces. Each partition i
 by best-fit decreasing, and dual-feasible functions over its lengths give a lower bound
 of its bin count. Partitions above their bound exchange documents: their bins with free
 room are dealt anew in mixed groups and packed again; a group's new packing is taken
-where it needs fewer bins, so the total never grows. Rounds end when no partition has a
-gap or nothing was saved.
+where it needs fewer bins, so the total never grows. A group that saves nothing keeps its
+gap and is mixed anew in the next round. Rounds end when no partition has a gap or a whole
+round saves nothing. ``certificate`` compares the result with the bound over all pieces.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,6 @@ from .bpe import text_encoder
 from .common import as_batch, chunks, text_bytes, written
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
-PACKED = PIECE + ", part long, sequence_id long, offset long, free long, gap double"
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,11 +77,14 @@ def best_fit_decreasing(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.n
     return bins, offsets, room
 
 
-def lower_bound(sizes: np.ndarray, limit: int, most_k: int = 24) -> float:
-    """The largest bound of the plain volume and two families of dual-feasible functions:
+def lower_bound(sizes: np.ndarray, limit: int) -> float:
+    return bound_of_counts(np.bincount(sizes, minlength=limit + 1).astype(np.float64), limit)
+
+
+def bound_of_counts(count: np.ndarray, limit: int, most_k: int = 24) -> float:
+    """count: items of each size from 0 to ``limit``. The largest bound of the plain volume and two families of dual-feasible functions:
     u_k(x) = x if (k + 1) x is whole, else floor((k + 1) x) / k; and f_e(x) = 1 above
     1 - e, x from e to 1 - e, 0 below e. A bin count is at least this, rounded up."""
-    count = np.bincount(sizes, minlength=limit + 1).astype(np.float64)
     x = np.arange(limit + 1)
     best = float(count @ x) / limit
     for k in range(1, most_k + 1):
@@ -93,14 +98,15 @@ def lower_bound(sizes: np.ndarray, limit: int, most_k: int = 24) -> float:
 
 
 def _bins(part: int, turn: int, bins: np.ndarray) -> np.ndarray:
-    return (np.int64(turn) << 56) | (np.int64(part) << 24) | bins
+    """Numbers of their own: below 2**19 rounds, 2**24 partitions and 2**20 bins in one."""
+    return (np.int64(turn) << 44) | (np.int64(part) << 20) | bins
 
 
-def pack(pieces: DataFrame, limit: int = 2048, rows: int = 20_000, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = 2048, rows: int = 20_000, rounds: int | None = None) -> DataFrame:
     """pieces: any columns and ``length`` (1 to ``limit``). Adds sequence_id, offset.
 
     Ties are broken by the order in the table; repeated rows are separate items; an empty
-    table gives an empty table.
+    table gives an empty table. ``rounds`` limits the exchanges (none: until one saves nothing).
     """
     pieces = written(pieces, "pieces")
     own = pieces.columns
@@ -120,7 +126,8 @@ def pack(pieces: DataFrame, limit: int = 2048, rows: int = 20_000, rounds: int =
 
     dealt = pieces.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     packed = written(dealt.groupBy("part").applyInArrow(first, f"{schema}, {added}"), "packed")
-    for turn in range(1, rounds + 1):
+    settled = []
+    for turn in itertools.count(1) if rounds is None else range(1, rounds + 1):
         # Bins with room in partitions above their bound (a fraction of a bin is a gap too).
         loose = (F.col("gap") > 0) & (F.col("free") > 0)
         some = packed.where(loose)
@@ -137,9 +144,9 @@ def pack(pieces: DataFrame, limit: int = 2048, rows: int = 20_000, rounds: int =
             bins, offsets, room = best_fit_decreasing(sizes, limit)
             gap = len(room) - lower_bound(sizes, limit)
             out = t.drop_columns(["mix", "turn"])
-            new = {"gap": np.full(len(sizes), gap if len(room) < before else 0.0), "saved": np.full(len(sizes), before - len(room) if len(room) < before else 0)}
+            new = {"saved": np.full(len(sizes), before - len(room) if len(room) < before else 0)}
             if len(room) < before:
-                new |= {"part": np.full(len(sizes), part), "sequence_id": _bins(part, turn, bins), "offset": offsets, "free": np.array(room, np.int64)[bins]}
+                new |= {"gap": np.full(len(sizes), gap), "part": np.full(len(sizes), part), "sequence_id": _bins(part, turn, bins), "offset": offsets, "free": np.array(room, np.int64)[bins]}
             for name, v in new.items():
                 at = out.schema.get_field_index(name)
                 out = out.append_column(name, pa.array(v)) if at < 0 else out.set_column(at, name, pa.array(v))
@@ -150,10 +157,21 @@ def pack(pieces: DataFrame, limit: int = 2048, rows: int = 20_000, rounds: int =
             "repacked",
         )
         saved = redone.where("saved > 0").limit(1).count()
-        packed = packed.where(~loose).unionByName(redone.drop("saved"))
+        settled.append(packed.where(~loose))
+        packed = redone.drop("saved")
         if not saved:
             break
-    return packed.select(*own, "sequence_id", "offset")
+    return reduce(DataFrame.unionByName, settled, packed).select(*own, "sequence_id", "offset")
+
+
+def certificate(packed: DataFrame, limit: int = 2048) -> tuple[int, int]:
+    """Sequences used, and the least number that any packing of these pieces needs (the bound
+    over all pieces, rounded up). The driver holds one number for each length."""
+    counts = packed.groupBy("length").agg(F.count("*").alias("n"), F.count(F.when(F.col("offset") == 0, 1)).alias("bins")).collect()
+    count = np.zeros(limit + 1)
+    for r in counts:
+        count[r["length"]] = r["n"]
+    return sum(r["bins"] for r in counts), int(np.ceil(bound_of_counts(count, limit) - 1e-9))
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
