@@ -255,7 +255,10 @@ def test_exchange_never_needs_more_bins(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(1, 1000, 3000))], "id long, length long")
     apart = packing.pack(df, limit=1000, rows=100, rounds=0).select("sequence_id").distinct().count()
-    got = packing.pack(df, limit=1000, rows=100).toPandas()
+    packed = packing.pack(df, limit=1000, rows=100)
+    used, least = packing.certificate(packed, 1000)
+    got = packed.toPandas()
+    assert used == got["sequence_id"].nunique() and least == np.ceil(packing.lower_bound(got["length"].to_numpy(), 1000) - 1e-9) <= used
     assert got["sequence_id"].nunique() <= apart and len(got) == 3000 and got.groupby("sequence_id")["length"].sum().max() <= 1000
 
 
@@ -277,6 +280,12 @@ def test_token_files(docs, nothing, tmp_path):
         want[i, len(ids), zlib.crc32(ids)] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     assert rans.read_files(spark, rans.store(nothing, BYTES, 2)).count() == 0
+    blocks = spark.read.parquet(f"{path}/blocks")
+    wrong = f"file://{tmp_path}/wrong"
+    for name, table in (("blocks", blocks.withColumn("crc", F.col("crc") + 1)), ("parts", spark.read.parquet(f"{path}/parts")), ("table", spark.read.parquet(f"{path}/table"))):
+        table.write.parquet(f"{wrong}/{name}")
+    with pytest.raises(Exception, match="checksum"):
+        rans.read_files(spark, wrong).collect()
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1000, 70_000])

@@ -14,7 +14,6 @@ rows of lanes, the lane states and how many words were read, so segments decode
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -115,26 +114,26 @@ def block_crc(words: bytes, marks: bytes) -> int:
 
 # ---------------------------------------------------------------- file sets
 def encode_texts(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table in ascending order of ids: part, id, start (within the part), n, ids
-    (16-bit numbers). Null texts count as empty; null ids come first; ties in any order."""
+    """A written table in the order of ``docs``: id, tie (a number of its own for each row), n,
+    ids (16-bit numbers). Null texts count as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(vocabulary_path)
-        part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
+        encoder, end = text_encoder(vocabulary_path), np.array([end_id], "<u2").tobytes()
+        tie = TaskContext.get().partitionId() << 40
         for b in chunks(batches, "text"):
             data = [d + end for d in encoder.texts(b.column("text").to_pylist())]
-            n = np.array([len(d) // 2 for d in data], np.int64)
-            schema = pa.schema([("part", pa.int32()), ("id", b.column("id").type), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-            yield as_batch(schema, [part] * len(data), b.column("id"), start + np.cumsum(n) - n, n, data)
-            start += int(n.sum())
+            schema = pa.schema([("id", b.column("id").type), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+            yield as_batch(schema, b.column("id"), np.arange(tie, tie + len(data)), [len(d) // 2 for d in data], data)
+            tie += len(data)
 
-    ordered = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
-    return written(ordered.mapInArrow(of, f"part int, id {kind}, start long, n long, ids binary"), "ids")
+    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    return written(rows.mapInArrow(of, f"id {kind}, tie long, n long, ids binary"), "ids")
 
 
 def write_files(encoded: DataFrame, path: str) -> None:
-    """encoded: as ``encode_texts`` gives it."""
+    """encoded: as ``encode_texts`` gives it. Documents are coded in ascending order of ids,
+    null ids first, ties in the order of their numbers; token ids are shuffled, not texts."""
     spark, kind = encoded.sparkSession, encoded.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,37 +150,39 @@ def write_files(encoded: DataFrame, path: str) -> None:
     table = Table.of_counts(counts["symbol"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     rows = [(int(s), int(f)) for s, f in zip(table.symbols, table.freq, strict=True)]
     spark.createDataFrame(rows, "symbol long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    # One row for each range of ids, of which there are as many as shuffle partitions.
-    sizes = sorted((r["part"], r["n"]) for r in encoded.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    offsets = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).astype(np.int64).tolist()
-    spark.createDataFrame([(p, o) for (p, _), o in zip(sizes, offsets, strict=False)], "part int, offset long").coalesce(1).write.parquet(f"{path}/parts")
     shared = spark.sparkContext.broadcast((table.symbols, table.freq.astype(np.int64)))  # at most 65536 rows
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, held, schema = Table(*shared.value), [], None
+        t, held, start, size, schema = Table(*shared.value), [], 0, 0, None
+        part = TaskContext.get().partitionId()
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(r[4] for r in held), "<u2").astype(np.int64)
+            ids = np.frombuffer(b"".join(r[2] for r in held), "<u2").astype(np.int64)
             lanes, words, marks = encode_block(ids, t)
-            lens = [r[3] for r in held]
-            return as_batch(schema, [held[0][0]], [held[0][2]], [len(ids)], [[r[1] for r in held]], [lens], [lanes], [words], [marks], [block_crc(words, marks)])
+            return as_batch(schema, [part], [start], [len(ids)], [[r[0] for r in held]], [[r[1] for r in held]], [lanes], [words], [marks], [block_crc(words, marks)])
 
-        size = 0
         for b in batches:
             schema = pa.schema(
-                [("part", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(b.column(1).type)), ("lens", pa.list_(pa.int64())), ("lanes", pa.int32()), ("words", pa.binary()), ("marks", pa.binary()), ("crc", pa.int64())]
+                [("part", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(b.column(0).type)), ("lens", pa.list_(pa.int64())), ("lanes", pa.int32()), ("words", pa.binary()), ("marks", pa.binary()), ("crc", pa.int64())]
             )
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (size >= BLOCK or row[0] != held[-1][0] or row[2] != held[-1][2] + held[-1][3]):
+                if size >= BLOCK:
                     yield block()
-                    held, size = [], 0
+                    held, start, size = [], start + size, 0
                 held.append(row)
-                size += row[3]
+                size += row[1]
         if held:
             yield block()
 
-    made = encoded.mapInArrow(blocks, f"part int, start long, n long, ids array<{kind}>, lens array<long>, lanes int, words binary, marks binary, crc long")
+    ordered = encoded.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "n", "ids")
+    made = ordered.mapInArrow(blocks, f"part int, start long, n long, ids array<{kind}>, lens array<long>, lanes int, words binary, marks binary, crc long")
     made.sortWithinPartitions("part", "start").write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # One row for each range of ids, of which there are at most as many as shuffle partitions.
+    sizes = []
+    if rows:
+        sizes = sorted((r["part"], r["n"]) for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect())
+    offsets = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).astype(np.int64).tolist()
+    spark.createDataFrame([(p, o) for (p, _), o in zip(sizes, offsets, strict=False)], "part int, offset long").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -223,9 +224,6 @@ def store(docs: DataFrame, vocabulary_path: str, end_id: int, path: str | None =
     """Encodes, codes and writes ``docs``; returns the folder of the file set. An empty
     table gives an empty file set; other columns are not read."""
     encoded = encode_texts(docs, vocabulary_path, end_id, id_col, text_col)
-    # The ordered texts are no longer needed: let Spark's cleaner drop that shuffle now.
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()
     path = path or new_path(docs.sparkSession, "ids-files")
     write_files(encoded, path)
     drop_written(encoded)
