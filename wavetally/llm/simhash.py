@@ -218,13 +218,13 @@ def _linked(p: np.ndarray, i: np.ndarray, far: np.ndarray, probe: np.ndarray, in
 
 def _nearest(p: np.ndarray, i: np.ndarray, far: np.ndarray, probe: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node's nearest partner of a smaller number: few pairs, that join large groups; and
-    (u, u) for each probe u that met another node."""
+    (u, u) for each probe u that met another node and is in none of these pairs."""
     a, b = probe[p, 1], index[i, 1]
-    met = np.unique(a[a != b])
     u, v = np.maximum(a, b), np.minimum(a, b)
     order = np.lexsort((v, far, u))
     order = order[u[order] != v[order]]
     first = order[np.flatnonzero(np.diff(u[order], prepend=u[order[:1]] - 1))] if len(order) else order
+    met = np.setdiff1d(a[a != b], np.concatenate((u[first], v[first])))
     return np.concatenate((u[first], met)), np.concatenate((v[first], met))
 
 
@@ -499,7 +499,7 @@ class Copies:
         links = written(self._similar(first, text_col), "links")
         groups = written(connected_components(links), "groups")
         # Who met nobody in the first round meets nobody now.
-        asks = met.where("u = v").select(F.col("u").alias("node"), F.lit(True).alias("asks"))
+        asks = met.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("asks", F.lit(True))
         placed = nodes.join(groups, "node", "left").join(asks, "node", "left")
         room = F.ceil(F.col("size") * (1000 * (1 - cut) / (1 + cut)) + 1e-6).alias("room")  # thousandths of unshared elements, for each end
         placed = placed.select("node", "fp", "size", F.coalesce("component", "node").alias("c"), F.coalesce("asks", F.lit(False)).alias("asks"), room, *SKETCHES)
