@@ -84,6 +84,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn_profiles(docs, ~held_out()), ["doc_id", held_out().alias("held_out")])
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import mine
+
+    return mine(read(spark, sf_dir, "documents"), top=2000)
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixsort import remove_repeats
+
+    out = remove_repeats(read(spark, sf_dir, "documents"), length=200)
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetitions import collapse, digest_columns
+
+    out = collapse(read(spark, sf_dir, "documents"), altered=True)
+    return out.select("doc_id", *[c.alias(k) for k, c in digest_columns().items()])
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -95,5 +117,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
+    "op11_phrases": op11_phrases,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {}
