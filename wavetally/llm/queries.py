@@ -121,4 +121,21 @@ QUERIES = {
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Phrases counted without pruning, all cuts, products in 128 bits.
+PHRASES_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+ p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) kk(k) WHERE len(w) >= k),
+ f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+ total AS (SELECT lang, sum(n)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+ c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 100),
+ cuts AS (SELECT c.*, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest FROM c, range(1, 5) jj(j) WHERE j < k),
+ scored AS (SELECT u.lang, u.phrase, u.k, u.w, u.a, l.n AS l, r.n AS r, total.n::BIGINT AS n, ((1000::HUGEINT * u.a * total.n) // (l.n::HUGEINT * r.n))::BIGINT AS score, j
+  FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = u.head JOIN f r ON r.lang = u.lang AND r.phrase = u.rest JOIN total ON total.lang = u.lang
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, j) = 1),
+ inner_phrases AS (SELECT s.lang, array_to_string(s.w[i:i + m - 1], ' ') AS phrase, max(s.a) AS a FROM scored s, range(1, 5) ii(i), range(2, 5) mm(m) WHERE m < s.k AND i + m - 1 <= s.k GROUP BY ALL),
+ kept AS (SELECT s.* FROM scored s LEFT JOIN inner_phrases o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.a IS NULL OR 100 * o.a < 100 * s.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op11_phrases": PHRASES_SQL}
