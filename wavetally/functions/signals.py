@@ -32,37 +32,105 @@ def butterworth_bandpass(rate: float, low: float, high: float, order: int = 4) -
     return sos
 
 
-def _section(x: np.ndarray, s: np.ndarray, z0: float, z1: float) -> np.ndarray:
-    b0, b1, b2, _, a1, a2 = s.tolist()
-    out = [0.0] * len(x)
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z0
-        z0 = b1 * v - a1 * y + z1
-        z1 = b2 * v - a2 * y
-        out[i] = y
-    return np.array(out)
-
-
-def _once(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
-    """One pass, started in the steady state of the first value."""
-    level = x[0]
-    for s in sos:
-        b0, b1, b2, _, a1, a2 = s
-        y = level * (b0 + b1 + b2) / (1 + a1 + a2)
-        z1 = b2 * level - a2 * y
-        x = _section(x, s, b1 * level - a1 * y + z1, z1)
-        level = y
-    return x
+class _Section:
+    """One second-order section as a linear system whose two-number state turns and shrinks
+    with its pair of poles (a real pair keeps the plain form): z goes over n samples to
+    A^n z + c, where c depends on the samples alone. Samples are done in rows of ``width``:
+    outputs and final states from a zero state by matrix products, the states between rows by
+    a prefix scan of those maps."""
+
+    def __init__(self, row: np.ndarray, width: int):
+        b0, b1, b2, _, a1, a2 = np.asarray(row, float).tolist()
+        a, b, c = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]), np.array([1.0, 0.0])
+        if a1 * a1 < 4 * a2:  # coordinates in which A is a rotation times a number
+            re, im = -a1 / 2, math.sqrt(a2 - a1 * a1 / 4)
+            to = np.array([[1.0, 0.0], [-(-a1 - re) / im, -1.0 / im]])
+            back = np.linalg.inv(to)
+            a, b, c = np.array([[re, -im], [im, re]]), to @ b, c @ back
+        self.a, self.b, self.c, self.d = a, b, c, b0
+        powers = [np.eye(2)]
+        for _ in range(width):
+            powers.append(a @ powers[-1])
+        self.powers, self.width = powers, width
+        self.answer = np.array([c @ p for p in powers[:width]])  # outputs that a state gives
+        self.gather = np.array([p @ b for p in powers[width - 1 :: -1]])  # a sample's part in the final state
+        impulse = np.concatenate(([b0], self.answer[:-1] @ b))
+        at = np.arange(width)
+        self.toeplitz = np.where(at[:, None] >= at, impulse[np.abs(at[:, None] - at)], 0.0)
+
+    def run(self, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, w = len(x), self.width
+        full = n // w
+        rows = x[: full * w].reshape(full, w)
+        states = np.concatenate((z[None], rows @ self.gather))  # at the start of each row, once summed up
+        step, leap = 1, self.powers[w].T
+        while step <= full:
+            states[step:] = states[step:] + states[:-step] @ leap
+            step, leap = 2 * step, leap @ leap
+        out = np.empty(n)
+        out[: full * w] = (rows @ self.toeplitz.T + states[:-1] @ self.answer.T).ravel()
+        z, rest = states[-1], x[full * w :]
+        k = len(rest)
+        if k:
+            out[full * w :] = self.toeplitz[:k, :k] @ rest + self.answer[:k] @ z
+            z = self.powers[k] @ z + rest @ self.gather[w - k :]
+        return out, z
+
+
+class Cascade:
+    """Second-order sections one after the other; their states stand side by side."""
+
+    def __init__(self, sos: np.ndarray, width: int = 64):
+        self.sections, self.size = [_Section(row, width) for row in sos], 2 * len(sos)
+        # The whole as one system, for the way of a state over many samples.
+        a, c = np.zeros((0, 0)), np.zeros(0)
+        for s in self.sections:
+            a = np.block([[a, np.zeros((len(a), 2))], [np.outer(s.b, c), s.a]])
+            c = np.concatenate((c * s.d, s.c))
+        self.a = a
+
+    def power(self, n: int) -> np.ndarray:
+        return np.linalg.matrix_power(self.a, n)
+
+    def steady(self, level: float) -> np.ndarray:
+        """The state in which a constant stays as it is."""
+        out = []
+        for s in self.sections:
+            out.append(np.linalg.solve(np.eye(2) - s.a, s.b) * level)
+            level = s.c @ out[-1] + s.d * level
+        return np.concatenate(out)
+
+    def run(self, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs and final state."""
+        ends = []
+        for k, s in enumerate(self.sections):
+            x, end = s.run(x, z[2 * k : 2 * k + 2])
+            ends.append(end)
+        return x, np.concatenate(ends)
+
+
+def odd_extension(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and after a signal: both ends turned by half a turn around their
+    outermost sample, which is the first of ``head`` and the last of ``tail``."""
+    return 2 * head[0] - head[:0:-1], 2 * tail[-1] - tail[-2::-1]
+
+
+def padding(sections: int, n: int) -> int:
+    if n < 32:
+        raise ValueError("at least 32 samples are needed")
+    return min(3 * (2 * sections + 1), n - 1)
 
 
 def zero_phase(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
-    """Forward and backward, over an odd extension of both ends."""
-    x = np.asarray(x, float)
-    if len(x) < 32:
-        raise ValueError("at least 32 samples are needed")
-    pad = min(3 * (2 * len(sos) + 1), len(x) - 1)
-    wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
-    return _once(_once(wide, sos)[::-1], sos)[::-1][pad:-pad]
+    """Forward and backward, over an odd extension of both ends, each pass started in the
+    steady state of its first value."""
+    x, system = np.asarray(x, float), Cascade(sos)
+    pad = padding(len(sos), len(x))
+    before, after = odd_extension(x[: pad + 1], x[-pad - 1 :])
+    wide = np.concatenate((before, x, after))
+    for _ in range(2):
+        wide = system.run(wide, system.steady(wide[0]))[0][::-1]
+    return wide[pad:-pad]
 
 
 def resample(x: np.ndarray, source: float, target: float) -> np.ndarray:
