@@ -228,21 +228,6 @@ def suppress(center: np.ndarray, score: np.ndarray, amplitude: np.ndarray, scale
     return np.array(sorted(kept, key=lambda k: (center[k], k)), np.int64)
 
 
-def match_events(truth: np.ndarray, found: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """Greedy one-to-one matches in time order, the tolerance included."""
-    t, d, i, j, out = np.sort(truth), np.sort(found), 0, 0, []
-    while i < len(t) and j < len(d):
-        gap = d[j] - t[i]
-        if abs(gap) <= tolerance:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif gap < 0:
-            j += 1
-        else:
-            i += 1
-    return out
-
-
 def choose_anchors(eligible: np.ndarray, width: int, separation: int, most: int, rng: np.random.Generator, stride: int = 1) -> np.ndarray:
     """Starts of fully eligible windows, drawn in random order, ``separation`` apart."""
     if len(eligible) < width:

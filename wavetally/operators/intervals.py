@@ -34,30 +34,47 @@ def erode(rows: DataFrame, margin: int) -> DataFrame:
     return rows.withColumns({"start": F.col("start") + margin, "stop": F.col("stop") - margin}).where("start < stop")
 
 
-def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Intersections of two interval tables, per key."""
+def cells_of(start: Column, stop: Column, cell: int) -> Column:
+    """The cells of width ``cell`` that a half-open interval touches; none if it is empty."""
+    whole = F.sequence(F.floor(start / cell), F.floor((stop - 1) / cell))
+    return F.when(start < stop, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def overlap(a: DataFrame, b: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """Intersections of two interval tables, per key.
+
+    Both tables are cut at cells, and the join is an equality of key and cell, so that one key
+    is spread over as many tasks as it has cells. A pair that meets in several cells is reported
+    in that of its later start alone. ``cell`` is best about as long as a common interval: each
+    interval is sent once for every cell that it touches."""
+    left = a.select(*keys, "start", "stop").withColumn("_cell", F.explode(cells_of(F.col("start"), F.col("stop"), cell)))
     right = b.select(*keys, F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    both = a.join(right, keys).where((F.col("start") < F.col("_e")) & (F.col("_s") < F.col("stop")))
-    return both.select(*keys, F.greatest("start", "_s").alias("start"), F.least("stop", "_e").alias("stop"))
+    right = right.withColumn("_cell", F.explode(cells_of(F.col("_s"), F.col("_e"), cell)))
+    later = F.greatest("start", "_s")
+    both = left.join(right, [*keys, "_cell"]).where((later < F.least("stop", "_e")) & (F.floor(later / cell) == F.col("_cell")))
+    return both.select(*keys, later.alias("start"), F.least("stop", "_e").alias("stop"))
 
 
 def length(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum(F.col("stop") - F.col("start")).alias(name))
 
 
-def exposure(stage: DataFrame, eroded: DataFrame, invalid: DataFrame, rate: float, keys: list[str]) -> DataFrame:
+def exposure(stage: DataFrame, eroded: DataFrame, invalid: DataFrame, rate: float, keys: list[str], cell: int) -> DataFrame:
     """Sample counts of the stage, of what erosion leaves, of invalid samples in it, and the
-    eligible hours."""
-    parts = [length(stage, keys, "stage_samples"), length(eroded, keys, "eroded_samples"), length(overlap(eroded, merge(invalid, keys), keys), keys, "invalid_samples")]
+    eligible hours. ``cell``: see ``overlap``."""
+    parts = [length(stage, keys, "stage_samples"), length(eroded, keys, "eroded_samples"), length(overlap(eroded, merge(invalid, keys), keys, cell), keys, "invalid_samples")]
     out = parts[0].join(parts[1], keys, "left").join(parts[2], keys, "left").na.fill(0, ["eroded_samples", "invalid_samples"])
     eligible = F.col("eroded_samples") - F.col("invalid_samples")
     return out.withColumn("eligible_samples", eligible).withColumn("eligible_hours", eligible / rate / 3600)
 
 
-def contained(windows: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Windows that lie within one run."""
+def contained(windows: DataFrame, runs: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """Windows that lie within one run of a table of disjoint runs. A window looks into the cell
+    of its start only, as a run that holds it touches that cell."""
     right = runs.select(*keys, F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    return windows.join(right, keys).where((F.col("start") >= F.col("_s")) & (F.col("stop") <= F.col("_e"))).drop("_s", "_e")
+    right = right.withColumn("_cell", F.explode(cells_of(F.col("_s"), F.col("_e"), cell)))
+    left = windows.withColumn("_cell", F.floor(F.least(F.col("start"), F.col("stop") - 1) / cell))  # an empty one: that before it
+    return left.join(right, [*keys, "_cell"]).where((F.col("start") >= F.col("_s")) & (F.col("stop") <= F.col("_e"))).drop("_s", "_e", "_cell")
 
 
 def project_rate(rows: DataFrame, source: float, target: float, n_target: int) -> DataFrame:

@@ -12,9 +12,12 @@ def finite(c: Column) -> Column:
 
 def mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """1.4826 times the median distance from the median, of finite values, per key."""
+    from wavetally.operators.orderstats import quantiles
+
     rows = df.where(finite(F.col(value)))
-    med = rows.groupBy(*keys).agg(F.median(value).alias("_m"))
-    return rows.join(med, keys).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("mad"))
+    med = quantiles(rows, keys, value, {"_m": 0.5}).select(*keys, "_m")
+    far = rows.join(med, keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    return quantiles(far, keys, "_d", {"_q": 0.5}).select(*keys, (1.4826 * F.col("_q")).alias("mad"))
 
 
 def trailing_mad(df: DataFrame, keys: list[str], time: str, value: str, bin_width: int, window: int, least: int) -> DataFrame:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetally.functions import signals
 from wavetally.operators import intervals
 from wavetally.operators.robust import finite
 
@@ -74,33 +71,6 @@ def best_per_center(df: DataFrame, keys: list[str], center: str, order: list[Col
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def suppress(df: DataFrame, keys: list[str], radius: float, center: str = "center", score: str = "score", amplitude: str | None = None, scale: str | None = None, tie: str = "id") -> DataFrame:
-    """Greedy suppression per key, for any group size: cells of one radius keep it near
-    linear. A key is a recording and code, whose candidates fit one task."""
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(tie, kind="stable")
-        one = np.ones(len(rows))
-        kept = signals.suppress(rows[center].to_numpy(), rows[score].to_numpy(), rows[amplitude].to_numpy() if amplitude else one, rows[scale].to_numpy() if scale else one, radius)
-        return rows.iloc[kept]
-
-    return df.groupBy(*keys).applyInPandas(of, df.schema)
-
-
-def suppress_short(df: DataFrame, keys: list[str], radius: float, center: str, score: str, tie: str) -> DataFrame:
-    """The same without Python, for groups of at most some hundred rows: a fold over the
-    sorted rows that keeps what is far enough from everything kept."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(tie).alias("id"), F.col(center).alias("c"))))
-    kind = "array<struct<s:double,id:bigint,c:bigint>>"
-    kept = F.aggregate(
-        "rows",
-        F.array().cast(kind),
-        lambda acc, x: F.when(F.exists(acc, lambda k: F.abs(k["c"] - x["c"]) <= radius), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    typed = df.select(*keys, F.col(score).cast("double").alias(score), F.col(tie).cast("long").alias(tie), F.col(center).cast("long").alias(center))
-    return typed.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.inline(kept)).select(*keys, F.col("id").alias(tie), F.col("c").alias(center), (-F.col("s")).alias(score))
-
-
 def band_join(a: DataFrame, b: DataFrame, keys: list[str], left: str, right: str, tolerance: int) -> DataFrame:
     """Pairs within ``tolerance``, as an equality join on cells of that width: each left row
     looks into three cells."""
@@ -118,12 +88,26 @@ def nearest_best(anchors: DataFrame, found: DataFrame, keys: list[str], at: str,
 
 
 def match_events(truth: DataFrame, found: DataFrame, keys: list[str], tolerance: float, time: str = "t") -> DataFrame:
-    """Greedy one-to-one matches per key: keys, truth_t, found_t."""
-    schema = ", ".join([*(f"{k} {truth.schema[k].dataType.simpleString()}" for k in keys), "truth_t double", "found_t double"])
-
-    def of(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.sort(a[time].to_numpy(float)), np.sort(b[time].to_numpy(float))
-        got = signals.match_events(x, y, tolerance)
-        return pd.DataFrame([(*key, x[i], y[j]) for i, j in got], columns=[*keys, "truth_t", "found_t"])
-
-    return truth.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(of, schema)
+    """Greedy one-to-one matches in time order per key, the tolerance included: keys, truth_t,
+    found_t.
+
+    A fold over the merged times that carries those of one kind that still wait: whatever is
+    older than the tolerance stops waiting, and a time of the other kind takes the first. Nothing
+    waits across a gap of more than the tolerance, so keys are split there first."""
+    pick = lambda df, kind: df.select(*keys, F.col(time).cast("double").alias("t"), F.lit(kind).alias("kind"))
+    w = Window.partitionBy(*keys).orderBy("t", "kind")
+    merged = pick(truth, 0).unionByName(pick(found, 1)).where("t is not null")
+    apart = merged.withColumn("_g", (F.col("t") - F.lag("t").over(w) > tolerance).cast("int"))
+    apart = apart.withColumn("_i", F.sum(F.coalesce("_g", F.lit(0))).over(w))
+    times = apart.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(F.struct("t", "kind"))).alias("times")).where(F.size("times") > 1)
+    none = F.struct(F.array().cast("array<double>").alias("wait"), F.lit(0).alias("kind"), F.array().cast("array<struct<truth_t:double,found_t:double>>").alias("pairs"))
+
+    def step(state: Column, x: Column) -> Column:
+        wait = F.filter(state["wait"], lambda t: x["t"] - t <= tolerance)
+        pair = F.struct(F.when(x["kind"] == 1, wait[0]).otherwise(x["t"]).alias("truth_t"), F.when(x["kind"] == 1, x["t"]).otherwise(wait[0]).alias("found_t"))
+        taken = (F.size(wait) > 0) & (state["kind"] != x["kind"])
+        return F.when(taken, F.struct(F.slice(wait, 2, F.size(wait)).alias("wait"), state["kind"].alias("kind"), F.concat(state["pairs"], F.array(pair)).alias("pairs"))).otherwise(
+            F.struct(F.concat(wait, F.array(x["t"])).alias("wait"), x["kind"].alias("kind"), state["pairs"].alias("pairs"))
+        )
+
+    return times.select(*keys, F.inline(F.aggregate("times", none, step, lambda s: s["pairs"])))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavetally.functions import codes, stats, waveforms
-from wavetally.operators import intervals, rates, robust, sequences, thresholds
+from wavetally.operators import intervals, orderstats, rates, robust, sequences, suppression, thresholds
 from wavetally.plans import bootstrap
 from wavetally.sources import manifests, recordings, tables
 
@@ -228,8 +228,7 @@ def robust_mad(spark, d):
 
 @query("quantile_interval", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.025) AS low, quantile_cont(l_extendedprice, 0.5) AS mid, quantile_cont(l_extendedprice, 0.975) AS high FROM lineitem GROUP BY 1")
 def quantile_interval(spark, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"))
+    return orderstats.quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"low": 0.025, "mid": 0.5, "high": 0.975}).drop("n")
 
 
 @query("trailing_scale", f"""WITH {EV}, b AS (SELECT DISTINCT subject_id, us // {DAY} AS bin FROM ev), s AS (SELECT b.subject_id, b.bin, e.value FROM b JOIN ev e ON e.subject_id = b.subject_id AND e.us // {DAY} >= b.bin - 5 AND e.us // {DAY} < b.bin),
@@ -294,7 +293,7 @@ def interval_mask(spark, d):
 def exposure_report(spark, d):
     stage = intervals.merge(_windows(spark, d), ["subject_id"])
     bad = ev(spark, d).where("code_id = 'error'").select("subject_id", F.col("us").alias("start"), (F.col("us") + HOUR // 4).alias("stop"))
-    out = intervals.exposure(stage, intervals.erode(stage, HOUR // 2), bad, 1e6, ["subject_id"])
+    out = intervals.exposure(stage, intervals.erode(stage, HOUR // 2), bad, 1e6, ["subject_id"], 6 * HOUR)
     return out.withColumn("eligible_hours", F.round("eligible_hours", 9))
 
 
@@ -331,15 +330,20 @@ NMS = f"""WITH RECURSIVE {EV}, o AS (SELECT subject_id, event_id, us, score, row
  t AS (SELECT subject_id, ids FROM f QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY k DESC) = 1) SELECT subject_id, unnest(ids) AS event_id FROM t"""
 
 
+def _suppressed(spark, d, cells):
+    rows = ev(spark, d).select("subject_id", "event_id", "us", "score")
+    return suppression.suppress(rows, ["subject_id"], 12 * HOUR, "us", [-F.col("score"), F.col("event_id")], cells).select("subject_id", "event_id")
+
+
 @query("nms", NMS)
 def nms(spark, d):
-    return sequences.suppress_short(ev(spark, d), ["subject_id"], 12 * HOUR, "us", "score", "event_id").select("subject_id", "event_id")
+    return _suppressed(spark, d, 64)
 
 
 @query("nms_grouped", NMS)
 def nms_grouped(spark, d):
-    rows = ev(spark, d).select("subject_id", "event_id", "us", "score")
-    return sequences.suppress(rows, ["subject_id"], 12 * HOUR, "us", "score", tie="event_id").select("subject_id", "event_id")
+    """Cells of a few radii: most verdicts cross an edge."""
+    return _suppressed(spark, d, 3)
 
 
 @query("nms_zero_radius", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 1")
@@ -348,7 +352,16 @@ def nms_zero_radius(spark, d):
     return best.select(*LINE)
 
 
-@query("event_match")
+MATCH = f"""WITH RECURSIVE {EV}, m AS (SELECT subject_id, us / 1e6 AS t, CASE code_id WHEN 'signup' THEN 0 ELSE 1 END AS kind FROM ev WHERE code_id IN ('signup', 'purchase')),
+ o AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t, kind) AS k FROM m),
+ f AS (SELECT subject_id, 0::BIGINT AS k, []::DOUBLE[] AS wait, 0 AS waiting, NULL::DOUBLE AS truth_t, NULL::DOUBLE AS found_t FROM (SELECT DISTINCT subject_id FROM o) UNION ALL
+  SELECT subject_id, k, CASE WHEN taken THEN w[2:] ELSE list_append(w, t) END, CASE WHEN taken THEN waiting ELSE kind END,
+   CASE WHEN taken THEN CASE WHEN kind = 1 THEN w[1] ELSE t END END, CASE WHEN taken THEN CASE WHEN kind = 1 THEN t ELSE w[1] END END
+  FROM (SELECT *, len(w) > 0 AND waiting <> kind AS taken FROM (SELECT o.subject_id, o.k, o.t, o.kind, f.waiting, list_filter(f.wait, lambda x: o.t - x <= 3600) AS w FROM f JOIN o ON o.subject_id = f.subject_id AND o.k = f.k + 1)))
+ SELECT subject_id, truth_t, found_t FROM f WHERE truth_t IS NOT NULL"""
+
+
+@query("event_match", MATCH)
 def event_match(spark, d):
     t = ev(spark, d).select("subject_id", "code_id", (F.col("us") / 1e6).alias("t"))
     pick = lambda c: t.where(F.col("code_id") == c).select("subject_id", "t")
@@ -373,7 +386,7 @@ def nearest_anchor(spark, d):
 @query("interval_containment", f"WITH {EV}, {ISLANDS} SELECT e.subject_id, e.event_id FROM ev e JOIN islands i ON e.subject_id = i.subject_id AND e.us - {HOUR} >= i.start AND e.us + {HOUR} <= i.stop")
 def interval_containment(spark, d):
     w = ev(spark, d).select("subject_id", "event_id", (F.col("us") - HOUR).alias("start"), (F.col("us") + HOUR).alias("stop"))
-    return intervals.contained(w, intervals.merge(_windows(spark, d), ["subject_id"]), ["subject_id"]).select("subject_id", "event_id")
+    return intervals.contained(w, intervals.merge(_windows(spark, d), ["subject_id"]), ["subject_id"], 6 * HOUR).select("subject_id", "event_id")
 
 
 # ---------------------------------------------------------------- signals and templates
