@@ -57,7 +57,10 @@ def test_grid_thresholds(spark):
     df = spark.createDataFrame([("c", 0.91)] * 9 + [("c", 0.61)] + [("d", 0.4), ("d", 0.5)], "code_id string, score double")
     got = {r["code_id"]: r for r in thresholds.grid_threshold(df, ["code_id"], [0.6, 0.7, 0.8, 0.9, 0.925], 0.9).collect()}
     assert (got["c"]["threshold"], got["c"]["successes"]) == (0.9, 9) and not got["d"]["calibrated"] and got["d"]["threshold"] is None
-    assert thresholds.decimal_grid(spark, 0.5, 0.95, 0.025).count() == 19
+    grid = thresholds.decimal_grids(spark.createDataFrame([(0.5, 0.95, 0.025)], "a double, b double, s double"), "a", "b", "s").collect()
+    assert len(grid) == 19 and grid[-1]["threshold"] == 0.95
+    with pytest.raises(Exception, match="reach the end"):
+        thresholds.decimal_grids(spark.createDataFrame([(0.5, 0.96, 0.025)], "a double, b double, s double"), "a", "b", "s").collect()
 
 
 def test_unpaired_anchors_raise(bundle):

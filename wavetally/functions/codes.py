@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the symbols of a rhythm (short, long, equal dwell and pause).
@@ -30,20 +30,26 @@ def overlap_lengths(a: Column, b: Column) -> Column:
 
 
 def overlaps(codes: DataFrame, id_col: str = "code_id", word_col: str = "rhythm") -> DataFrame:
-    """All ordered pairs of codes with their overlaps. The code book is a small table; its
-    pairs are the result itself."""
-    left = codes.select(F.col(id_col).alias("suffix_code"), F.col(word_col).alias("a"))
-    right = codes.select(F.col(id_col).alias("prefix_code"), F.col(word_col).alias("b"))
-    found = left.crossJoin(right).withColumn("overlap", F.explode(overlap_lengths(F.col("a"), F.col("b"))))
-    return found.select("suffix_code", "prefix_code", "overlap", F.right("a", F.col("overlap")).alias("sequence"))
+    """All ordered pairs of codes with their overlaps: proper suffixes of one meet the equal
+    proper prefixes of the other."""
+    proper = lambda side: F.transform(F.filter(F.sequence(F.lit(0), F.length(word_col) - 1), lambda n: n > 0), lambda n: F.struct(n.alias("overlap"), side(F.col(word_col), n).alias("sequence")))
+    rows = codes.where(F.length(word_col) > 0)
+    ends = rows.select(F.col(id_col).alias("suffix_code"), F.inline(proper(F.right)))
+    starts = rows.select(F.col(id_col).alias("prefix_code"), F.inline(proper(F.left)))
+    return ends.join(starts, ["overlap", "sequence"]).select("suffix_code", "prefix_code", "overlap", "sequence")
 
 
-def balanced_words(spark: SparkSession, length: int = 8, most_run: int = 2) -> DataFrame:
+def binary_words(numbers: DataFrame, number: str, length: int = 8) -> DataFrame:
+    """The last ``length`` bits of the numbers as distinct words of S (0) and L (1)."""
+    bits = F.lpad(F.bin(F.pmod(F.col(number).cast("long"), F.lit(1 << length))), length, "0")
+    return numbers.select(F.translate(bits, "01", "SL").alias("word")).distinct()
+
+
+def balanced_words(words: DataFrame, most_run: int = 2, word: str = "word") -> DataFrame:
     """Words of S and L with as many of each and no run over ``most_run``."""
-    bits = F.lpad(F.bin("id"), length, "0")
     runs = "|".join(c * (most_run + 1) for c in "SL")
-    words = spark.range(1 << length).where(F.bit_count("id") == length // 2).select(F.translate(bits, "01", "SL").alias("word"))
-    return words.where(~F.col("word").rlike(runs))
+    count = lambda c: F.regexp_count(word, F.lit(c))
+    return words.where(F.col(word).rlike("^[SL]+$") & (count("S") == count("L")) & ~F.col(word).rlike(runs))
 
 
 def cross_bifix_free(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ so the window sees distinct scores only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,12 +86,15 @@ def calibrated_only(found: DataFrame) -> DataFrame:
     return kept
 
 
-def decimal_grid(spark: SparkSession, start: float, stop: float, step: float) -> DataFrame:
-    """start, start + step, ..., stop; the last value is ``stop`` itself."""
-    n = round((stop - start) / step)
-    if step <= 0 or n < 0 or abs(start + n * step - stop) > 1e-9:
-        raise ValueError("the step does not reach the end")
-    return spark.range(n + 1).select(F.col("id").alias("i"), F.when(F.col("id") == n, F.lit(float(stop))).otherwise(F.lit(float(start)) + F.col("id") * float(step)).alias("threshold"))
+def decimal_grids(df: DataFrame, start: str, stop: str, step: str) -> DataFrame:
+    """Each row with its grid, (i, threshold): start, start + step, ..., stop; the last value is
+    ``stop`` itself. A step that is not positive or does not reach the end raises."""
+    a, b, d = (F.col(c).cast("double") for c in (start, stop, step))
+    n = F.rint((b - a) / d).cast("long")
+    good = (d > 0) & (n >= 0) & (F.abs(a + n * d - b) <= 1e-9)
+    checked = F.when(F.coalesce(good, F.lit(False)), n).otherwise(F.raise_error(F.lit("the step does not reach the end")).cast("long"))
+    rows = df.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), checked)))
+    return rows.withColumn("threshold", F.when(F.col("i") == n, b).otherwise(a + F.col("i") * d))
 
 
 def grid_threshold(scores: DataFrame, keys: list[str], grid: list[float], target: float, score: str = "score") -> DataFrame:

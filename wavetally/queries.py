@@ -98,9 +98,12 @@ def grid_threshold(spark, d):
     return thresholds.grid_threshold(inj(spark, d), ["code_id"], GRID, 0.7)
 
 
-@query("decimal_grid", "SELECT i AS i, CASE WHEN i = 18 THEN 0.95::DOUBLE ELSE 0.5::DOUBLE + i * 0.025::DOUBLE END AS threshold FROM range(19) t(i)")
+@query("decimal_grid", """WITH r AS (SELECT p_brand, min(p_size) * 0.01::DOUBLE AS start, max(p_size) * 0.01::DOUBLE AS stop, max(p_size) - min(p_size) AS n FROM part GROUP BY p_brand)
+ SELECT p_brand, i::BIGINT AS i, CASE WHEN i = n THEN stop ELSE start + i * 0.01::DOUBLE END AS threshold FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM r)""")
 def decimal_grid(spark, d):
-    return thresholds.decimal_grid(spark, 0.5, 0.95, 0.025)
+    """A grid over the range of each brand's sizes."""
+    r = table(spark, d, "part").groupBy("p_brand").agg((F.min("p_size") * 0.01).alias("start"), (F.max("p_size") * 0.01).alias("stop"))
+    return thresholds.decimal_grids(r.withColumn("step", F.lit(0.01)), "start", "stop", "step").select("p_brand", "i", "threshold")
 
 
 SCORES_GRID = thresholds.drifting_grid(0.0, 0.5, 0.005)
@@ -405,17 +408,33 @@ def ncc_embedding(spark, d):
     return e.select("vec_id", F.round(num / F.sqrt(energy * power), 6).alias("score"))
 
 
-@query("transition_easing", """WITH k AS (SELECT i, i / 15.0 AS u FROM range(1, 16) t(i)) SELECT i AS i, round(0.5 - 0.5 * cos(pi() * u), 9) AS cosine, round(10 * pow(u, 3) - 15 * pow(u, 4) + 6 * pow(u, 5), 9) AS minimum_jerk, round(pow(sin(pi() * u), 4), 9) AS bump FROM k""")
+@query("transition_easing", """WITH k AS (SELECT event_id, (event_id % 15 + 1) / 15.0::DOUBLE AS u FROM events) SELECT event_id, round(0.5 - 0.5 * cos(pi() * u), 9) AS cosine, round(10 * pow(u, 3) - 15 * pow(u, 4) + 6 * pow(u, 5), 9) AS minimum_jerk, round(pow(sin(pi() * u), 4), 9) AS bump FROM k""")
 def transition_easing(spark, d):
-    u = F.col("id") / 15.0
-    return spark.range(1, 16).select(F.col("id").alias("i"), F.round(0.5 - 0.5 * F.cos(F.pi() * u), 9).alias("cosine"), F.round(10 * F.pow(u, 3) - 15 * F.pow(u, 4) + 6 * F.pow(u, 5), 9).alias("minimum_jerk"), F.round(F.pow(F.sin(F.pi() * u), 4), 9).alias("bump"))
+    """Shapes of the ways between levels, an event standing for a fifteenth of one."""
+    u = (F.col("event_id") % 15 + 1) / 15.0
+    return table(spark, d, "events").select("event_id", F.round(0.5 - 0.5 * F.cos(F.pi() * u), 9).alias("cosine"), F.round(10 * F.pow(u, 3) - 15 * F.pow(u, 4) + 6 * F.pow(u, 5), 9).alias("minimum_jerk"), F.round(F.pow(F.sin(F.pi() * u), 4), 9).alias("bump"))
 
 
-@query("waveform_template")
+#: Digits of a number as the symbols of a rhythm.
+DIGITS, SYMBOLS = "0123456789", "SLEPSLESLE"
+CENTS = f"translate(CAST(CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS VARCHAR), '{DIGITS}', '{SYMBOLS}')"
+
+
+@query("waveform_template", f"""WITH ok AS (SELECT * FROM (SELECT s_suppkey, {CENTS} AS rhythm FROM supplier) WHERE regexp_matches(rhythm, '[SLE]')),
+ c AS (SELECT s_suppkey, i, substr(rhythm, i, 1) AS c, length(regexp_extract(substr(rhythm, 1, i - 1), '[^P]*$')) AS since FROM ok, range(1, 20) t(i) WHERE i <= length(rhythm)),
+ st AS (SELECT s_suppkey, 0 AS k, 0.0::DOUBLE AS level, 40 AS hold FROM ok UNION ALL SELECT s_suppkey, i, CASE WHEN c = 'P' THEN 0.0::DOUBLE WHEN since % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END,
+  greatest(1, round_even((CASE c WHEN 'S' THEN 0.35::DOUBLE WHEN 'L' THEN 0.75::DOUBLE WHEN 'E' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END * 1.1::DOUBLE) * 100::DOUBLE, 0)::INTEGER) FROM c
+  UNION ALL SELECT s_suppkey, length(rhythm) + 1, 0.0::DOUBLE, 40 FROM ok),
+ nx AS (SELECT *, lead(level) OVER (PARTITION BY s_suppkey ORDER BY k) AS next FROM st),
+ seg AS (SELECT s_suppkey, 2 * k AS seg, level AS a, level AS b, hold AS n FROM nx UNION ALL SELECT s_suppkey, 2 * k + 1, level, next, greatest(1, round_even((0.15::DOUBLE * 1.1::DOUBLE) * 100::DOUBLE, 0)::INTEGER) FROM nx WHERE next <> level),
+ pl AS (SELECT *, sum(n) OVER (PARTITION BY s_suppkey ORDER BY seg) - n AS first FROM seg)
+ SELECT s_suppkey, (first + j - 1)::INTEGER AS sample, round(CASE WHEN a = b THEN a ELSE a + (b - a) * (0.5 - 0.5 * cos(pi() * (j / n))) END, 9) AS value FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM pl)""")
 def waveform_template(spark, d):
-    w = waveforms.Waveform()
-    rows = [(s, i, float(v)) for s, t in waveforms.template_bank("SSLSLSLL", w, (0.9, 1.0, 1.1)).items() for i, v in enumerate(t)]
-    return spark.createDataFrame(rows, "time_scale double, sample int, value double")
+    """The waveform of each supplier's balance, its digits read as a rhythm."""
+    cents = F.round(F.abs("s_acctbal") * 100).cast("long").cast("string")
+    rhythms = table(spark, d, "supplier").select("s_suppkey", F.translate(cents, DIGITS, SYMBOLS).alias("rhythm"))
+    out = waveforms.samples(waveforms.segments(rhythms, waveforms.Waveform(), 1.1))
+    return out.select("s_suppkey", "sample", F.round("value", 9).alias("value"))
 
 
 @query("sample_counts", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(1, round_even(l_quantity * 0.5, 0)::BIGINT) AS samples FROM lineitem")
@@ -462,24 +481,24 @@ def label_seed(spark, d):
 
 
 # ---------------------------------------------------------------- codes
-#: The code book (id, rhythm).
-BOOK = (("legacy_lrl", "EEE"), ("legacy_lrlr", "EEEE"), ("legacy_lrlrlr", "EEEEEE"), ("double_lrlr_pause", "EEEEPEEEE"), ("iso8_matched", "EEEEEEEE"), ("sync8_c0", "SSLSLSLL"), ("sync8_c1", "SSLLSLSL"))
-BOOK_SQL = "book AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in BOOK) + ") t(code_id, rhythm))"
-WORDS_SQL = "words AS (SELECT translate(lpad(to_binary(i), 8, '0'), '01', 'SL') AS word FROM range(256) t(i) WHERE bit_count(i) = 4), ok AS (SELECT word FROM words WHERE word NOT LIKE '%SSS%' AND word NOT LIKE '%LLL%')"
+BOOK_SQL = f"book AS (SELECT p_brand AS code_id, translate(CAST(sum(p_size) AS VARCHAR), '{DIGITS}', '{SYMBOLS}') AS rhythm FROM part GROUP BY p_brand)"
+WORDS_SQL = "words AS (SELECT DISTINCT translate(lpad(to_binary(p_partkey % 256), 8, '0'), '01', 'SL') AS word FROM part), ok AS (SELECT word FROM words WHERE length(replace(word, 'S', '')) = 4 AND word NOT LIKE '%SSS%' AND word NOT LIKE '%LLL%')"
 
 
-def _book(spark):
-    return spark.createDataFrame(list(BOOK), "code_id string, rhythm string")
+@query("code_overlaps", f"WITH {BOOK_SQL} SELECT a.code_id AS suffix_code, b.code_id AS prefix_code, n::INTEGER AS overlap, right(a.rhythm, n) AS sequence FROM book a, book b, range(1, 20) t(n) WHERE n < least(length(a.rhythm), length(b.rhythm)) AND right(a.rhythm, n) = left(b.rhythm, n)")
+def code_overlaps(spark, d):
+    """A code for each brand, from the sum of its sizes."""
+    total = F.sum("p_size").cast("string")
+    return codes.overlaps(table(spark, d, "part").groupBy(F.col("p_brand").alias("code_id")).agg(F.translate(total, DIGITS, SYMBOLS).alias("rhythm")))
 
 
-@query("code_overlaps", f"WITH {BOOK_SQL} SELECT a.code_id AS suffix_code, b.code_id AS prefix_code, n::INTEGER AS overlap, right(a.rhythm, n) AS sequence FROM book a, book b, range(1, 9) t(n) WHERE n < least(length(a.rhythm), length(b.rhythm)) AND right(a.rhythm, n) = left(b.rhythm, n)")
-def code_overlaps(spark, d):
-    return codes.overlaps(_book(spark))
+def _words(spark, d):
+    return codes.balanced_words(codes.binary_words(table(spark, d, "part"), "p_partkey"))
 
 
 @query("balanced_words", f"WITH {WORDS_SQL} SELECT word FROM ok")
 def balanced_words(spark, d):
-    return codes.balanced_words(spark)
+    return _words(spark, d)
 
 
 FREE = " AND ".join(f"NOT (right({a}, {n}) = left({b}, {n}))" for a, b in (("a.word", "a.word"), ("a.word", "b.word"), ("b.word", "a.word"), ("b.word", "b.word")) for n in range(1, 8))
@@ -488,12 +507,12 @@ PAIRS_SQL = f"prs AS (SELECT a.word AS first, b.word AS second, hamming(a.word,
 
 @query("hamming_pairs", f"WITH {WORDS_SQL}, {PAIRS_SQL} SELECT * FROM prs")
 def hamming_pairs(spark, d):
-    return codes.pairs_by_distance(codes.balanced_words(spark))
+    return codes.pairs_by_distance(_words(spark, d))
 
 
 @query("select_pair", f"WITH {WORDS_SQL.replace('ok AS', 'ok0 AS')}, ok AS (SELECT word FROM ok0 WHERE word LIKE 'SS%' AND word NOT LIKE 'SS%SS%'), {PAIRS_SQL} SELECT * FROM prs WHERE distance = (SELECT max(distance) FROM prs)")
 def select_pair(spark, d):
-    return codes.select_pair(codes.balanced_words(spark))
+    return codes.select_pair(_words(spark, d))
 
 
 @query("rhythm_check", "SELECT p_partkey, regexp_matches(p_brand, '^[SLEP]+$') AND regexp_matches(p_brand, '[SLE]') AS valid FROM part")
