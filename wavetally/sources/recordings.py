@@ -1,12 +1,8 @@
-"""Recordings: EDF files, stage texts, conversion to chunks of samples and intervals.
-
-EDF is a fixed-header public format; files are decoded on executors, one file a row, and
-a file that cannot be read becomes a row with its error.
-"""
+"""Recordings: EDF files, stage texts, conversion to chunks of samples and intervals."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
 import numpy as np
 import pandas as pd
@@ -14,109 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetally.functions import signals
+from wavetally.sources.edf import SCHEMAS, EdfSource
+
+CHUNKS = SCHEMAS["chunks"]
+
 
-CHUNKS = "record_id string, label string, chunk_idx int, start_sample long, sample_rate_hz double, values array<double>"
-HEADER = "path string, status string, error string, n_records long, record_seconds double, label string, unit string, sample_rate_hz double, n_samples long"
-NOTES = "record_id string, onset_s double, duration_s double, label string"
-#: Width of each field of a signal's header, in order.
-FIELDS = (("label", 16), ("transducer", 80), ("unit", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("filter", 80), ("samples", 8), ("reserved", 32))
-
-
-def parse_header(data: bytes) -> dict:
-    text = lambda a, n: data[a : a + n].decode("latin-1").strip()
-    if len(data) < 256 or not data[:8].strip().isdigit():
-        raise ValueError("not an EDF header")
-    out = {"size": int(text(184, 8)), "start": f"{text(168, 8)} {text(176, 8)}", "records": int(text(236, 8)), "seconds": float(text(244, 8)), "signals": int(text(252, 4))}
-    n, at = out["signals"], 256
-    if len(data) < 256 * (n + 1):
-        raise ValueError("the header is cut short")
-    for name, width in FIELDS:
-        out[name] = [text(at + k * width, width) for k in range(n)]
-        at += n * width
-    return out
-
-
-def samples(data: bytes, header: dict) -> tuple[dict[str, np.ndarray], list[bytes]]:
-    """Physical values of each signal, and the annotation bytes of each record."""
-    per = [int(s) for s in header["samples"]]
-    raw = np.frombuffer(data[header["size"] :], "<i2")
-    raw = raw[: len(raw) // sum(per) * sum(per)].reshape(-1, sum(per))
-    out, notes, at = {}, [], 0
-    for k, n in enumerate(per):
-        part = raw[:, at : at + n]
-        at += n
-        if header["label"][k].startswith("EDF Annotations"):
-            notes += [r.tobytes() for r in part]
-            continue
-        lo, hi, dlo, dhi = (float(header[f][k]) for f in ("physical_min", "physical_max", "digital_min", "digital_max"))
-        out[header["label"][k]] = (part.ravel().astype(float) - dlo) * (hi - lo) / (dhi - dlo) + lo
-    return out, notes
-
-
-def annotations(notes: list[bytes]) -> list[tuple[float, float, str]]:
-    """(onset, duration, text) of the time-stamped lists; lists without text keep time only."""
-    out = []
-    for block in notes:
-        for tal in block.split(b"\0"):
-            parts = tal.split(b"\x14")
-            if len(parts) < 2 or not parts[0]:
-                continue
-            when, _, length = parts[0].partition(b"\x15")
-            out += [(float(when), float(length or 0), p.decode("utf-8", "replace")) for p in parts[1:] if p]
-    return out
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.edf").option("recursiveFileLookup", True).load(path).select("path", "content")
+def _edf(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    spark.dataSource.register(EdfSource)
+    given = {k: v for k, v in options.items() if v is not None}
+    return spark.read.format("edf").options(kind=kind, **given).load(path)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per signal of every file; unreadable files have a status and an error."""
+    return _edf(spark, path, "headers")
+
+
+def read_chunks(spark: SparkSession, path: str, channels: list[str] | None = None, rate: float | None = None, chunk: int = 60_000, split_bytes: int = 64 << 20) -> DataFrame:
+    """Samples of the named channels in microvolts, in chunks; another rate raises. A file of
+    more than ``split_bytes`` is read by several tasks."""
+    return _edf(spark, path, "chunks", channels=json.dumps(channels) if channels else None, rate=rate, chunk=chunk, splitBytes=split_bytes)
+
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for p, data in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    h = parse_header(bytes(data))
-                    rows += [(p, "ok", None, h["records"], h["seconds"], h["label"][k], h["unit"][k], int(h["samples"][k]) / h["seconds"], int(h["samples"][k]) * h["records"]) for k in range(h["signals"])]
-                except (ValueError, ZeroDivisionError) as e:
-                    rows.append((p, "error", str(e), None, None, None, None, None, None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
-
-    return _files(spark, path).mapInPandas(of, HEADER)
-
-
-def read_chunks(spark: SparkSession, path: str, channels: list[str] | None = None, rate: float | None = None, chunk: int = 60_000) -> DataFrame:
-    """Samples of the named channels in microvolts, in chunks; another rate raises."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, data in zip(frame["path"], frame["content"], strict=True):
-                h = parse_header(bytes(data))
-                values, _ = samples(bytes(data), h)
-                for label, x in values.items():
-                    if channels and label not in channels:
-                        continue
-                    k = h["label"].index(label)
-                    hz = int(h["samples"][k]) / h["seconds"]
-                    if rate and abs(hz - rate) > 1e-9:
-                        raise ValueError(f"{p}: {label} has {hz} Hz, not {rate}")
-                    x = x * {"V": 1e6, "mV": 1e3}.get(h["unit"][k], 1.0)
-                    rows = [(p.rpartition("/")[2], label, i, at, hz, x[at : at + chunk].tolist()) for i, at in enumerate(range(0, len(x), chunk))]
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-
-    return _files(spark, path).mapInPandas(of, CHUNKS)
-
-
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, data in zip(frame["path"], frame["content"], strict=True):
-                rows = [(p.rpartition("/")[2], *a) for a in annotations(samples(bytes(data), parse_header(bytes(data)))[1])]
-                yield pd.DataFrame(rows, columns=["record_id", "onset_s", "duration_s", "label"])
-
-    return _files(spark, path).mapInPandas(of, NOTES)
+def read_annotations(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    return _edf(spark, path, "notes", splitBytes=split_bytes)
 
 
 def subtract(chunks: DataFrame, a: str, b: str) -> DataFrame:
