@@ -116,3 +116,53 @@ def test_frames_do_not_depend_on_the_cut(spark, size):
     assert [(r["frame"], r["first_sample"], r["values"][0], r["values"][-1]) for r in got] == [
         (f, max(0, 100 * f - 30), float(max(0, 100 * f - 30)), float(min(529, 100 * f + 144))) for f in range(6)
     ]
+
+
+def plain_candidates(x, bank, d, eligible, invalid):
+    """The whole recording at once: maxima, one for each centre, the gate, greedy suppression."""
+    from wavetally.plans import detection
+
+    rows = [(*m, detection.trailing_scale(x, invalid, m[0], d)) for m in detection.scan(x, bank, d, eligible & ~invalid, None)]
+    order = lambda m: (-m[4], -abs(m[6]), abs(m[3] - 1), m[3], m[0])
+    best = {}
+    for m in sorted(rows, key=order):
+        best.setdefault(m[2], m)
+    kept = []
+    for m in sorted((m for m in best.values() if m[-1] and abs(m[6]) / m[-1] >= d.least_amplitude), key=order):
+        if all(abs(m[2] - k[2]) > d.radius for k in kept):
+            kept.append(m)
+    return sorted((m[0], m[1], m[3]) for m in kept)
+
+
+@pytest.mark.parametrize(("size", "frame"), [(10_000, 60_000), (777, 4_000), (30_000, 9_001)])
+def test_candidates_do_not_depend_on_chunks_and_frames(spark, size, frame):
+    from wavetally.functions import waveforms
+    from wavetally.plans import detection
+
+    rng, w = np.random.default_rng(5), waveforms.Waveform()
+    x = rng.normal(0, 5, 40_000)
+    t = waveforms.render("SSLSLSLL", w)
+    for at in (11_000, 15_990, 23_980, 31_000):
+        x[at : at + len(t)] += 60 * t
+    x[20_000:20_400] = np.nan
+    d = detection.Detector(floor=0.45, least_amplitude=1.0, window_seconds=60.0, bin_seconds=10.0)
+    banks = {"c0": detection.filtered_bank("SSLSLSLL", w, (0.9, 1.0, 1.1), SOS)}
+    iv = [("a", "eligible", 0, 30_000), ("a", "eligible", 30_500, 40_000), ("a", "invalid", 20_000, 20_400)]
+    got = detection.candidates(chunked(spark, {"a": x}, size), spark.createDataFrame(iv, "record_id string, kind string, start long, stop long"), banks, SOS, d, frame)
+    eligible, invalid = np.ones(40_000, bool), np.zeros(40_000, bool)
+    eligible[30_000:30_500], invalid[20_000:20_400] = False, True
+    want = plain_candidates(signals.zero_phase(signals.fill_gaps(x), SOS), banks["c0"], d, eligible, invalid)
+    assert len(want) > 5
+    assert sorted((r["start_sample"], r["end_sample"], r["time_scale"]) for r in got.collect()) == want
+
+
+def test_correlation_against_every_window():
+    rng = np.random.default_rng(6)
+    x, t = rng.normal(size=400).cumsum(), rng.normal(size=23)
+    x[100:140] = 3.0
+    at, score, amp, ok = signals.correlate(x, t, step=3)
+    for k, a in enumerate(at):
+        v = x[a : a + 23]
+        want = 0.0 if np.ptp(v) == 0 else np.corrcoef(v, t)[0, 1]
+        assert score[k] == pytest.approx(want, abs=1e-9) and amp[k] == pytest.approx((v @ (t - t.mean())) / ((t - t.mean()) @ (t - t.mean())))
+    assert ok.all() and at[-1] == 375

@@ -182,22 +182,34 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
 def correlate(signal: np.ndarray, template: np.ndarray, eligible: np.ndarray | None = None, step: int = 1):
     """Normalised cross-correlation: (starts, score, amplitude, whole window eligible).
 
-    Non-finite samples count as zero and are never eligible; flat windows score zero."""
+    Overlapping blocks of some four templates are transformed together; a block gives the windows
+    that lie in it whole, and its own running sums give their means and energies, so that
+    rounding does not grow with the signal. Non-finite samples count as zero and are never
+    eligible; flat windows score zero."""
     x, t = np.asarray(signal, float), np.asarray(template, float)
-    t = t - t.mean()
-    power, w = float(t @ t), len(t)
+    shape_, w = t - t.mean(), len(t)
+    power = float(shape_ @ shape_)
     if not power > 0 or len(x) < w or step < 1:
         raise ValueError("a template needs shape and room")
     good = np.isfinite(x)
+    block = 1 << (4 * w - 1).bit_length()
+    hop, windows = block - w + 1, len(x) - w + 1
+    rows = -(-windows // hop)
+    wide = np.zeros((rows - 1) * hop + block)
+    wide[: len(x)] = np.where(good, x, 0.0)
+    blocks = np.lib.stride_tricks.sliding_window_view(wide, block)[::hop]
+    product = np.fft.irfft(np.fft.rfft(blocks) * np.conj(np.fft.rfft(shape_, block)), block)[:, :hop].ravel()[:windows]
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        total = np.concatenate((np.zeros((rows, 1)), np.cumsum(v, axis=1)), axis=1)
+        return (total[:, w:] - total[:, :-w]).ravel()[:windows]
+
+    energy = np.maximum(sums(blocks * blocks) - sums(blocks) ** 2 / w, 0.0) * power
+    seen = np.flatnonzero(energy > np.finfo(float).eps ** 2)
+    score = np.zeros(windows)
+    score[seen] = np.clip(product[seen] / np.sqrt(energy[seen]), -1.0, 1.0)
     ok = good if eligible is None else good & np.asarray(eligible, bool)
-    safe = np.where(good, x, 0.0)
-    size = 1 << (len(x) + w).bit_length()
-    product = np.fft.irfft(np.fft.rfft(safe, size) * np.fft.rfft(t[::-1], size), size)[w - 1 : len(x)]
-    sums = rolling(safe, w)
-    energy = np.maximum(rolling(safe * safe, w) - sums * sums / w, 0.0)
-    scale = np.sqrt(energy * power)
-    score = np.clip(np.divide(product, scale, out=np.zeros_like(product), where=scale > np.finfo(float).eps), -1.0, 1.0)
-    at = np.arange(0, len(product), step)
+    at = np.arange(0, windows, step)
     return at, score[at], product[at] / power, (rolling(ok.astype(np.int64), w) == w)[at]
 
 

@@ -1,7 +1,8 @@
-"""From signals to candidates and injection scores, one recording per grouped call."""
+"""From signals to candidates (by frames) and injection scores (a recording per grouped call)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import product
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.functions import signals, waveforms
+from wavetally.operators import filtering, sequences, suppression
 from wavetally.plans.bootstrap import labelled_seed
 
 CANDIDATES = "record_id string, code_id string, start_sample long, end_sample long, center_sample double, time_scale double, score double, signed_score double, fitted_amplitude double, amplitude_mad double, polarity int"
@@ -45,17 +47,11 @@ def scan(signal: np.ndarray, bank: dict[float, np.ndarray], d: Detector, eligibl
     return out
 
 
-def _suppressed(rows: list[tuple], radius: float) -> list[tuple]:
-    if not rows:
-        return rows
-    c = np.array([[r[2], r[4], r[6], r[3]] for r in rows])
-    return [rows[k] for k in signals.suppress(c[:, 0], c[:, 1], c[:, 2], c[:, 3], radius)]
-
-
-def trailing_scale(signal: np.ndarray, invalid: np.ndarray, sample: int, d: Detector) -> float | None:
-    """Robust scale of the valid samples before the sample's bin; None without enough."""
-    stop = int(sample // (d.bin_seconds * d.rate) * d.bin_seconds * d.rate)
-    part = slice(max(0, stop - int(d.window_seconds * d.rate)), stop)
+def trailing_scale(signal: np.ndarray, invalid: np.ndarray, sample: int, d: Detector, first: int = 0) -> float | None:
+    """Robust scale of the valid samples before the sample's bin; None without enough. ``first``:
+    the number of the signal's first sample."""
+    stop = int(sample // (d.bin_seconds * d.rate) * d.bin_seconds * d.rate) - first
+    part = slice(max(0, stop - int(d.window_seconds * d.rate)), max(0, stop))
     x = signal[part][~invalid[part]]
     if len(x) < d.least_seconds * d.rate:
         return None
@@ -65,19 +61,6 @@ def trailing_scale(signal: np.ndarray, invalid: np.ndarray, sample: int, d: Dete
         return None
 
 
-def detect(signal: np.ndarray, bank: dict[float, np.ndarray], d: Detector, eligible: np.ndarray, invalid: np.ndarray) -> list[tuple]:
-    """One candidate per centre first, then the causal amplitude gate, then suppression."""
-    seen: dict[int, float | None] = {}
-    out = []
-    for r in _suppressed(scan(signal, bank, d, eligible, None), 0.0):
-        cell = int(r[0] // (d.bin_seconds * d.rate))
-        if cell not in seen:
-            seen[cell] = trailing_scale(signal, invalid, r[0], d)
-        if seen[cell] and abs(r[6]) / seen[cell] >= d.least_amplitude:
-            out.append((*r[:7], abs(r[6]) / seen[cell], r[8]))
-    return _suppressed(out, d.radius)
-
-
 def _signal(rows: pd.DataFrame) -> np.ndarray:
     return np.concatenate([np.asarray(v, float) for v in rows.sort_values("chunk_idx")["values"]])
 
@@ -90,10 +73,10 @@ def filtered_bank(rhythm: str, w: waveforms.Waveform, scales: tuple[float, ...],
     return out
 
 
-def _mask(ranges, n: int) -> np.ndarray:
+def _mask(ranges, n: int, first: int = 0) -> np.ndarray:
     m = np.zeros(n, bool)
     for r in ranges if ranges is not None else ():
-        m[int(r["start"]) : int(r["stop"])] = True
+        m[max(0, int(r["start"]) - first) : max(0, int(r["stop"]) - first)] = True
     return m
 
 
@@ -103,19 +86,55 @@ def _with_intervals(chunks: DataFrame, intervals: DataFrame) -> DataFrame:
     return chunks.join(per.withColumn("chunk_idx", F.lit(0)), ["record_id", "chunk_idx"], "left")
 
 
-def candidates(chunks: DataFrame, intervals: DataFrame, banks: dict[str, dict[float, np.ndarray]], sos: np.ndarray, d: Detector) -> DataFrame:
-    """chunks of one channel; intervals: record_id, kind (eligible, invalid), start, stop.
-    A zero-phase filter needs the whole recording, so a recording is a group."""
+MAXIMA = CANDIDATES.replace("amplitude_mad double", "local_mad double")
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        raw = signals.fill_gaps(_signal(rows))
-        first = rows.sort_values("chunk_idx").iloc[0]
-        eligible, invalid = _mask(first["eligible"], len(raw)), _mask(first["invalid"], len(raw))
-        x = signals.zero_phase(raw, sos)
-        found = [(first["record_id"], code, *r) for code, bank in banks.items() for r in detect(x, bank, d, eligible & ~invalid, invalid)]
-        return pd.DataFrame(found, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
 
-    return _with_intervals(chunks, intervals).groupBy("record_id").applyInPandas(of, CANDIDATES)
+def maxima(frames: DataFrame, banks: dict[str, dict[float, np.ndarray]], d: Detector, size: int) -> DataFrame:
+    """Local maxima of every template that start in a frame's own samples, with the causal scale
+    before them (null without enough samples). frames: as ``filtering.frames`` gives them, with
+    ``eligible`` and ``invalid`` (arrays of start and stop) beside."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                x, first = np.asarray(r.values, float), int(r.first_sample)
+                invalid = _mask(r.invalid, len(x), first)
+                eligible = _mask(r.eligible, len(x), first) & ~invalid
+                own = (r.frame * size, (r.frame + 1) * size)
+                low = -(-max(own[0] - d.step, first) // d.step) * d.step - first  # on the grid of the recording
+                scales: dict[int, float | None] = {}
+                for code, bank in banks.items():
+                    for m in scan(x[low:], bank, d, eligible[low:], None):
+                        at = m[0] + low + first
+                        if own[0] <= at < own[1]:
+                            cell = int(at // (d.bin_seconds * d.rate))
+                            if cell not in scales:
+                                scales[cell] = trailing_scale(x, invalid, at, d, first)
+                            out.append((r.record_id, code, at, m[1] + low + first, m[2] + low + first, *m[3:7], scales[cell], m[8]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MAXIMA.split(", ")]).astype({"local_mad": float})
+
+    return frames.mapInPandas(of, MAXIMA)
+
+
+def candidates(chunks: DataFrame, intervals: DataFrame, banks: dict[str, dict[float, np.ndarray]], sos: np.ndarray, d: Detector, size: int = 60_000) -> DataFrame:
+    """chunks of one channel; intervals: record_id, kind (eligible, invalid), start, stop.
+
+    Gaps are filled and the whole recording is filtered chunk by chunk; then frames of ``size``
+    samples, with as many before as the scale needs and after as a template, are scanned apart.
+    One candidate for each centre, then the causal amplitude gate, then suppression in rounds.
+    No task holds a recording, and any cut into chunks or frames gives the same."""
+    longest = max(len(t) for bank in banks.values() for t in bank.values())
+    before, after = int((d.window_seconds + d.bin_seconds) * d.rate) + d.step, longest + d.step
+    whole = filtering.zero_phase(filtering.filled(chunks).drop("lost"), sos)
+    framed = filtering.frames(whole, size, before, after)
+    near = intervals.where("start < stop").withColumn("frame", F.explode(F.sequence(F.floor((F.col("start") - after) / size), F.floor((F.col("stop") - 1 + before) / size))))
+    per = near.groupBy("record_id", "frame").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("start", "stop"))).alias(k) for k in ("eligible", "invalid")])
+    found = maxima(framed.join(per, ["record_id", "frame"], "left"), banks, d, size)
+    better = [-F.col("score"), -F.abs("fitted_amplitude"), F.abs(F.col("time_scale") - 1), F.col("time_scale"), F.col("start_sample")]
+    one = sequences.best_per_center(found, ["record_id", "code_id"], "center_sample", [b.asc() for b in better])
+    gated = one.withColumn("amplitude_mad", F.abs("fitted_amplitude") / F.col("local_mad")).where((F.col("local_mad") > 0) & (F.col("amplitude_mad") >= d.least_amplitude))
+    return suppression.suppress(gated.select(*[c.split()[0] for c in CANDIDATES.split(", ")]), ["record_id", "code_id"], d.radius, "center_sample", better)
 
 
 GRID = "record_id string, code_id string, anchor_index int, anchor_sample long, amplitude_mad double, interval_jitter_fraction double, injection_samples long, matched_score double, matched_start long, matched_scale double, local_mad double"
