@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Deletes the shuffle files of a query when it ends, not when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a folder in the
-    warehouse; in local mode, where all tasks see the driver's disk, a temporary one."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one in
+    local mode, in which all tasks see the driver's disk; on a cluster that raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        at = "file://" + tempfile.mkdtemp(prefix="wavetally-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -32,10 +37,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: ``df`` as a Parquet table in the shared folder, read back."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: ``df`` as a Parquet table in the shared folder, read back. Nothing reads
+    the shuffles of the query again, so they go with it."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, chunks, join_counted, text_bytes, written
+from .common import as_batch, chunks, drop_written, join_counted, text_bytes, written
 from .components import connected_components
 
 BITS = 64
@@ -353,8 +353,9 @@ class Probes:
                 cost[:, k, t + 1] = share * near[k][t][v[:, k]] + PROBE * len(all_masks[k][t])
         return cost
 
-    def _spread(self, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, role, names). A batch has ``names``, ``asks`` and, if sized, ``size``."""
+    def _spread(self, batches: Iterator[pa.RecordBatch], names: list[str], only: range) -> Iterator[pa.RecordBatch]:
+        """Rows (key, role, names) of the partitions ``only``. A batch has ``names``, ``asks`` and,
+        if sized, ``size``."""
         schema = pa.schema([("key", pa.int64()), ("role", pa.int8()), *((c, pa.int64()) for c in names)])
         total = self.radius - len(self.groups) + 1
         for whole in batches:
@@ -368,7 +369,7 @@ class Probes:
                     level = np.floor(np.log(np.maximum(np.asarray(b.column("size")), 1)) / -np.log(self.cut)).astype(np.int64)
                 chosen = allot(self._cost(columns[0], self.groups, self.near, self.masks), total)
                 chosen[~np.asarray(b.column("asks"))] = -1
-                for k in range(len(self.groups)):
+                for k in only:
                     own = v[:, k] | (k << 32) | (level << 36)
                     for up in (0, 1) if self.cut is not None else (0,):
                         yield as_batch(schema, own + (up << 36), np.zeros(len(v), np.int8), *columns)
@@ -378,12 +379,26 @@ class Probes:
                             keys = (own[who][:, None] ^ m[None, :]).ravel()
                             yield as_batch(schema, keys, np.ones(len(keys), np.int8), *(np.repeat(c[who], len(m)) for c in columns))
 
-    def pairs(self, fps: DataFrame, pick, block: int = 4096) -> DataFrame:
-        """(u, v) as ``pick`` chooses them from the pairs within the radius. Probes are cheaper
-        to make twice than to keep."""
+    def written_pairs(self, fps: DataFrame, pick, slices: int = 4) -> DataFrame:
+        """The distinct ``pairs``, written; partitions are done in ``slices``, whose shuffles go
+        one after the other."""
+        cuts = [len(self.groups) * k // slices for k in range(slices + 1)]
+        found = [written(self.pairs(fps, pick, only=range(a, b)).distinct(), "slice") for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        out = written(out.distinct(), "pairs")
+        for t in found:
+            drop_written(t)
+        return out
+
+    def pairs(self, fps: DataFrame, pick, block: int = 4096, only: range | None = None) -> DataFrame:
+        """(u, v) as ``pick`` chooses them from the pairs within the radius, of all partitions or
+        those of ``only``. Probes are cheaper to make twice than to keep."""
+        only = range(len(self.groups)) if only is None else only
         names = {_linked: ["fp"], _nearest: ["fp", "node"], _apart: ["fp", "node", "c"], _possible: ["fp", "node", "c", "room", *SKETCHES]}[pick]
         asks = F.col("asks") if "asks" in fps.columns else F.lit(True).alias("asks")
-        rows = fps.select(*names, asks, *(["size"] if self.cut is not None else [])).mapInArrow(lambda batches: self._spread(batches, names), "key long, role byte, " + ", ".join(f"{c} long" for c in names))
+        rows = fps.select(*names, asks, *(["size"] if self.cut is not None else [])).mapInArrow(lambda batches: self._spread(batches, names, only), "key long, role byte, " + ", ".join(f"{c} long" for c in names))
         size = rows.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("n_i"), F.count_if(F.col("role") == 1).alias("n_p"))
         parts_of = lambda n: F.ceil(F.col(n) / block).cast("int")
         # Only buckets of more than one block: at most rows / block of them.
@@ -494,37 +509,58 @@ class Copies:
         nodes = written(self.rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", *SKETCHES)], rep, F.count("*").alias("n")), "nodes")
         self.total = nodes.agg(F.sum("n")).first()[0] or 0
         probes = Probes(nodes, radius, cut=cut)
-        met = written(probes.pairs(nodes, _nearest).distinct(), "pairs")
+        met = probes.written_pairs(nodes, _nearest)
         first = met.where("u != v")
-        links = written(self._similar(first, text_col), "links")
+        room = F.ceil(F.col("size") * (1000 * (1 - cut) / (1 + cut)) + 1e-6).alias("room")  # thousandths of unshared elements, for each end
+        # Pairs near by chance go by their sketches, before any text is sent.
+        sketch = lambda c: nodes.select(F.col("node").alias(c), F.struct(room, *SKETCHES).alias(f"_{c}"))
+        differ = sum(F.bit_count(F.col(f"_u.{k}").bitwiseXOR(F.col(f"_v.{k}"))) for k in SKETCHES)
+        both = first.join(sketch("u"), "u").join(sketch("v"), "v").where(differ * 1000 <= F.col("_u.room") + F.col("_v.room"))
+        links = self._similar(both.select("u", "v"), text_col)
         groups = written(connected_components(links), "groups")
         # Who met nobody in the first round meets nobody now.
         asks = met.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("asks", F.lit(True))
         placed = nodes.join(groups, "node", "left").join(asks, "node", "left")
-        room = F.ceil(F.col("size") * (1000 * (1 - cut) / (1 + cut)) + 1e-6).alias("room")  # thousandths of unshared elements, for each end
         placed = placed.select("node", "fp", "size", F.coalesce("component", "node").alias("c"), F.coalesce("asks", F.lit(False)).alias("asks"), room, *SKETCHES)
         placed = written(placed, "placed")
-        second = written(probes.pairs(placed, _possible).distinct().join(first, ["u", "v"], "left_anti"), "pairs")
-        links = links.unionByName(self._similar(second, text_col))
-        comp = nodes.join(connected_components(links), "node", "left")
+        second = probes.written_pairs(placed, _possible)
+        more = self._similar(second.join(first, ["u", "v"], "left_anti"), text_col)
+        for t in (met, second, groups, placed):
+            drop_written(t)
+        comp = nodes.join(connected_components(links.unionByName(more)), "node", "left")
         self.nodes = written(comp.select("node", "rep", "n", F.coalesce("component", "node").alias("component")), "classes")
+        for t in (links, more, nodes):
+            drop_written(t)
 
     def _similar(self, pairs: DataFrame, text_col: str) -> DataFrame:
         """Those of ``pairs`` (u, v) whose sets have a similarity of ``cut`` or more."""
         shingle, cut = self.shingle, self.cut
+        pairs = written(pairs, "near")
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         texts = self.rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first(F.col("doc").getField(text_col)).alias("text"))
         texts = written(texts.select("node", text_bytes("text")), "texts")
-        named = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+
+        def beside(rows: DataFrame, end: str, share: int = 64) -> DataFrame:
+            """``rows`` with the text of one end. A node of many pairs has a copy of its text for
+            every ``share`` of them."""
+            parts = pairs.groupBy(end).agg(F.ceil(F.count("*") / share).cast("int").alias("_parts"))
+            named = texts.withColumnsRenamed({"node": end, "text": f"text_{end}"}).join(parts, end)
+            named = named.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+            dealt = rows.join(parts, end).withColumn("_part", F.pmod(F.xxhash64("u", "v"), F.col("_parts")).cast("int")).drop("_parts")
+            return dealt.join(named, [end, "_part"]).drop("_part")
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[int, np.ndarray] = {}
+            held = 0  # bytes
 
             def set_of(node, text):
+                nonlocal held
                 if node not in known:
-                    if len(known) > 2000:
+                    if held > 32 << 20:
                         known.clear()
+                        held = 0
                     known[node] = np.unique(shingle_hashes(text, shingle))
+                    held += known[node].nbytes + 200
                 return known[node]
 
             for b in chunks(chunks(batches, "text_u"), "text_v"):
@@ -532,8 +568,11 @@ class Copies:
                 good = [similar(set_of(*x), set_of(*y), cut) for x, y in zip(zip(u, a, strict=True), zip(v, c, strict=True), strict=True)]
                 yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-        joined = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "text_u", "text_v")
-        return joined.mapInArrow(of, "u long, v long")
+        joined = beside(beside(pairs, "u"), "v").select("u", "v", "text_u", "text_v")
+        out = written(joined.mapInArrow(of, "u long, v long"), "links")
+        drop_written(pairs)
+        drop_written(texts)
+        return out
 
     def classes(self, keep: dict[str, Column] | None = None) -> DataFrame:
         """One row per document: ``keep`` (expressions over ``doc``) and component_id, the
