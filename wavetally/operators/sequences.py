@@ -5,51 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetally.operators import intervals
+from wavetally.operators import intervals, scans
 from wavetally.operators.robust import finite
 
 
-def flat_runs(df: DataFrame, keys: list[str], order: list[str], value: str, tolerance: float, least: int) -> DataFrame:
+def flat_runs(df: DataFrame, keys: list[str], order: list[str], value: str, tolerance: float, least: int, cell: Column | None = None) -> DataFrame:
     """Runs of samples whose steps are finite and at most ``tolerance``: n steps are n + 1
-    samples; runs of ``least`` (two at least) samples stay."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    step = F.abs(F.col(value) - F.lag(value).over(w))
-    flat = F.coalesce((step <= tolerance) & finite(F.col(value)) & finite(F.lag(value).over(w)), F.lit(False))
-    rows = df.withColumn("_k", F.row_number().over(w)).withColumn("_flat", flat)
-    rows = rows.withColumn("_run", F.sum((~F.col("_flat")).cast("int")).over(w))
-    runs = rows.groupBy(*keys, "_run").agg(F.min("_k").alias("first"), F.max("_k").alias("last"), F.count("*").alias("n"), F.first(value).alias("_v"))
+    samples; runs of ``least`` (two at least) samples stay. ``cell``: see ``scans``."""
+    rows = scans.with_previous(df, keys, order, F.col(value), "_p", cell)
+    flat = (F.abs(F.col(value) - F.col("_p")) <= tolerance) & finite(F.col(value)) & finite(F.col("_p"))
+    step = (~F.coalesce(flat, F.lit(False))).cast("long")
+    rows = scans.running_sums(rows, keys, order, {"_k": F.lit(1).cast("long"), "_run": step}, cell)
+    runs = rows.groupBy(*keys, "_run").agg(F.min("_k").alias("first"), F.max("_k").alias("last"), F.count("*").alias("n"))
     return runs.where(F.col("n") >= max(2, least)).select(*keys, "first", "last", "n")
 
 
-def invalid_runs(df: DataFrame, keys: list[str], sample: str, value: str, least: int, tolerance: float = 0.0) -> DataFrame:
+def invalid_runs(df: DataFrame, keys: list[str], sample: str, value: str, least: int, tolerance: float = 0.0, cell: Column | None = None) -> DataFrame:
     """Half-open intervals (keys, start, stop) of samples that are not finite or lie in a flat
     run of ``least`` samples; ``sample`` counts without gaps from its first value."""
     first = df.groupBy(*keys).agg(F.min(sample).alias("_0"))
-    flat = flat_runs(df, keys, [sample], value, tolerance, least).join(first, keys)
+    flat = flat_runs(df, keys, [sample], value, tolerance, least, cell).join(first, keys)
     flat = flat.select(*keys, (F.col("first") - 1 + F.col("_0")).alias("start"), (F.col("last") + F.col("_0")).alias("stop"))
     lost = df.where(~F.coalesce(finite(F.col(value)), F.lit(False))).select(*keys, F.col(sample).alias("start"), (F.col(sample) + 1).alias("stop"))
     return intervals.merge(lost.unionByName(flat), keys).drop("n")
 
 
-def interpolate(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """``filled``: linear in ``order`` through missing values, constant at the ends."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def interpolate(df: DataFrame, keys: list[str], order: str, value: str, cell: Column | None = None) -> DataFrame:
+    """``filled``: linear in ``order`` through missing values, constant at the ends. ``cell``: see
+    ``scans``."""
     good = F.when(finite(F.col(value)), F.struct(F.col(order).alias("t"), F.col(value).alias("v")))
-    back = F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(good, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = df.withColumn("_a", back).withColumn("_b", ahead)
+    rows = scans.nearest_known(df, keys, order, good, cell)
     a, b, t = F.col("_a"), F.col("_b"), F.col(order)
     between = a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"])
     filled = F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).when(a["t"] == b["t"], a["v"]).otherwise(between)
     return rows.withColumn("filled", filled).drop("_a", "_b")
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], width: int) -> DataFrame:
+def rolling(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], width: int, cell: Column | None = None) -> DataFrame:
     """Sums of each row and the ``width - 1`` after it; rows with a full window only."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ahead = w.rowsBetween(0, width - 1)
-    out = df.withColumns({k: F.sum(c).over(ahead) for k, c in columns.items()}).withColumn("_n", F.count("*").over(ahead))
-    return out.where(F.col("_n") == width).drop("_n")
+    return scans.rolling_sums(df, keys, order, columns, width, cell)
 
 
 def strided(df: DataFrame, index: str, step: int) -> DataFrame:

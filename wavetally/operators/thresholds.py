@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavetally.operators import scans
+
 
 class CoverageError(ValueError):
     """A threshold lies below what was stored."""
@@ -18,30 +20,30 @@ class UnattainableError(ValueError):
     """Ties make an exact recovery count impossible."""
 
 
-def ranked_scores(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """Per key and distinct score: recovered = trials at or above it, and all trials."""
+def ranked_scores(scores: DataFrame, keys: list[str], score: str = "score", cell: float | None = None) -> DataFrame:
+    """Per key and distinct score: recovered = trials at or above it, and all trials. ``cell``:
+    width of the cells of scores that are ranked apart (none: a key's scores together)."""
     per = scores.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    return per.select(
-        *keys, score, F.sum("_n").over(w.orderBy(F.desc(score))).alias("recovered"), F.sum("_n").over(w).alias("trials")
-    )
+    all_ = scores.groupBy(*keys).agg(F.count("*").alias("trials"))
+    ranked = scans.running_sums(per, keys, [F.desc(score)], {"recovered": F.col("_n")}, None if cell is None else F.floor(F.col(score) / cell), descending=True)
+    return ranked.join(all_, keys).select(*keys, score, "recovered", "trials")
 
 
-def at_least(scores: DataFrame, keys: list[str], levels: list[float], score: str = "score") -> DataFrame:
+def at_least(scores: DataFrame, keys: list[str], levels: list[float], score: str = "score", cell: float | None = None) -> DataFrame:
     """Per key and level: the k-th largest score, k = max(1, ceil(level * n - 1e-12)), and
     all that it recovers, ties included."""
     if any(not 0 < x <= 1 for x in levels) or sorted(set(levels)) != list(levels):
         raise ValueError("levels ascend within (0, 1]")
-    ranked = ranked_scores(scores, keys, score).withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
+    ranked = ranked_scores(scores, keys, score, cell).withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
     k = F.greatest(F.lit(1), F.ceil(F.col("level") * F.col("trials") - 1e-12))
     ok = ranked.where(F.col("recovered") >= k)
     return ok.groupBy(*keys, "level").agg(F.max(score).alias("threshold"), F.min("recovered").alias("recoveries"), F.first("trials").alias("trials"))
 
 
-def exact_count(scores: DataFrame, keys: list[str], fraction: float, score: str = "score") -> DataFrame:
+def exact_count(scores: DataFrame, keys: list[str], fraction: float, score: str = "score", cell: float | None = None) -> DataFrame:
     """As ``at_least`` with k = floor(fraction * n + 0.5); ``tied`` tells that the
     threshold recovers another count than k."""
-    ranked = ranked_scores(scores, keys, score).withColumn("k", F.floor(fraction * F.col("trials") + 0.5))
+    ranked = ranked_scores(scores, keys, score, cell).withColumn("k", F.floor(fraction * F.col("trials") + 0.5))
     got = ranked.where((F.col("recovered") >= F.col("k")) & (F.col("k") > 0)).groupBy(*keys).agg(
         F.max(score).alias("threshold"), F.min("recovered").alias("recoveries"), F.first("k").alias("wanted")
     )

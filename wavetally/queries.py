@@ -74,7 +74,7 @@ MATCHED = RANKED + """, levels AS (SELECT unnest([0.5, 0.8, 0.9]::DOUBLE[]) AS l
 
 
 def _matched(spark, d):
-    return thresholds.at_least(inj(spark, d), ["code_id"], list(LEVELS))
+    return thresholds.at_least(inj(spark, d), ["code_id"], list(LEVELS), cell=0.01)
 
 
 # ---------------------------------------------------------------- thresholds and points
@@ -86,7 +86,7 @@ def matched_threshold(spark, d):
 @query("exact_threshold", f"""WITH {INJ}, {RANKED}, k AS (SELECT *, floor(0.8 * trials + 0.5) AS k FROM ranked)
  SELECT code_id, max(score) AS threshold, min(recovered)::BIGINT AS recoveries, any_value(k)::BIGINT AS wanted, min(recovered) <> any_value(k) AS tied FROM k WHERE recovered >= k AND k > 0 GROUP BY code_id""")
 def exact_threshold(spark, d):
-    return thresholds.exact_count(inj(spark, d), ["code_id"], 0.8)
+    return thresholds.exact_count(inj(spark, d), ["code_id"], 0.8, cell=0.01)
 
 
 GRID = [i / 200 for i in range(1, 61)]
@@ -247,7 +247,7 @@ def trailing_scale(spark, d):
  SELECT subject_id, event_id, round(s::DOUBLE, 6) AS total, round(q::DOUBLE - s::DOUBLE * s::DOUBLE / 5, 6) AS energy FROM r WHERE n = 5""")
 def rolling_moments(spark, d):
     v = F.col("value").cast("decimal(18,2)")
-    rows = sequences.rolling(ev(spark, d), ["subject_id"], ["us", "event_id"], {"s": v, "q": v * v}, 5)
+    rows = sequences.rolling(ev(spark, d), ["subject_id"], ["us", "event_id"], {"s": v, "q": v * v}, 5, F.floor(F.col("us") / DAY))
     s, q = F.col("s").cast("double"), F.col("q").cast("double")
     return rows.select("subject_id", "event_id", F.round(s, 6).alias("total"), F.round(q - s * s / 5, 6).alias("energy"))
 
@@ -307,7 +307,7 @@ LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice
  r AS (SELECT *, sum(CASE WHEN flat THEN 0 ELSE 1 END) OVER (PARTITION BY l_returnflag ORDER BY k) AS run FROM s)
  SELECT l_returnflag, min(k) AS first, max(k) AS last, count(*) AS n FROM r GROUP BY l_returnflag, run HAVING count(*) >= 4""")
 def flatline_runs(spark, d):
-    rows = sequences.flat_runs(table(spark, d, "lineitem"), ["l_returnflag"], LINE, "l_discount", 0.01 + 1e-12, 4)
+    rows = sequences.flat_runs(table(spark, d, "lineitem"), ["l_returnflag"], LINE, "l_discount", 0.01 + 1e-12, 4, F.floor(F.col("l_orderkey") / 4096))
     return rows.select("l_returnflag", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
 
 
@@ -317,7 +317,7 @@ def flatline_runs(spark, d):
  SELECT subject_id, event_id, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (us - t0) / (t1 - t0) END, 6) AS filled FROM n""")
 def gap_interpolation(spark, d):
     rows = ev(spark, d).select("subject_id", "event_id", "us", F.when(F.col("code_id") != "error", F.col("value")).alias("v"))
-    return sequences.interpolate(rows, ["subject_id"], "us", "v").select("subject_id", "event_id", F.round("filled", 6).alias("filled"))
+    return sequences.interpolate(rows, ["subject_id"], "us", "v", F.floor(F.col("us") / DAY)).select("subject_id", "event_id", F.round("filled", 6).alias("filled"))
 
 
 @query("local_maxima", f"""WITH {EV}, s AS (SELECT *, CASE WHEN code_id <> 'error' THEN score END AS q FROM ev), n AS (SELECT *, lag(q) OVER w AS l, lead(q) OVER w AS r FROM s WINDOW w AS (PARTITION BY subject_id ORDER BY us, event_id))
