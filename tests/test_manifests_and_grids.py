@@ -147,6 +147,15 @@ def test_bootstraps_against_plain_loops(spark):
             assert (r[f"{role}_threshold"], r[f"{role}_events"]) == (t, n)
             assert r[f"{role}_recovery"] == pytest.approx(sum(s >= t for s in scores) / len(scores)) and r[f"{role}_rate"] == pytest.approx(n / total)
         assert r["difference"] == pytest.approx(r["candidate_rate"] - r["control_rate"])
+    again = bootstrap.matched_bootstrap(frame(inj), frame(ev), expo, "x", "y", 0.5, 40, 9, {}, per_task=3).orderBy("replicate").collect()
+    assert again == got  # whatever the tasks
+    one = bootstrap.matched_interval(frame(inj), frame(ev), expo, "x", "y", 0.5, 40, 9, {}).first()
+    low, high = np.quantile([r["difference"] for r in got], [0.025, 0.975])
+    assert (one["lower"], one["upper"], one["replicates"]) == (pytest.approx(low), pytest.approx(high), 40)
+    scores = sorted((s for _, c, s in inj if c == "x"), reverse=True)
+    assert one["candidate_threshold"] == scores[8] and one["candidate_events"] == sum(s >= scores[8] for _, c, s in ev if c == "x")
+    counter = lambda tasks: bootstrap.matched_bootstrap(frame(inj), frame(ev), expo, "x", "y", 0.5, 30, 9, {}, "counter", tasks).orderBy("replicate").collect()
+    assert counter(3) == counter(30) and len({r["difference"] for r in counter(30)}) > 5
     with pytest.raises(Exception, match="floor"):
         bootstrap.matched_bootstrap(frame(inj), frame(ev), expo, "x", "y", 0.5, 40, 9, {"x": 2.0}).count()
 

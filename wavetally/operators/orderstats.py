@@ -48,7 +48,10 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Column) ->
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
-    """keys, n and one column for each level: linear between the two values around it."""
+    """keys, n and one column for each level: linear between the two values around it. No keys:
+    one row for all."""
+    if not keys:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, levels).drop("_all")
     at = lambda p: (F.col("n") - 1) * float(p)
     low = lambda p: F.floor(at(p)).cast("long")
     ranks = F.array(*[r for p in levels.values() for r in (low(p) + 1, F.least(low(p) + 2, F.col("n")))])

@@ -451,28 +451,38 @@ DRAWS = """ids AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) -
  w AS (SELECT r AS replicate, ids.subject_id, count(*) AS weight FROM range({1}) a(r), (SELECT i AS k, n FROM ids) b, ids WHERE ids.i = ('0x' || substr(md5('7|' || r || '|' || k), 1, 15))::BIGINT % b.n GROUP BY ALL)"""
 
 
-@query("bootstrap_cluster", f"""WITH {EV}, {EXPO}, {PAIRS}, {DRAWS.format('pairs', 50)} SELECT replicate, sum(weight * candidate_events)::BIGINT AS candidate_events, sum(weight * control_events)::BIGINT AS control_events,
- sum(weight * round(hours, 6)::DECIMAL(18, 6))::DOUBLE AS hours FROM w JOIN pairs USING (subject_id) GROUP BY replicate""")
+#: Replicates of the pilot's and of the confirmatory bootstrap.
+PILOT, CONFIRMATORY = 10_000, 50_000
+
+
+@query("bootstrap_cluster", f"""WITH {EV}, {EXPO}, {PAIRS}, {DRAWS.format('pairs', PILOT)}, d AS (SELECT replicate, (sum(weight * candidate_events) - sum(weight * control_events))::DOUBLE / sum(weight * round(hours, 6)::DECIMAL(18, 6))::DOUBLE AS difference FROM w JOIN pairs USING (subject_id) GROUP BY replicate)
+ SELECT count(*) AS replicates, round(quantile_cont(difference, 0.025), 9) AS lower, round(quantile_cont(difference, 0.975), 9) AS upper FROM d""")
 def bootstrap_cluster(spark, d):
-    out = bootstrap.hash_cluster(_study(spark, d), 50, "7")
-    return out.withColumn("hours", F.col("hours").cast("double"))
+    """The pilot's interval of the rate difference, from md5 draws of subjects."""
+    out = bootstrap.hash_cluster(_study(spark, d), PILOT, "7")
+    difference = (F.col("candidate_events") - F.col("control_events")).cast("double") / F.col("hours").cast("double")
+    found = bootstrap.interval_columns(out.select(difference.alias("difference")))
+    return found.select(F.col("n").alias("replicates"), F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
+
+
+def _matched_interval(spark, d, draws):
+    i, e, x = inj(spark, d), ev(spark, d), expo(spark, d)
+    both = e.where(F.col("code_id").isin("signup", "error"))
+    stored = both.where("score >= 0.001").groupBy("code_id", "record_id").agg(F.min("score").alias("threshold"))
+    floors = {r["code_id"]: r["floor"] for r in thresholds.storage_floor(stored, both, ["code_id"]).collect()}  # two codes
+    return bootstrap.matched_interval(i, both, x, "signup", "error", 0.9, CONFIRMATORY, 42, floors, draws)
 
 
-@query("bootstrap_matched", f"""WITH {INJ}, {DRAWS.format('inj', 30)}, c AS (SELECT replicate, code_id, score, sum(weight) AS n FROM w JOIN inj USING (subject_id) GROUP BY ALL),
- q AS (SELECT *, sum(n) OVER (PARTITION BY replicate, code_id ORDER BY score DESC) AS cum, sum(n) OVER (PARTITION BY replicate, code_id) AS total FROM c),
- t AS (SELECT replicate, code_id, max(score) AS threshold FROM q WHERE cum >= greatest(1, ceil(0.9 * total - 1e-12)) GROUP BY ALL)
- SELECT t.replicate, t.code_id, t.threshold, coalesce(sum(w.weight) FILTER (e.score >= t.threshold), 0)::BIGINT AS events FROM t JOIN w USING (replicate) LEFT JOIN ev e ON e.subject_id = w.subject_id AND e.code_id = t.code_id GROUP BY ALL""")
+@query("bootstrap_matched")
 def bootstrap_matched(spark, d):
-    i = inj(spark, d)
-    weights = bootstrap.hash_draws(i.select("subject_id").distinct(), 30, "7")
-    return bootstrap.hash_matched(i, ev(spark, d), weights, 0.9)
+    """The confirmatory interval with both thresholds selected anew, by counter-based draws."""
+    return _matched_interval(spark, d, "counter")
 
 
 @query("bootstrap_numpy")
 def bootstrap_numpy(spark, d):
-    i, e, x = inj(spark, d), ev(spark, d), expo(spark, d)
-    both = e.where(F.col("code_id").isin("signup", "error"))
-    return bootstrap.matched_bootstrap(i, both, x, "signup", "error", 0.9, 500, 42, {})
+    """The same by the stream of one numpy generator."""
+    return _matched_interval(spark, d, "numpy")
 
 
 @query("label_seed", "SELECT n_name, array_to_string(list_reverse(regexp_extract_all(substr(sha256('42|' || n_name), 1, 16), '..')), '') AS seed FROM nation")
