@@ -1,15 +1,16 @@
 """Exact binomial and Poisson intervals without SciPy.
 
-Quantiles of the beta and gamma distributions come from their regularised incomplete
-integrals (continued fraction and series) by bisection; grouped results pass through an
-Arrow scalar function, one row per group.
+In columns: the chance S of k events or more is its first term times F, a sum of products of
+simple ratios, and its slope in the logarithm of the parameter is k / F. F grows with the
+parameter, so ln S is concave, and Newton steps from below rise to the bound without passing
+it. Everything is a JVM expression. For single numbers: quantiles of the beta and gamma
+distributions by bisection.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,26 +108,84 @@ def poisson_rate(events: int, hours: float, level: float = 0.95) -> tuple[float,
     return lower, chi2_quantile(1 - tail, 2 * events + 2) / 2 / hours, chi2_quantile(level, 2 * events + 2) / 2 / hours
 
 
-def clopper_pearson_column(successes: Column, trials: Column, level: float = 0.95) -> Column:
-    """struct<lower, upper>; null where there is no trial."""
+def _sum_of_products(ratio, terms: Column) -> Column:
+    """1 + ratio(1) + ratio(1) ratio(2) + ... of ``terms`` ratios."""
+    zero = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
 
-    @F.pandas_udf("lower double, upper double")
-    def of(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = [clopper_pearson(int(a), int(b), level) if b and b > 0 else (None, None) for a, b in zip(k, n, strict=True)]
-        return pd.DataFrame(rows, columns=["lower", "upper"], dtype=float)
+    def step(s: Column, j: Column) -> Column:
+        term = s["term"] * ratio(j)
+        return F.struct((s["sum"] + term).alias("sum"), term.alias("term"))
 
-    return of(successes, trials)
+    count = F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(count, zero, step, lambda s: s["sum"])
 
 
-def poisson_column(events: Column, hours: Column, level: float = 0.95) -> Column:
-    """struct<lower, upper, one_sided_upper>; null where there is no exposure."""
+def _logs(upto: Column, value) -> Column:
+    """Sum of ln value(j), j from 1 to ``upto``."""
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), upto), F.lit(0.0), lambda s, j: s + F.ln(value(j)))
+
+
+#: Newton steps; they stop moving after some ten.
+STEPS = 60
+
+
+def _rise(k: Column, first: Column, log_rest, spread, target: float) -> Column:
+    """The logarithm u of the parameter at which ln S = ln ``target``, where
+    S = exp(first + k u + log_rest(u)) * F and F = spread(u). Without log_rest and F, S is at
+    least what it is, so that the start lies below."""
+    start = (math.log(target) - first) / k
+
+    def step(u: Column, _: Column) -> Column:
+        more = spread(u)
+        return u - (first + k * u + log_rest(u) + F.ln(more) - math.log(target)) * more / k
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
+
 
-    @F.pandas_udf("lower double, upper double, one_sided_upper double")
-    def of(k: pd.Series, t: pd.Series) -> pd.DataFrame:
-        rows = [poisson_rate(int(a), float(b), level) if b and b > 0 else (None, None, None) for a, b in zip(k, t, strict=True)]
-        return pd.DataFrame(rows, columns=["lower", "upper", "one_sided_upper"], dtype=float)
+def _tail_terms(n: Column) -> Column:
+    """Terms after which a sum of falling ratios stands still: some ten deviations."""
+    return F.ceil(14 * F.sqrt(n)).cast("long") + 60
 
-    return of(events, hours)
+
+def _binomial_bound(k: Column, n: Column, target: float) -> Column:
+    """p with P(X >= k) = ``target`` in n trials, for 1 <= k <= n."""
+    k, n = k.cast("double"), n.cast("double")
+    first = _logs(k.cast("long"), lambda j: (n - k + j) / j)
+    odds = lambda u: F.exp(u) / -F.expm1(u)
+    spread = lambda u: _sum_of_products(lambda j: (n - k - j + 1) / (k + j) * odds(u), F.least((n - k).cast("long"), _tail_terms(n)))
+    rise = _rise(k, first, lambda u: F.when(n > k, (n - k) * F.ln(-F.expm1(u))).otherwise(0.0), spread, target)
+    # With k = n there is one term, p ** n.
+    return F.when(k == n, F.exp(math.log(target) / n)).otherwise(F.exp(rise))
+
+
+def _poisson_bound(k: Column, target: float) -> Column:
+    """The mean with P(X >= k) = ``target``, for k >= 1."""
+    k = k.cast("double")
+    first = -_logs(k.cast("long"), lambda j: j.cast("double"))
+    rise = _rise(k, first, lambda u: -F.exp(u), lambda u: _sum_of_products(lambda j: F.exp(u) / (k + j), _tail_terms(k) + 20), target)
+    return F.exp(rise)
+
+
+def clopper_pearson_column(successes: Column, trials: Column, level: float = 0.95) -> Column:
+    """struct<lower, upper>; null where there is no trial. By symmetry the upper bound is one
+    minus the lower one of the failures."""
+    if not 0 < level < 1:
+        raise ValueError("the level lies between 0 and 1")
+    tail, k, n = (1 - level) / 2, successes.cast("long"), trials.cast("long")
+    low = lambda x: F.when(x == 0, 0.0).otherwise(_binomial_bound(F.greatest(x, F.lit(1)), n, tail))
+    good = (n > 0) & k.between(0, n)
+    return F.when(good, F.struct(low(k).alias("lower"), (1 - low(n - k)).alias("upper"))).otherwise(F.struct(F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")))
+
+
+def poisson_column(events: Column, hours: Column, level: float = 0.95) -> Column:
+    """struct<lower, upper, one_sided_upper>; null where there is no exposure."""
+    if not 0 < level < 1:
+        raise ValueError("the level lies between 0 and 1")
+    tail, k = (1 - level) / 2, events.cast("long")
+    lower = F.when(k == 0, 0.0).otherwise(_poisson_bound(F.greatest(k, F.lit(1)), tail))
+    bounds = (lower, _poisson_bound(k + 1, 1 - tail), _poisson_bound(k + 1, level))
+    good = (hours > 0) & (k >= 0)
+    return F.struct(*[F.when(good, b / hours).alias(n) for b, n in zip(bounds, ("lower", "upper", "one_sided_upper"), strict=True)])
 
 
 def window_probability(rate_per_hour: Column, seconds: float) -> Column:

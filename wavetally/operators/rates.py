@@ -32,14 +32,37 @@ def with_intervals(points: DataFrame) -> DataFrame:
     return out.select(*points.columns, F.col("cp.lower").alias("recovery_lower"), F.col("cp.upper").alias("recovery_upper"), F.col("po.lower").alias("rate_lower"), F.col("po.upper").alias("rate_upper"), F.col("po.one_sided_upper").alias("rate_one_sided_upper"))
 
 
+def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both tables beside one another. A key that repeats on a side, or that the other
+    side lacks, raises when the rows are made; no job runs before. Null keys are a key."""
+    sides = []
+    for k, df in enumerate((a, b)):
+        rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])
+        sides.append(df.groupBy(*keys).agg(F.first(rest).alias(f"_r{k}"), F.count("*").alias(f"_n{k}")).select(*[F.col(c).alias(f"_{k}_{c}") for c in keys], f"_r{k}", f"_n{k}"))
+    on = [sides[0][f"_0_{c}"].eqNullSafe(sides[1][f"_1_{c}"]) for c in keys]
+    both = sides[0].join(sides[1], on, "full_outer")
+    fault = F.when(F.col("_n0").isNull() | F.col("_n1").isNull(), F.lit("a key has no partner: ")).when((F.col("_n0") > 1) | (F.col("_n1") > 1), F.lit("a key repeats: "))
+    named = F.concat_ws("|", *[F.coalesce(F.col(f"_0_{c}").cast("string"), F.col(f"_1_{c}").cast("string")) for c in keys])
+    # The keys carry the check, so that no plan can leave it out.
+    checked = [F.when(fault.isNotNull(), F.raise_error(F.concat(fault, named)).cast(a.schema[c].dataType)).otherwise(F.col(f"_0_{c}")).alias(c) for c in keys]
+    return both.select(*checked, "_r0.*", "_r1.*")
+
+
 def paired(candidate: DataFrame, control: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """Counts of two codes side by side, one row per subject; subjects must agree."""
+    """Counts of two codes side by side, one row per subject; subjects must agree and stand once
+    in each table."""
     a = candidate.select(subject, F.col("hours"), F.col("events").alias("candidate_events"))
-    b = control.select(F.col(subject).alias("_s"), F.col("events").alias("control_events"))
-    both = a.join(b, F.col(subject) == F.col("_s"), "full_outer")
-    if not both.where(F.col(subject).isNull() | F.col("_s").isNull()).isEmpty():
-        raise ValueError("the codes have different subjects")
-    return both.drop("_s")
+    return one_to_one(a, control.select(subject, F.col("events").alias("control_events")), [subject])
+
+
+def recovery_surface(injections: DataFrame, thresholds: DataFrame, score: str = "maximum_matched_score") -> DataFrame:
+    """code_id, amplitude, jitter: the share of trials at or above the code's own threshold, with
+    its exact interval. thresholds: (code_id, threshold), one row a code; other codes go."""
+    keys = ["code_id", "amplitude_mad", "interval_jitter_fraction"]
+    rows = injections.select(*keys, F.col(score).alias("_s")).join(thresholds.select("code_id", "threshold"), "code_id")
+    out = rows.groupBy(*keys, "threshold").agg(F.count_if(F.col("_s") >= F.col("threshold")).alias("recovered"), F.count("*").alias("trials"))
+    out = out.withColumn("fraction", F.col("recovered") / F.col("trials")).withColumn("_c", clopper_pearson_column(F.col("recovered"), F.col("trials")))
+    return out.select(*keys, "threshold", "recovered", "trials", "fraction", F.col("_c.lower").alias("lower"), F.col("_c.upper").alias("upper"))
 
 
 def contrast(pairs: DataFrame) -> DataFrame:

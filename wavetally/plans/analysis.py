@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetally.operators import rates, thresholds
+from wavetally.sources.manifests import digest_problems
 from wavetally.sources.tables import Bundle
 
 from .bootstrap import interval, labelled_seed, matched_bootstrap
@@ -76,6 +77,41 @@ def verify_sources(gate: dict, digests: dict[str, str]) -> None:
         raise ValueError(f"sources differ from the gate: {', '.join(changed)}")
 
 
+#: The gate documents that must be sealed before a cohort may be read.
+GATES = {
+    "st-placebo": ("locked_thresholds.json", "external_95_st_gate.json"),
+    "st-temazepam": ("locked_thresholds.json", "temazepam_analysis_gate.json"),
+    "cap-normal": ("cap_analysis_gate.json",),
+}
+
+
+def require_stage_gate(cohort: str, files: DataFrame, seal: DataFrame) -> None:
+    """The gate documents of a cohort must exist among ``files`` (file, sha256), be part of the
+    ``seal`` (file, sha256) and have its digests; a cohort without gates is open."""
+    want = GATES.get(cohort, ())
+    rows = files.where(F.col("file").isin(*want)).select("file", F.col("sha256").alias("now")).join(seal.select("file", "sha256"), "file", "left").collect() if want else []
+    found = {r["file"]: (r["now"], r["sha256"]) for r in rows}  # some names
+    for gate in want:
+        if gate not in found:
+            raise ValueError(f"cohort {cohort} stays sealed until the gate exists: {gate}")
+        now, sealed = found[gate]
+        if sealed is None:
+            raise ValueError(f"the gate is not part of the seal: {gate}")
+        if now != sealed:
+            raise ValueError(f"the gate differs from the seal: {gate}")
+
+
+def frozen_revision(files: DataFrame, seal: DataFrame) -> str:
+    """The revision of a sealed set of files (file, sha256): a digest of all of them in order of
+    name. Sealed files that are missing or differ raise, with their names."""
+    changed = digest_problems(seal.select("file", "sha256"), files).orderBy("file").limit(20).collect()
+    if changed:
+        raise ValueError("not as sealed: " + ", ".join(f"{r['file']} ({r['problem']})" for r in changed))
+    line = F.concat_ws(" ", "sha256", "file")
+    whole = seal.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("revision"))
+    return whole.first()["revision"]
+
+
 def subject_differences(events: DataFrame, exposure: DataFrame, thresholds: dict[str, float], candidate: str, control: str) -> DataFrame:
     """Each subject's counts and rates of both codes and their difference (null without hours):
     the table behind a figure of subjects."""

@@ -142,9 +142,20 @@ def froc_points(spark, d):
     return _points(spark, d).select("level", "role", "code_id", "threshold", "events", "recoveries", "trials", F.round("hours", 6).alias("hours"), F.round("rate", 9).alias("rate"))
 
 
-@query("froc_intervals")
+TAIL_SQL = """CASE WHEN n IS NOT NULL THEN list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(mid) + (n - i) * ln(1 - mid)))) ELSE 1 - list_sum(list_transform(range(0, k), lambda i: exp(i * ln(mid) - mid - lgamma(i + 1)))) END"""
+INTERVALS = POINTS + f""", pts AS (SELECT level, role, code_id, threshold, events, recoveries, trials, hours FROM points, h),
+ q AS (SELECT level, role, 'rl' AS what, trials AS n, recoveries AS k, 0.025 AS target, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM pts WHERE recoveries > 0 UNION ALL SELECT level, role, 'ru', trials, recoveries + 1, 0.975, 0.0, 1.0 FROM pts WHERE recoveries < trials
+  UNION ALL SELECT level, role, 'pl', NULL, events, 0.025, 0.0, 2.0 * events + 50 FROM pts WHERE events > 0 UNION ALL SELECT level, role, 'pu', NULL, events + 1, 0.975, 0.0, 2.0 * events + 50 FROM pts UNION ALL SELECT level, role, 'po', NULL, events + 1, 0.95, 0.0, 2.0 * events + 50 FROM pts),
+ it AS (SELECT *, 0 AS turn FROM q UNION ALL SELECT level, role, what, n, k, target, CASE WHEN s < target THEN mid ELSE lo END, CASE WHEN s < target THEN hi ELSE mid END, turn + 1 FROM (SELECT *, {TAIL_SQL} AS s FROM (SELECT *, (lo + hi) / 2 AS mid FROM it WHERE turn < 60))),
+ b AS (SELECT level, role, max((lo + hi) / 2) FILTER (what = 'rl') AS rl, max((lo + hi) / 2) FILTER (what = 'ru') AS ru, max((lo + hi) / 2) FILTER (what = 'pl') AS pl, max((lo + hi) / 2) FILTER (what = 'pu') AS pu, max((lo + hi) / 2) FILTER (what = 'po') AS po FROM it WHERE turn = 60 GROUP BY ALL)
+ SELECT level, role, code_id, threshold, events, recoveries, trials, round(hours, 6) AS hours, round(coalesce(rl, 0), 9) AS recovery_lower, round(coalesce(ru, 1), 9) AS recovery_upper, round(coalesce(pl, 0) / hours, 9) AS rate_lower, round(pu / hours, 9) AS rate_upper, round(po / hours, 9) AS rate_one_sided_upper FROM pts JOIN b USING (level, role)"""
+
+
+@query("froc_intervals", f"WITH RECURSIVE {INJ}, {EXPO}, {INTERVALS}")
 def froc_intervals(spark, d):
-    return rates.with_intervals(_points(spark, d))
+    out = rates.with_intervals(_points(spark, d))
+    bounds = ("recovery_lower", "recovery_upper", "rate_lower", "rate_upper", "rate_one_sided_upper")
+    return out.select("level", "role", "code_id", "threshold", "events", "recoveries", "trials", F.round("hours", 6).alias("hours"), *[F.round(c, 9).alias(c) for c in bounds])
 
 
 @query("poisson_window_probability", f"WITH {EV}, {EXPO}, h AS (SELECT sum(hours) AS hours FROM expo) SELECT code_id, round(1 - exp(-(count(*) / any_value(hours)) * 20 / 3600), 9) AS p FROM ev, h GROUP BY code_id")
@@ -154,11 +165,14 @@ def poisson_window_probability(spark, d):
     return n.select("code_id", F.round(stats.window_probability(F.col("n") / F.col("hours"), 20), 9).alias("p"))
 
 
-@query("recovery_surface", "SELECT l_returnflag AS code_id, round(l_discount * 100)::BIGINT AS amplitude, l_linestatus AS jitter, count(*) AS trials, count(*) FILTER (l_quantity >= 25) AS recovered, round(count(*) FILTER (l_quantity >= 25) / count(*), 9) AS fraction FROM lineitem GROUP BY ALL")
+@query("recovery_surface", """WITH t AS (SELECT l_returnflag, max(l_quantity) * 0.5 AS threshold FROM lineitem GROUP BY ALL)
+ SELECT l.l_returnflag AS code_id, round(l_discount * 100)::BIGINT AS amplitude_mad, l_linestatus AS interval_jitter_fraction, threshold, count(*) FILTER (l_quantity >= threshold) AS recovered, count(*) AS trials, round(count(*) FILTER (l_quantity >= threshold) / count(*), 9) AS fraction
+ FROM lineitem l JOIN t USING (l_returnflag) GROUP BY ALL""")
 def recovery_surface(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("code_id"), F.round(F.col("l_discount") * 100).cast("long").alias("amplitude"), F.col("l_linestatus").alias("jitter"))
-    out = rows.agg(F.count("*").alias("trials"), F.count_if(F.col("l_quantity") >= 25).alias("recovered"))
-    return out.withColumn("fraction", F.round(F.col("recovered") / F.col("trials"), 9))
+    """Each code's own threshold is half of its greatest score."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("code_id"), F.round(F.col("l_discount") * 100).cast("long").alias("amplitude_mad"), F.col("l_linestatus").alias("interval_jitter_fraction"), F.col("l_quantity").alias("score"))
+    t = rows.groupBy("code_id").agg((F.max("score") * 0.5).alias("threshold"))
+    return rates.recovery_surface(rows, t, "score").withColumn("fraction", F.round("fraction", 9)).drop("lower", "upper")
 
 
 PAIRS = """per AS (SELECT subject_id, sum(hours) AS hours FROM expo GROUP BY ALL), pairs AS (SELECT p.subject_id, p.hours, count(*) FILTER (e.code_id = 'purchase' AND e.score >= 0.05) AS candidate_events,
@@ -532,14 +546,28 @@ def rhythm_check(spark, d):
 
 # ---------------------------------------------------------------- manifests and files
 def _manifest(spark, d):
-    name = F.concat_ws("", F.lit("p"), F.col("p_partkey").cast("string"))
+    """Rows of a confirmatory manifest from parts; every rule is broken by some."""
+    name, odd = F.concat_ws("", F.lit("p"), F.col("p_partkey").cast("string")), lambda n: F.col("p_partkey") % n == 0
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return table(spark, d, "part").select(
-        name.alias("record_id"), F.col("p_brand").alias("subject_id"), F.concat(name, F.when(F.col("p_size") % 7 == 0, F.lit("/../x")).otherwise(F.lit("")), F.lit(".edf")).alias("signal_file"),
-        F.sha2(F.col("p_name").cast("binary"), 256).alias("signal_sha256"), F.concat(name, F.lit(".hyp")).alias("annotation_file"), F.sha2(F.col("p_type").cast("binary"), 256).alias("annotation_sha256"), (F.col("p_size") - 3).cast("double").alias("rate"),
+        F.concat(F.when(odd(23), "_").otherwise(""), name).alias("record_id"), F.col("p_brand").alias("subject_id"), F.lower("p_type").alias("cohort"),
+        F.concat(name, F.when(F.col("p_size") % 7 == 0, F.lit("/../x")).otherwise(F.lit("")), F.lit(".edf")).alias("signal_file"), F.when(odd(19), F.upper(sha("p_name"))).otherwise(sha("p_name")).alias("signal_sha256"),
+        F.concat(name, F.when(odd(17), "..").otherwise(""), F.lit(".hyp")).alias("annotation_file"), F.when(~odd(13), sha("p_type")).alias("annotation_sha256"),
+        F.when(odd(11), "add").when(odd(2), "subtract").otherwise("identity").alias("operation"), F.when(odd(4), "B").otherwise("").alias("channel_b"),
+        (F.col("p_size") - 3).cast("double").alias("source_sample_rate_hz"), F.lit(100.0).alias("target_sample_rate_hz"),
     )
 
 
-MANIFEST = """m AS (SELECT 'p' || p_partkey AS record_id, p_brand AS subject_id, 'p' || p_partkey || CASE WHEN p_size % 7 = 0 THEN '/../x' ELSE '' END || '.edf' AS signal_file, sha256(p_name) AS signal_sha256, 'p' || p_partkey || '.hyp' AS annotation_file, sha256(p_type) AS annotation_sha256, (p_size - 3)::DOUBLE AS rate FROM part)"""
+MANIFEST = """m AS (SELECT CASE WHEN p_partkey % 23 = 0 THEN '_' ELSE '' END || 'p' || p_partkey AS record_id, p_brand AS subject_id, lower(p_type) AS cohort, 'p' || p_partkey || CASE WHEN p_size % 7 = 0 THEN '/../x' ELSE '' END || '.edf' AS signal_file,
+ CASE WHEN p_partkey % 19 = 0 THEN upper(sha256(p_name)) ELSE sha256(p_name) END AS signal_sha256, 'p' || p_partkey || CASE WHEN p_partkey % 17 = 0 THEN '..' ELSE '' END || '.hyp' AS annotation_file, CASE WHEN p_partkey % 13 <> 0 THEN sha256(p_type) END AS annotation_sha256,
+ CASE WHEN p_partkey % 11 = 0 THEN 'add' WHEN p_partkey % 2 = 0 THEN 'subtract' ELSE 'identity' END AS operation, CASE WHEN p_partkey % 4 = 0 THEN 'B' ELSE '' END AS channel_b, (p_size - 3)::DOUBLE AS rate FROM part)"""
+NAME_SQL = "regexp_matches({0}, '^[A-Za-z0-9][A-Za-z0-9._-]*$')"
+RULES_SQL = {
+    "record_id": NAME_SQL.format("record_id"), "subject_id": NAME_SQL.format("subject_id"), "cohort": "cohort IN ('economy', 'small', 'medium', 'promo')",
+    "signal_file": NAME_SQL.format("signal_file") + " AND NOT contains(signal_file, '..')", "annotation_file": NAME_SQL.format("annotation_file") + " AND NOT contains(annotation_file, '..')",
+    "signal_sha256": "regexp_matches(signal_sha256, '^[0-9a-f]{64}$')", "annotation_sha256": "regexp_matches(annotation_sha256, '^[0-9a-f]{64}$')",
+    "operation": "operation IN ('identity', 'subtract')", "channels": "(operation = 'subtract') = (channel_b <> '')", "rates": "rate > 0",
+}
 
 
 @query("manifest_unpivot", f"WITH {MANIFEST} SELECT record_id, 'signal' AS role, signal_file AS file, signal_sha256 AS sha256 FROM m UNION ALL SELECT record_id, 'annotation', annotation_file, annotation_sha256 FROM m")
@@ -547,13 +575,34 @@ def manifest_unpivot(spark, d):
     return manifests.assets(_manifest(spark, d))
 
 
-@query("manifest_violations", f"""WITH {MANIFEST}, v AS (SELECT record_id, 'signal_file' AS rule FROM m WHERE NOT (regexp_matches(signal_file, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AND NOT contains(signal_file, '..')) UNION ALL
- SELECT record_id, 'rates' FROM m WHERE NOT rate > 0 UNION ALL SELECT record_id, 'subject_id' FROM m WHERE NOT regexp_matches(subject_id, '^[A-Za-z0-9][A-Za-z0-9._-]*$')) SELECT * FROM v""")
+@query("manifest_violations", f"WITH {MANIFEST} " + " UNION ALL ".join(f"SELECT record_id, '{k}' AS rule FROM m WHERE NOT coalesce({c}, false)" for k, c in RULES_SQL.items()))
 def manifest_violations(spark, d):
-    checks = {"signal_file": manifests.safe_name(F.col("signal_file")), "rates": F.col("rate") > 0, "subject_id": F.col("subject_id").rlike(manifests.SAFE_NAME)}
+    checks = manifests.record_checks(("economy", "small", "medium", "promo"))
     return _manifest(spark, d).select("record_id", F.explode(manifests.violations(checks)).alias("rule"))
 
 
+def _downloads(spark, d):
+    p = table(spark, d, "part")
+    name = F.concat_ws("", F.lit("p"), (F.col("p_partkey") - F.when(F.col("p_partkey") % 50 == 1, 1).otherwise(0)).cast("string"))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return p.select(
+        F.concat(F.lit(" s"), (F.col("p_partkey") - F.when(F.col("p_partkey") % 40 == 1, 1).otherwise(0)).cast("string")).alias("subject_id"), F.when(F.col("p_size") == 7, "train").when(F.col("p_size") % 2 == 0, "test").otherwise("development").alias("split"),
+        F.concat(name, F.when(F.col("p_size") == 9, ".txt").otherwise(".EDF")).alias("psg_file"), F.upper(sha("p_name")).alias("psg_sha256"),
+        F.concat(F.when(F.col("p_size") == 11, "a/").otherwise(""), F.lit("h"), F.col("p_partkey").cast("string"), F.lit(".edf ")).alias("hypnogram_file"), F.when(F.col("p_size") == 13, "00").otherwise(sha("p_type")).alias("hypnogram_sha256"),
+    )
+
+
+@query("download_violations", """WITH m AS (SELECT 's' || (p_partkey - CASE WHEN p_partkey % 40 = 1 THEN 1 ELSE 0 END) AS subject_id, CASE WHEN p_size = 7 THEN 'train' WHEN p_size % 2 = 0 THEN 'test' ELSE 'development' END AS split,
+  'p' || (p_partkey - CASE WHEN p_partkey % 50 = 1 THEN 1 ELSE 0 END) || CASE WHEN p_size = 9 THEN '.txt' ELSE '.EDF' END AS psg_file, sha256(p_name) AS psg_sha256,
+  CASE WHEN p_size = 11 THEN 'a/' ELSE '' END || 'h' || p_partkey || '.edf' AS hypnogram_file, CASE WHEN p_size = 13 THEN '00' ELSE sha256(p_type) END AS hypnogram_sha256 FROM part),
+ f AS (SELECT psg_file AS file, psg_sha256 AS d, subject_id FROM m UNION ALL SELECT hypnogram_file, hypnogram_sha256, subject_id FROM m)
+ SELECT subject_id, 'split' AS rule FROM m WHERE split NOT IN ('development', 'test') UNION ALL SELECT subject_id, 'psg_file' FROM m WHERE NOT lower(psg_file) LIKE '%.edf' UNION ALL SELECT subject_id, 'hypnogram_file' FROM m WHERE contains(hypnogram_file, '/')
+ UNION ALL SELECT subject_id, 'hypnogram_sha256' FROM m WHERE NOT regexp_matches(hypnogram_sha256, '^[0-9a-f]{64}$') UNION ALL SELECT subject_id, 'subject_repeats' FROM m GROUP BY subject_id HAVING count(*) > 1
+ UNION ALL SELECT min(subject_id), CASE WHEN count(DISTINCT d) > 1 THEN 'file_conflicts' ELSE 'file_repeats' END FROM f GROUP BY file HAVING count(*) > 1""")
+def download_violations(spark, d):
+    return manifests.download_violations(_downloads(spark, d))
+
+
 @query("digest_check", "WITH e AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN sha256(url) ELSE sha256(html) END AS want FROM pages), f AS (SELECT page_id, sha256(html) AS got FROM pages WHERE page_id % 7 <> 0) SELECT e.page_id AS file, CASE WHEN f.page_id IS NULL THEN 'missing' ELSE 'mismatch' END AS problem FROM e LEFT JOIN f USING (page_id) WHERE f.page_id IS NULL OR want <> got")
 def digest_check(spark, d):
     p = table(spark, d, "pages")

@@ -60,10 +60,16 @@ def assets(df: DataFrame, key: str = "record_id") -> DataFrame:
     return df.select(key, F.inline(F.array(pair("signal"), pair("annotation"))))
 
 
-def routing(df: DataFrame) -> DataFrame:
-    """Dataset and folder, derived from the cohort."""
+#: Where the two data sets are published.
+SOURCES = {"edfx": "https://physionet.org/files/sleep-edfx/1.0.0", "cap": "https://physionet.org/files/capslpdb/1.0.0"}
+
+
+def routing(df: DataFrame, sources: dict[str, str] = SOURCES) -> DataFrame:
+    """Dataset, folder and base address, derived from the cohort."""
     dataset = F.when(F.col("cohort").startswith("cap"), "cap").otherwise("edfx")
-    return df.withColumn("dataset", dataset).withColumn("folder", F.concat_ws("/", "dataset", F.when(F.col("dataset") == "edfx", F.col("cohort"))))
+    out = df.withColumn("dataset", dataset).withColumn("folder", F.concat_ws("/", "dataset", F.when(F.col("dataset") == "edfx", F.col("cohort"))))
+    base = F.when(F.col("dataset") == "cap", sources["cap"]).otherwise(F.concat_ws("/", F.lit(sources["edfx"]), "cohort"))
+    return out.withColumn("base_url", base)
 
 
 def digests(files: DataFrame, content: str = "content") -> DataFrame:
@@ -92,18 +98,67 @@ def checksum_list(text: DataFrame, line: str = "value") -> DataFrame:
     return rows
 
 
-def exactly_one(records: DataFrame, files: DataFrame, prefix: Column, suffix: str, key: str) -> DataFrame:
-    """The one file of each record with its prefix and the suffix; none or several raise.
+def exactly_one(records: DataFrame, files: DataFrame, prefix: Column, suffix: str | Column, key: str) -> DataFrame:
+    """The one file of each record with its prefix and suffix; none or several raise.
 
-    Prefixes have a fixed length, so the join is an equality on them."""
-    width = records.select(F.max(F.length(prefix))).first()[0] or 0
-    named = files.where(F.col("file").endswith(suffix)).select("file", F.substring("file", 1, width).alias("_p"))
-    found = records.withColumn("_p", prefix).join(named, "_p", "left").groupBy(key).agg(F.count("file").alias("n"), F.min("file").alias("file"))
-    if not found.where("n != 1").isEmpty():
+    Prefixes may have any lengths: a file offers its beginnings of all lengths that occur, at
+    most as many as a name has characters, and meets records by equality."""
+    asked = records.select(key, prefix.alias("_p"), (suffix if isinstance(suffix, Column) else F.lit(suffix)).alias("_s"))
+    lengths = F.broadcast(asked.agg(F.collect_set(F.length("_p")).alias("_l")))  # one row
+    begins = F.transform(F.filter("_l", lambda n: n <= F.length("file")), lambda n: F.left("file", n))
+    named = files.select("file").distinct().crossJoin(lengths).select("file", F.explode(begins).alias("_p"))
+    fits = asked.join(named, "_p", "left").where(F.col("file").isNull() | F.endswith("file", F.col("_s")))
+    found = asked.select(key).join(fits.groupBy(key).agg(F.count("file").alias("n"), F.min("file").alias("file")), key, "left")
+    if not found.where("coalesce(n, 0) != 1").isEmpty():
         raise ValueError("a record does not have exactly one file")
     return found.select(key, "file")
 
 
+#: The splits of a download manifest.
+SPLITS = ("development", "test")
+
+
+def download_violations(df: DataFrame) -> DataFrame:
+    """(subject_id, rule) of all rows of a download manifest (subject_id, split, psg_file,
+    psg_sha256, hypnogram_file, hypnogram_sha256) that break a rule: split, subject_id,
+    psg_file, psg_sha256, hypnogram_file, hypnogram_sha256, subject_repeats, file_repeats (listed
+    twice with one digest) and file_conflicts (with several). Texts count without outer blanks,
+    digests in lower case."""
+    clean = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("subject_id", "split", "psg_file", "hypnogram_file")}
+    clean |= {c: F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("psg_sha256", "hypnogram_sha256")}
+    rows = df.select(*[x.alias(c) for c, x in clean.items()])
+    name = lambda c: F.lower(c).endswith(".edf") & ~F.col(c).rlike(r"[/\\\\]") & (F.length(c) > 0)
+    checks = {"split": F.col("split").isin(*SPLITS), "subject_id": F.col("subject_id") != ""}
+    for role in ("psg", "hypnogram"):
+        checks |= {f"{role}_file": name(f"{role}_file"), f"{role}_sha256": F.col(f"{role}_sha256").rlike(SHA256)}
+    alone = rows.select("subject_id", F.explode(violations(checks)).alias("rule"))
+    twice = rows.groupBy("subject_id").count().where("count > 1").select("subject_id", F.lit("subject_repeats").alias("rule"))
+    listed = rows.select("subject_id", F.inline(F.array(*[F.struct(F.col(f"{r}_file").alias("file"), F.col(f"{r}_sha256").alias("sha256")) for r in ("psg", "hypnogram")])))
+    files = listed.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("sha256").alias("d"), F.min("subject_id").alias("subject_id")).where("n > 1")
+    return alone.unionByName(twice).unionByName(files.select("subject_id", F.when(F.col("d") > 1, "file_conflicts").otherwise("file_repeats").alias("rule")))
+
+
+def download_files(df: DataFrame, split: str) -> DataFrame:
+    """(subject_id, split, role, file, sha256) of one split or ``all``, after a check of the whole
+    manifest; a broken rule or a split without files raises."""
+    if split not in (*SPLITS, "all"):
+        raise ValueError(f"no split is called {split!r}")
+    broken = [f"{r['rule']}: {r['n']}, first {r['s']}" for r in download_violations(df).groupBy("rule").agg(F.count("*").alias("n"), F.min("subject_id").alias("s")).orderBy("rule").collect()]
+    if broken:
+        raise ValueError("; ".join(broken))
+    part = lambda r: F.struct(F.lit(r).alias("role"), F.trim(f"{r}_file").alias("file"), F.lower(F.trim(f"{r}_sha256")).alias("sha256"))
+    rows = df.where(F.lit(split == "all") | (F.trim("split") == split)).select(F.trim("subject_id").alias("subject_id"), F.trim("split").alias("split"), F.inline(F.array(part("psg"), part("hypnogram"))))
+    if rows.isEmpty():
+        raise ValueError(f"no files in split {split!r}")
+    return rows
+
+
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """file, bytes and modified of every file; contents are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def channel_type(name: Column) -> Column:
     """EOG, then EMG, then ECG or EKG in the name, else EEG."""
     n = F.upper(name)
