@@ -166,3 +166,32 @@ def test_correlation_against_every_window():
         want = 0.0 if np.ptp(v) == 0 else np.corrcoef(v, t)[0, 1]
         assert score[k] == pytest.approx(want, abs=1e-9) and amp[k] == pytest.approx((v @ (t - t.mean())) / ((t - t.mean()) @ (t - t.mean())))
     assert ok.all() and at[-1] == 375
+
+
+@pytest.mark.parametrize(("source", "target", "size", "chunk"), [(128.0, 100.0, 700, 500), (512.0, 100.0, 333, 60_000), (100.0, 256.0, 64, 900), (100.0, 100.0, 90, 50)])
+def test_resampling_does_not_depend_on_the_cut(spark, source, target, size, chunk):
+    from wavetally.sources import recordings
+
+    rng = np.random.default_rng(8)
+    records = {"a": rng.normal(size=3_000).cumsum() + 40, "b": rng.normal(size=130)}
+    records["a"][1_000:1_020] = np.nan
+    got = recordings.resampled(chunked(spark, records, size).withColumn("sample_rate_hz", F.lit(source)), target, chunk)
+    values, lost = whole(got), whole(got, "lost")
+    for k, x in records.items():
+        want = signals.resample(signals.fill_gaps(x), source, target)
+        origin = np.minimum(len(x) - 1, np.floor(np.arange(len(want)) / target * source + 1e-9).astype(int))
+        assert len(values[k]) == len(want) and np.abs(values[k] - want).max() < 1e-9
+        assert lost[k].tolist() == (~np.isfinite(x))[origin].tolist()
+
+
+def test_resampling_against_the_transform():
+    """The same taps over the signal with zeros between its samples, by one long convolution."""
+    x, up, down = np.random.default_rng(9).normal(size=400).cumsum(), 25, 32
+    half = 10 * down
+    taps = np.sinc(np.arange(-half, half + 1) / down) * np.kaiser(2 * half + 1, 5.0)
+    line = np.linspace(x[0], x[-1], len(x))
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x - line
+    at = np.arange(-(-len(x) * up // down)) * down
+    want = np.convolve(wide, taps * up / taps.sum())[half + at] + np.interp(at / up, np.arange(len(x)), line)
+    assert np.abs(signals.resample(x, 128, 100) - want).max() < 1e-9

@@ -6,6 +6,7 @@ They run inside grouped functions, one recording (or chunk with its halo) at a t
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 
@@ -133,27 +134,46 @@ def zero_phase(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
     return wide[pad:-pad]
 
 
-def resample(x: np.ndarray, source: float, target: float) -> np.ndarray:
-    """Rational-ratio resampling by a windowed sinc, the line through both ends kept."""
-    from fractions import Fraction
-
+def ratio_of(source: float, target: float) -> tuple[int, int]:
+    """target / source as up / down."""
     ratio = Fraction(target / source).limit_denominator(10_000)
-    up, down = ratio.numerator, ratio.denominator
+    return ratio.numerator, ratio.denominator
+
+
+def reach(up: int, down: int) -> int:
+    """Samples to either side that a resampled one depends on."""
+    return -(-10 * max(up, down) // up) + 1
+
+
+def resampled_part(x: np.ndarray, first: int, n: int, ends: tuple[float, float], up: int, down: int, start: int, stop: int) -> np.ndarray:
+    """The samples [start, stop) of a signal of ``n`` samples at up / down times its rate, from
+    its samples from ``first`` on, as far as they reach: a windowed sinc around every new sample,
+    with the line through both ``ends`` of the signal taken out before and put back."""
     x = np.asarray(x, float)
-    if up == down:
-        return x.copy()
-    line = np.linspace(x[0], x[-1], len(x)) if len(x) > 1 else x
-    n = -(-len(x) * up // down)
     half = 10 * max(up, down)
-    k = np.arange(-half, half + 1)
-    taps = np.sinc(k / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    taps = np.sinc(np.arange(-half, half + 1) / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
     taps *= up / taps.sum()
-    wide = np.zeros(len(x) * up)
-    wide[::up] = x - line
-    size = 1 << (len(wide) + len(taps)).bit_length()
-    full = np.fft.irfft(np.fft.rfft(wide, size) * np.fft.rfft(taps, size), size)
-    at = np.arange(n) * down
-    return full[half + at] + np.interp(at / up, np.arange(len(x)), line)
+    slope = (ends[1] - ends[0]) / (n - 1) if n > 1 else 0.0
+    flat = x - (ends[0] + slope * (first + np.arange(len(x))))
+    out = np.empty(stop - start)
+    wide = 2 * (half // up) + 2
+    for at in range(start, stop, 1 << 14):
+        t = np.arange(at, min(stop, at + (1 << 14)), dtype=np.int64) * down
+        k = -(-(t - half) // up)[:, None] + np.arange(wide)  # old samples within reach
+        far = half + t[:, None] - k * up
+        fits = (far >= 0) & (k >= first) & (k < first + len(x)) & (far <= 2 * half)
+        weight = np.where(fits, taps[np.clip(far, 0, 2 * half)], 0.0)
+        line = ends[0] + slope * np.minimum(t / up, n - 1)
+        out[at - start : at - start + len(t)] = (weight * flat[np.clip(k - first, 0, len(x) - 1)]).sum(axis=1) + line
+    return out
+
+
+def resample(x: np.ndarray, source: float, target: float) -> np.ndarray:
+    """Rational-ratio resampling of a whole signal."""
+    x, (up, down) = np.asarray(x, float), ratio_of(source, target)
+    if up == down:
+        return x.copy()
+    return resampled_part(x, 0, len(x), (x[0], x[-1]), up, down, 0, -(-len(x) * up // down))
 
 
 def fill_gaps(x: np.ndarray) -> np.ndarray:

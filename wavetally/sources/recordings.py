@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetally.functions import signals
+from wavetally.operators import filtering
 from wavetally.sources.edf import SCHEMAS, EdfSource
 
 CHUNKS = SCHEMAS["chunks"]
@@ -51,21 +53,40 @@ def one_channel(chunks: DataFrame, operation: str, a: str, b: str = "") -> DataF
 
 
 def resampled(chunks: DataFrame, target: float, chunk: int = 60_000) -> DataFrame:
-    """Each recording and channel at the rate ``target``: gaps are filled, the whole recording
-    is filtered at once, and samples that stem from a gap are marked in ``lost``. Null values
-    count as gaps; a recording without a finite sample raises."""
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk_idx")
-        x = np.concatenate([np.asarray(v, float) for v in rows["values"]])
-        source = float(rows["sample_rate_hz"].iloc[0])
-        y = signals.resample(signals.fill_gaps(x), source, target)
-        origin = np.minimum(len(x) - 1, np.floor(np.arange(len(y)) / target * source + 1e-9).astype(int))
-        lost, first = ~np.isfinite(x)[origin], rows.iloc[0]
-        out = [(first["record_id"], first["label"], i, at, target, y[at : at + chunk].tolist(), lost[at : at + chunk].tolist()) for i, at in enumerate(range(0, len(y), chunk))]
-        return pd.DataFrame(out, columns=[*(c.split()[0] for c in CHUNKS.split(", ")), "lost"])
-
-    return chunks.groupBy("record_id", "label").applyInPandas(of, CHUNKS + ", lost array<boolean>")
+    """Each recording and channel at the rate ``target``: gaps are filled across chunks, then
+    frames of samples with what the filter reaches to either side are resampled apart, and
+    samples that stem from a gap are marked in ``lost``. New chunks have ``chunk`` samples,
+    rounded up to a whole number of the ratio's. Null values count as gaps; a recording
+    without a finite sample raises. All recordings have one rate; several raise."""
+    rates = [r[0] for r in chunks.select("sample_rate_hz").distinct().limit(2).collect()]
+    if len(rates) > 1:
+        raise ValueError("the recordings have several rates")
+    schema = CHUNKS + ", lost array<boolean>"
+    if not rates:
+        return chunks.select("record_id", "label", "chunk_idx", "start_sample", "sample_rate_hz", "values", F.array().cast("array<boolean>").alias("lost"))
+    source = rates[0]
+    up, down = signals.ratio_of(source, target)
+    each = -(-chunk // up)
+    size, far = each * down, signals.reach(up, down)
+    whole = filtering.filled(chunks)
+    n, last = F.max(F.col("start_sample") + F.size("values")), F.element_at("values", -1)
+    ends = whole.groupBy("record_id", "label").agg(n.alias("n"), F.min_by(F.get("values", F.lit(0)), "start_sample").alias("first_value"), F.max_by(last, "start_sample").alias("last_value"))
+    ends = ends.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))))
+    framed = filtering.frames(whole.withColumn("values", F.arrays_zip("values", "lost")), size, far, far)
+    rows = framed.select("record_id", "label", "frame", "first_sample", F.transform("values", lambda v: v["values"]).alias("values"), F.transform("values", lambda v: v["lost"]).alias("lost"))
+    rows = rows.join(ends.hint("shuffle_hash"), ["record_id", "label", "frame"])
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                start, stop = r.frame * each * up, min((r.frame + 1) * each * up, -(-r.n * up // down))
+                y = signals.resampled_part(np.asarray(r.values, float), r.first_sample, r.n, (r.first_value, r.last_value), up, down, start, stop)
+                origin = np.minimum(r.n - 1, np.floor(np.arange(start, stop) / target * source + 1e-9).astype(np.int64)) - r.first_sample
+                out.append((r.record_id, r.label, r.frame, start, target, y, np.asarray(r.lost, bool)[origin]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.mapInPandas(of, schema)
 
 
 def exploded(chunks: DataFrame) -> DataFrame:
