@@ -402,7 +402,9 @@ class Probes:
         size = rows.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("n_i"), F.count_if(F.col("role") == 1).alias("n_p"))
         parts_of = lambda n: F.ceil(F.col(n) / block).cast("int")
         # Only buckets of more than one block: at most rows / block of them.
-        hot = size.where(F.greatest("n_i", "n_p") > block).select("key", parts_of("n_i").alias("b_i"), parts_of("n_p").alias("b_p"))
+        hot = written(size.where(F.greatest("n_i", "n_p") > block).select("key", parts_of("n_i").alias("b_i"), parts_of("n_p").alias("b_p")), "hot")
+        if hot.count() <= 1_000_000:  # else the rows are shuffled once more
+            hot = F.broadcast(hot)
         own = lambda n: F.pmod(F.xxhash64(names[-1] if pick is _linked else "node", F.lit(7)), F.col(n)).cast("int")
         to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         dealt = (
