@@ -59,6 +59,16 @@ def test_repeated_strings_go(spark, repeats, length):
     assert sorted((str(r["doc_id"]), r["n_bytes"], len(r["start"]), bytes(r["kept"])) for r in got) == want
 
 
+def test_repeated_strings_against_sql(spark, repeats, tmp_path):
+    table(spark, repeats).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op12_suffix_dedup(spark, str(tmp_path))
+    cur = con.execute(queries.REPEATS_SQL)
+    assert got.columns == [c[0] for c in cur.description]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, cur.fetchall()))
+
+
 def test_long_texts_come_in_slices(spark, monkeypatch):
     rng = random.Random(6)
     a = noise(rng, 5_000)

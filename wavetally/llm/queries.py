@@ -138,4 +138,19 @@ WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '
  kept AS (SELECT s.* FROM scored s LEFT JOIN inner_phrases o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.a IS NULL OR 100 * o.a < 100 * s.a)
 SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000"""
 
-ORACLE_SQL: dict[str, str] = {"op11_phrases": PHRASES_SQL}
+#: Windows of hex digits, two a byte, cut from parts of 455 bytes; runs of covered bytes; the rest.
+REPEATS_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ b AS (SELECT r, b, substr(x, (512 * b + 1)::BIGINT, 910) AS part FROM (SELECT r, x, unnest(range(0, length(x) // 512 + 1)) AS b FROM t WHERE length(x) >= 400)),
+ w AS (SELECT r, 256 * b + j AS i, substr(part, (2 * j + 1)::BIGINT, 400) AS s FROM (SELECT r, b, part, unnest(range(0, least(256, length(part) // 2 - 199))) AS j FROM b)),
+ k AS (SELECT r, i, md5_number(s) AS h FROM w),
+ d AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+ c AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM k SEMI JOIN d USING (h)),
+ g AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM c),
+ spans AS (SELECT r, run, min(i) AS a, max(i) + 200 AS e FROM g GROUP BY r, run),
+ cut AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM spans),
+ kept AS (SELECT t.r, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, (2 * last + 1)::BIGINT, (2 * (a - last))::BIGINT), '' ORDER BY a) || any_value(substr(x, (2 * m + 1)::BIGINT)) AS rest
+  FROM t JOIN cut ON cut.r = t.r JOIN (SELECT r, max(e) AS m FROM spans GROUP BY r) o ON o.r = t.r GROUP BY t.r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256 FROM t LEFT JOIN kept ON kept.r = t.r"""
+
+ORACLE_SQL: dict[str, str] = {"op11_phrases": PHRASES_SQL, "op12_suffix_dedup": REPEATS_SQL}
