@@ -360,7 +360,7 @@ def nms(spark, d):
 @query("nms_grouped", NMS)
 def nms_grouped(spark, d):
     """Cells of a few radii: most verdicts cross an edge."""
-    return _suppressed(spark, d, 3)
+    return _suppressed(spark, d, 8)
 
 
 @query("nms_zero_radius", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 1")
