@@ -11,6 +11,7 @@ whole key, unless one chain runs through all of it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,17 +69,36 @@ def suppress(df: DataFrame, keys: list[str], radius: float, center: str = "cente
     width, reach = max(radius, 1e-9) * cells, radius * (1 + 1e-9)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in light.schema)
 
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(ranks, kind="stable", na_position="last")
-        mine = frame["_own"].to_numpy(bool)
-        state = settle(frame["_c"].to_numpy(float), frame["state"].to_numpy(), mine, radius)
-        return frame.assign(state=state.astype(np.int32))[mine & (state != GOES)].drop(columns=["_own", "_cell"])
+    def settled(f: pd.DataFrame) -> pd.DataFrame:
+        group, center_, own = f["_g"].to_numpy(), f["_c"].to_numpy(float), f["_own"].to_numpy(bool)
+        state = f["state"].to_numpy().copy()
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if (own[a:e] & (state[a:e] == OPEN)).any():
+                state[a:e] = settle(center_[a:e], state[a:e], own[a:e], radius)
+        return f.assign(state=state.astype(np.int32)).loc[own & (state != GOES), names_out]
 
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in order of cells and then rank; the last cell of a batch waits for the next."""
+        held: pd.DataFrame | None = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            other = np.flatnonzero(f["_g"].to_numpy() != f["_g"].iloc[-1]) if len(f) else np.zeros(0, int)
+            last = int(other[-1]) + 1 if len(other) else 0
+            held = f.iloc[last:]
+            if last:
+                yield settled(f.iloc[:last])
+        if held is not None and len(held):
+            yield settled(held)
+
+    names_out = light.columns
+    inner = [x for n in ranks for x in (F.col(n).isNull(), F.col(n))]
     while not light.where(F.col("state") == OPEN).isEmpty():
         cell = lambda c, w=width: F.floor(c / w)
         at = F.array_distinct(F.array(cell(F.col("_c") - reach), cell(F.col("_c")), cell(F.col("_c") + reach)))
         dealt = light.withColumn("_cell", F.explode(at)).withColumn("_own", F.col("_cell") == cell(F.col("_c")))
-        light = kept(dealt.groupBy(*names, "_cell").applyInPandas(of, schema))
+        sorted_ = dealt.withColumn("_g", F.xxhash64(*names, "_cell")).repartition(*names, "_cell").sortWithinPartitions(*names, "_cell", *inner)
+        light = kept(sorted_.mapInPandas(of, schema))
         width *= 2
     stay = light.select(*[F.col(n).alias(f"{n}s") for n in names], F.col("_c").alias("_x"))
     same = [rows[n].eqNullSafe(stay[f"{n}s"]) for n in names] + [rows["_c"] == stay["_x"]]
