@@ -458,7 +458,8 @@ def sample_counts(spark, d):
 
 # ---------------------------------------------------------------- bootstrap
 def _study(spark, d):
-    return _pairs(spark, d).select("subject_id", F.col("candidate_events"), F.col("control_events"), F.round("hours", 6).cast("decimal(18,6)").alias("hours"))
+    """Hours in whole millionths, whose sums are exact."""
+    return _pairs(spark, d).select("subject_id", F.col("candidate_events"), F.col("control_events"), (F.round("hours", 6).cast("decimal(18,6)") * 1_000_000).cast("long").alias("hours"))
 
 
 DRAWS = """ids AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM {0})),
@@ -474,7 +475,7 @@ PILOT, CONFIRMATORY = 10_000, 50_000
 def bootstrap_cluster(spark, d):
     """The pilot's interval of the rate difference, from md5 draws of subjects."""
     out = bootstrap.hash_cluster(_study(spark, d), PILOT, "7")
-    difference = (F.col("candidate_events") - F.col("control_events")).cast("double") / F.col("hours").cast("double")
+    difference = (F.col("candidate_events") - F.col("control_events")).cast("double") / (F.col("hours") / 1_000_000)
     found = bootstrap.interval_columns(out.select(difference.alias("difference")))
     return found.select(F.col("n").alias("replicates"), F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
 
