@@ -120,9 +120,26 @@ def _sum_of_products(ratio, terms: Column) -> Column:
     return F.aggregate(count, zero, step, lambda s: s["sum"])
 
 
-def _logs(upto: Column, value) -> Column:
-    """Sum of ln value(j), j from 1 to ``upto``."""
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), upto), F.lit(0.0), lambda s, j: s + F.ln(value(j)))
+#: ln x! less Stirling's x ln x - x + ln(2 pi x) / 2, for x up to 15; zero for none.
+_SMALL = [0.0] + [math.lgamma(x + 1) - (x * math.log(x) - x + 0.5 * math.log(2 * math.pi * x)) for x in range(1, 16)]
+
+
+def _stirling_rest(x: Column) -> Column:
+    """What Stirling's formula lacks: a table, and the series from 16 on (to 1e-17)."""
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) + 1 / (1188 * x**9)
+    return F.when(x < 16, F.get(F.array(*[F.lit(v) for v in _SMALL]), x.cast("int"))).otherwise(series)
+
+
+def _log_factorial(x: Column) -> Column:
+    """ln x! of a whole number x >= 1, at the same cost for any."""
+    return x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + _stirling_rest(x)
+
+
+def _log_choose(n: Column, k: Column) -> Column:
+    """ln of the ways to choose k of n, 1 <= k < n; large terms are left out before they cancel."""
+    k = F.least(k, n - k)
+    r = n - k
+    return -k * F.ln(k / n) - r * F.log1p(-k / n) + 0.5 * F.ln(n / (2 * math.pi * k * r)) + _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(r)
 
 
 #: Newton steps; they stop moving after some ten.
@@ -150,7 +167,7 @@ def _tail_terms(n: Column) -> Column:
 def _binomial_bound(k: Column, n: Column, target: float) -> Column:
     """p with P(X >= k) = ``target`` in n trials, for 1 <= k <= n."""
     k, n = k.cast("double"), n.cast("double")
-    first = _logs(k.cast("long"), lambda j: (n - k + j) / j)
+    first = F.when(k < n, _log_choose(n, k)).otherwise(0.0)
     odds = lambda u: F.exp(u) / -F.expm1(u)
     spread = lambda u: _sum_of_products(lambda j: (n - k - j + 1) / (k + j) * odds(u), F.least((n - k).cast("long"), _tail_terms(n)))
     rise = _rise(k, first, lambda u: F.when(n > k, (n - k) * F.ln(-F.expm1(u))).otherwise(0.0), spread, target)
@@ -161,7 +178,7 @@ def _binomial_bound(k: Column, n: Column, target: float) -> Column:
 def _poisson_bound(k: Column, target: float) -> Column:
     """The mean with P(X >= k) = ``target``, for k >= 1."""
     k = k.cast("double")
-    first = -_logs(k.cast("long"), lambda j: j.cast("double"))
+    first = -_log_factorial(k)
     rise = _rise(k, first, lambda u: -F.exp(u), lambda u: _sum_of_products(lambda j: F.exp(u) / (k + j), _tail_terms(k) + 20), target)
     return F.exp(rise)
 
