@@ -14,11 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetally.operators.robust import finite
+from wavetally.operators.rounds import kept
 
 #: Cells of a histogram, and how often a range is narrowed before its values are counted one by one.
 CELLS, TIMES = 4096, 2
 
 
+#: Rows of a table that are broadcast whole, and rows of a key that are too many for one task.
+FEW, HOT = 100_000, 1_000_000
+
+
+def beside(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with a table of few rows a key, which has in ``n`` the number of a key's
+    rows. A small table is broadcast; of a large one its rows of hot keys, so that no key is read by
+    one task."""
+    table = kept(table)
+    if table.count() <= FEW:
+        return rows.join(F.broadcast(table), keys)
+    hot = table.where(F.col("n") > HOT)
+    cool = rows.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cool.join(table.where(F.col("n") <= HOT), keys))
+
+
 def _cell(v: Column, low: Column, high: Column) -> Column:
     """A halved difference cannot overflow; one value alone has cell zero."""
     share = (v / 2 - low / 2) / (high / 2 - low / 2)
@@ -30,15 +47,16 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Column) ->
     ``ranks``: an array of longs that may use ``n``, the number of those values."""
     rows = df.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v"))
     stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    stats = kept(stats)
     sought = stats.select(*keys, "n", F.explode(F.array_distinct(ranks)).alias("rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"))
     order = Window.partitionBy(*keys, "rank").orderBy("_c")
     for turn in range(TIMES + 1):
         last = turn == TIMES
         if turn == 0:  # all ranks of a key share its first histogram
-            seen = rows.join(stats, keys).groupBy(*keys, _cell(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_c")).agg(F.count("*").alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+            seen = beside(rows, stats, keys).groupBy(*keys, _cell(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_c")).agg(F.count("*").alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
             seen = seen.join(sought, keys)
         else:
-            inside = rows.join(sought, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            inside = beside(rows, sought, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
             place = F.col("_v") if last else _cell(F.col("_v"), F.col("_lo"), F.col("_hi"))
             seen = inside.groupBy(*keys, "n", "rank", "_below", place.alias("_c")).agg(F.count("*").alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
         upto = seen.withColumn("_upto", F.col("_below") + F.sum("_m").over(order))

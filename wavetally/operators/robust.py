@@ -12,11 +12,11 @@ def finite(c: Column) -> Column:
 
 def mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """1.4826 times the median distance from the median, of finite values, per key."""
-    from wavetally.operators.orderstats import quantiles
+    from wavetally.operators.orderstats import beside, quantiles
 
     rows = df.where(finite(F.col(value)))
-    med = quantiles(rows, keys, value, {"_m": 0.5}).select(*keys, "_m")
-    far = rows.join(med, keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    med = quantiles(rows, keys, value, {"_m": 0.5}).select(*keys, "n", "_m")
+    far = beside(rows.select(*keys, value), med, keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
     return quantiles(far, keys, "_d", {"_q": 0.5}).select(*keys, (1.4826 * F.col("_q")).alias("mad"))
 
 
