@@ -99,3 +99,17 @@ def test_fresh_credentials_of_every_format(model):
     assert all(found[k] >= 0.95 * n for k, n in all_.items()), (found, all_)
     # A length that no example has is another thing.
     assert formats("AIza" + "b" * 3 + "Sy7dQ2mXw9K", model) == []
+
+
+def test_every_token_of_the_corpus_counts(spark):
+    import random
+
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    rows = [(f"token=zq9_{''.join(rng.choices('XYZW0123456789', k=23 if i == 700 else 20))} {letters(20)}.",) for i in range(1500)]
+    mine = secrets.learn(spark.createDataFrame(rows, "text string").repartition(7))
+    # All labelled and all plain tokens weigh as much as 300; one among 1,500 counts as such.
+    assert mine.formats["zq9_"].lengths == pytest.approx({24: 300 * 1499 / 1500, 27: 300 / 1500})
+    assert sum(f.words for f in mine.formats.values()) == pytest.approx(300 + len(secrets.labelled_credentials()))
+    assert mine.plain.total[0] == pytest.approx(300 + len(secrets.labelled_plain() + secrets.labelled_ids()))
+    assert sum(mine.accepts(r[0].rpartition(" ")[2]) for r in rows) <= 1

@@ -10,7 +10,8 @@ characters and more.
 
 ``learn`` takes the corpus's own labelled credentials (the values of base spans) beside drawn
 examples of public formats, learns a second automaton from plain tokens of the corpus, and
-sets the least margin between both from other plain tokens of the corpus.
+sets the least margin between both from plain tokens of the corpus that the automaton has not
+seen. All distinct tokens are counted, by Spark; none is drawn.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import os
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,28 +104,72 @@ def _kind(c: str) -> str:
     return "digit" if c.isdigit() else "capital" if c.isupper() else "a-f" if c in "abcdef" else "g-z" if c.isalpha() else "mark"
 
 
+#: A state with less weight than this is too rare to be told from others.
+FEW = 4
+#: Lengths of prefixes that are counted together; longer tokens teach nothing.
+DEPTHS = (0, 4, 12, 128)
+
+
+def _after(state: str, c: str, often: set[str]) -> str:
+    """The state after one more character. A state is ``=`` and a prefix if that is ``often``
+    met; the rare ones are merged beforehand by their length and their last kind of character."""
+    if state[0] == "=" and state + c in often:
+        return state + c
+    depth = len(state) if state[0] == "=" else int(state[1:].partition(" ")[0]) + 1
+    return f"~{depth} {_kind(c)}"
+
+
+def _steps(words: Iterable[str], often: set[str]) -> Counter:
+    """(state, character) -> how many words pass there; the character is empty at their ends."""
+    out: Counter = Counter()
+    for w in words:
+        s = "="
+        for c in w:
+            out[s, c] += 1
+            s = _after(s, c, often)
+        out[s, ""] += 1
+    return out
+
+
+def _prefixes(words: Iterable[str]) -> set[str]:
+    return {"=" + w[:k] for w in words for k in range(len(w) + 1)}
+
+
 class Automaton:
-    """Probabilistic automaton: per state, counts and targets by character, and ends."""
-
-    def __init__(self, words: list[str], alpha: float = 0.02):
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [0]
-        for w in sorted(words):
-            s = 0
-            for c in w:
-                self.count[s][c] = self.count[s].get(c, 0) + 1
-                if c not in self.next[s]:
-                    self.next[s][c] = len(self.next)
-                    self.next.append({})
-                    self.count.append({})
-                    self.ends.append(0)
-                s = self.next[s][c]
-            self.ends[s] += 1
+    """Probabilistic automaton: per state, counts and targets by character, and ends. ``steps``
+    and ``often`` are those of ``_steps``; steps may have weights."""
+
+    def __init__(self, steps: dict[tuple[str, str], float], often: set[str], alpha: float = 0.02):
+        out: dict[str, dict[str, float]] = {}
+        for (s, c), n in steps.items():
+            out.setdefault(s, {})[c] = n
+        self.next: list[dict[str, int]] = []
+        self.count: list[dict[str, float]] = []
+        self.ends: list[float] = []
+        names, at = ["="], {"=": 0}
+        for s in names:  # grows
+            then = {}
+            for c in sorted(out.get(s, {}).keys() - {""}):
+                to = _after(s, c, often)
+                if to not in at:
+                    at[to] = len(names)
+                    names.append(to)
+                then[c] = at[to]
+            self.next.append(then)
+            self.count.append({c: out[s][c] for c in then})
+            self.ends.append(out.get(s, {}).get("", 0))
+        self._alias = list(range(len(names)))
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
+        del self._alias
         self.total = [sum(c.values()) + e for c, e in zip(self.count, self.ends, strict=True)]
 
+    def _now(self, s: int) -> int:
+        """The state that took in ``s``."""
+        while self._alias[s] != s:
+            self._alias[s] = s = self._alias[self._alias[s]]
+        return s
+
     def _total(self, s: int) -> int:
         return sum(self.count[s].values()) + self.ends[s]
 
@@ -143,12 +188,13 @@ class Automaton:
         return sum(abs(x.get(k, 0) / n - y.get(k, 0) / m) for k in sorted(x.keys() | y.keys())) + abs(self.ends[a] / n - self.ends[b] / m)
 
     def _compatible(self, red: int, blue: int) -> bool:
-        todo = [(red, blue)]
+        todo, seen = [(red, blue)], set()
         while todo:
-            a, b = todo.pop()
+            a, b = map(self._now, todo.pop())
             n, m = self._total(a), self._total(b)
-            if n < 4 or m < 4:
+            if a == b or (a, b) in seen or n < FEW or m < FEW:
                 continue  # too few to tell
+            seen.add((a, b))
             if self._differ(self.ends[a], n, self.ends[b], m):
                 return False
             x, y = self._kinds(a), self._kinds(b)
@@ -161,42 +207,45 @@ class Automaton:
                     todo.append((self.next[a][c], self.next[b][c]))
         return True
 
-    def _fold(self, red: int, blue: int) -> None:
+    def _fold(self, red: int, blue: int, depth: dict[int, int]) -> None:
+        """States that the same characters lead to become one; of two the red one stays."""
         todo = [(red, blue)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(self._now, todo.pop())
+            if a == b:
+                continue
+            if a not in depth and b in depth:
+                a, b = b, a
+            self._alias[b] = a
+            depth.pop(b, None)
             self.ends[a] += self.ends[b]
             for c, n in self.count[b].items():
                 self.count[a][c] = self.count[a].get(c, 0) + n
             for c, t in self.next[b].items():
                 if c in self.next[a]:
-                    if self.next[a][c] != t:
-                        todo.append((self.next[a][c], t))
+                    todo.append((self.next[a][c], t))
                 else:
                     self.next[a][c] = t
 
     def _merge(self) -> None:
         depth = {0: 0}
-        red = [0]
         while True:
-            blue = [(s, c, t) for s in red for c, t in sorted(self.next[s].items()) if t not in depth]
+            blue = next(((s, t) for s in depth for _, u in sorted(self.next[s].items()) if (t := self._now(u)) not in depth), None)
             if not blue:
                 break
-            s, c, t = blue[0]
+            s, t = blue
             # Of the compatible states the most similar one; the start never takes others in.
-            near = [(self._distance(r, t), r) for r in red if r and self._compatible(r, t)]
-            if near and min(near)[0] <= 0.4 + 2 / math.sqrt(max(1, self._total(t))):
-                r = min(near)[1]
-                self.next[s][c] = r
-                self._fold(r, t)
+            near = sorted((d, r) for r in depth if r and (d := self._distance(r, t)) <= 0.4 + 2 / math.sqrt(max(1, self._total(t))))
+            r = next((r for _, r in near if self._compatible(r, t)), None)
+            if r is not None:
+                self._fold(r, t, depth)
             else:
                 depth[t] = depth[s] + 1
-                red.append(t)
-        at = {s: i for i, s in enumerate(red)}
+        at = {s: i for i, s in enumerate(depth)}
         self.next, self.count, self.ends = (
-            [{c: at[t] for c, t in self.next[s].items()} for s in red],
-            [self.count[s] for s in red],
-            [self.ends[s] for s in red],
+            [{c: at[self._now(t)] for c, t in self.next[s].items()} for s in depth],
+            [self.count[s] for s in depth],
+            [self.ends[s] for s in depth],
         )
 
     def means(self, word: str) -> Iterator[float]:
@@ -233,16 +282,21 @@ class Automaton:
 
 class Format:
     """One format: what all its credentials begin with, an automaton of the rest, how long they
-    are, and the least likelihood of one. States of different beginnings are never merged, and a
-    length that no labelled credential has costs as much as one among a million."""
-
-    def __init__(self, words: list[str], held: list[str], fixed: bool, quantile: float, alpha: float):
-        self.prefix = os.path.commonprefix(words) if fixed else ""
-        self.automaton = Automaton([w[len(self.prefix) :] for w in words], alpha)
-        self.lengths, self.words = Counter(map(len, words)), len(words)
-        scores = sorted(x for w in held if (x := self.likelihood(w)) > -math.inf)
-        # Three deviations lower, as the characters of few examples are not evenly frequent.
-        self.cut = scores[int(quantile * len(scores))] - 3 * float(np.std(scores)) if scores else math.inf
+    are, and the least likelihood of one (``cut``). States of different beginnings are never
+    merged, and a length that no labelled credential has costs as much as one among a million."""
+
+    def __init__(self, prefix: str, automaton: Automaton, lengths: dict[int, float]):
+        self.prefix, self.automaton, self.cut = prefix, automaton, math.inf
+        self.lengths, self.words = lengths, sum(lengths.values())
+
+    def cut_at(self, scores: dict[float, int], quantile: float) -> None:
+        """scores: how many credentials have each likelihood."""
+        kept = sorted((x, n) for x, n in scores.items() if x > -math.inf)
+        if kept:
+            x, n = (np.array(k, float) for k in zip(*kept, strict=True))
+            least = x[np.searchsorted(np.cumsum(n), int(quantile * n.sum()), "right")]
+            # Three deviations lower, as the characters of few examples are not evenly frequent.
+            self.cut = float(least - 3 * math.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n)))
 
     def means(self, word: str) -> Iterator[float]:
         """As those of an automaton; the characters of the beginning are sure."""
@@ -260,26 +314,60 @@ class Format:
         return found[-1] + self.of_length(len(word)) if word and len(found) == len(word) else -math.inf
 
 
+class Labelled:
+    """What tokens teach: for each group (fixed beginnings of credentials, ``""`` for those
+    without one) how many begin so, what all begin with, their lengths and steps; for plain
+    tokens the steps of each half. Weights are numbers of tokens, or shares of them."""
+
+    def __init__(self, words: list[str], plain: list[str]):
+        self.words, self.plain = words, plain
+        self.heads, self.total = Counter(w[:4] for w in words), len(words)
+        self.ends: dict[str, list[str]] = {}  # by head, tokens between which all others stand
+        self.lengths: dict[str, Counter] = {}
+        self.steps: dict[str, Counter] = {}
+        self.often: dict[str, set[str]] = {"-": _prefixes(plain)}
+        for w in words:
+            self.ends.setdefault(w[:4], []).append(w)
+
+    def group(self) -> None:
+        """Settles the groups, once ``heads`` and ``ends`` are complete, and adds the drawn words."""
+        #: Fixed beginnings of formats: only these tell where a glued credential starts.
+        self.fixed = {h for h, n in self.heads.items() if n >= max(3, 0.02 * self.total)}
+        self.prefix = {h: os.path.commonprefix(self.ends[h]) for h in self.fixed} | {"": ""}
+        for h, prefix in self.prefix.items():
+            mine = [w for w in self.words if self.head(w) == h]
+            self.often[h] = _prefixes(w[len(prefix) :] for w in mine)
+            self.steps[h] = _steps((w[len(prefix) :] for w in mine), self.often[h])
+            self.lengths[h] = Counter(map(len, mine))
+
+    def head(self, word: str) -> str:
+        return word[:4] if word[:4] in self.fixed else ""
+
+
 class Model:
     """Formats of credentials, by their fixed beginning (``""``: those without one), and an
     automaton of plain tokens. A token is accepted if its likelihood as a credential reaches the
     lowest ``quantile`` of fresh labelled ones of its format (random parts vary) and exceeds its
     likelihood as a plain token by ``margin``."""
 
-    def __init__(self, words: list[str] | None = None, plain: list[str] | None = None, held: list[str] | None = None, quantile: float = 0.002, alpha: float = 0.02, margin: float = 0.0):
-        words, held = words or labelled_credentials(), held or labelled_credentials(100, seed=7)
-        self.plain = Automaton(plain or labelled_plain() + labelled_ids(), alpha)
+    def __init__(self, known: Labelled | None = None, held: list[str] | None = None, quantile: float = 0.002, alpha: float = 0.02, margin: float = 0.0):
+        held = held or labelled_credentials(100, seed=7)
+        if known is None:
+            known = Labelled(labelled_credentials(), labelled_plain() + labelled_ids())
+            known.group()
+        plain = _steps(known.plain, known.often["-"])
+        halves = [known.steps[k] for k in ("-0", "-1") if k in known.steps]
+        self.plain = Automaton(_sum(plain, *halves), known.often["-"], alpha)
+        #: Automata of plain tokens that have not seen the first, the second half of the corpus.
+        self.others = [Automaton(_sum(plain, h, h), known.often["-"], alpha) for h in reversed(halves)]
         #: A sub-run longer than this is no credential of a labelled format.
-        self.longest = 2 * max(map(len, words))
-        heads = Counter(w[:4] for w in words)
-        #: Fixed beginnings of formats: only these tell where a glued credential starts.
-        self.heads = {h for h, n in heads.items() if n >= max(3, 0.02 * heads.total())}
+        self.longest = 2 * max(n for lengths in known.lengths.values() for n in lengths)
+        self.heads, self.margin, self.quantile = known.fixed, margin, quantile
         self.formats: dict[str, Format] = {}
-        for h in sorted(self.heads | {""}):
-            mine = [w for w in words if self._head(w) == h]
-            if mine:
-                self.formats[h] = Format(mine, [w for w in held if self._head(w) == h] or mine, h != "", quantile, alpha)
-        self.margin = margin
+        for h in sorted(known.prefix):
+            if known.lengths[h]:
+                self.formats[h] = Format(known.prefix[h], Automaton(known.steps[h], known.often[h], alpha), known.lengths[h])
+                self.formats[h].cut_at(Counter(self.formats[h].likelihood(w) for w in held if self._head(w) == h), quantile)
 
     def _head(self, word: str) -> str:
         return word[:4] if word[:4] in self.heads else ""
@@ -287,16 +375,23 @@ class Model:
     def format_of(self, word: str) -> Format | None:
         return self.formats.get(self._head(word))
 
-    def over(self, word: str) -> float:
+    def over(self, word: str, plain: Automaton | None = None) -> float:
         """How much likelier a character of the word is as one of a credential."""
         f = self.format_of(word)
         s = f.likelihood(word) if f else -math.inf
-        return s - self.plain.smoothed(word) if f and s >= f.cut else -math.inf
+        return s - (plain or self.plain).smoothed(word) if f and s >= f.cut else -math.inf
 
     def accepts(self, word: str) -> bool:
         return self.over(word) > self.margin
 
 
+def _sum(*steps: Counter) -> Counter:
+    out: Counter = Counter()
+    for one in steps:
+        out.update(one)
+    return out
+
+
 # ---------------------------------------------------------------- spans
 def _formats(run: bytes, model: Model) -> list[tuple[int, int]]:
     """Accepted candidates of a run: the whole run, or else the sub-runs between marks, or
@@ -358,13 +453,16 @@ def spans(text: bytes, model: Model | None, bytes_: bool = False) -> list[tuple[
     return [(s, e, KINDS[k]) for s, e, k in found]
 
 
-def learn(docs: DataFrame, text_col: str = "text", sample: int = 300) -> Model:
-    """A model of the corpus: about ``sample`` values of base spans and the drawn examples as
-    labelled credentials, about ``sample`` plain tokens of the corpus and the drawn ones as
-    plain. Of about ten times as many other plain tokens, and of fresh drawn identifiers, at most
-    one in a thousand exceeds the margin. All texts are read; distinct values of up to 128
-    characters are chosen by a hash (longer ones teach nothing). An empty table gives the model
-    of the drawn examples."""
+def learn(docs: DataFrame, text_col: str = "text", weight: int = 300) -> Model:
+    """A model of the corpus, from all distinct tokens of up to 128 characters (longer ones teach
+    nothing) of all its texts: values of base spans are labelled credentials, others plain tokens.
+
+    Only counts reach the driver: beginnings, lengths, and the steps of the tokens through a
+    prefix tree whose rare states are merged (``_after``); all labelled and all plain tokens weigh
+    as much as ``weight`` ones beside the drawn examples, if they are more. A format that no drawn
+    example has takes its cut from all its tokens. At most one in a thousand of all plain tokens
+    exceeds the margin, each judged by an automaton of the other half of them, and of fresh drawn
+    identifiers. An empty table gives the model of the drawn examples."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "_text"):
@@ -379,17 +477,80 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = 300) -> Model:
             rows = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string())], names=["label", "token"])
 
-    tokens = docs.select(text_bytes(text_col).alias("_text")).mapInArrow(of, "label boolean, token string").where("length(token) <= 128").distinct()
+    tokens = docs.select(text_bytes(text_col).alias("_text")).mapInArrow(of, "label boolean, token string").where(F.length("token") <= DEPTHS[-1]).distinct()
     tokens = written(tokens, "tokens")
-    n = {r[0]: r[1] for r in tokens.groupBy("label").count().collect()}
-    draw = F.pmod(F.xxhash64("token", F.lit(12)), F.lit(1 << 30))
-    wanted = F.when(F.col("label"), sample / max(1, n.get(True, 0))).otherwise(11 * sample / max(1, n.get(False, 0)))
-    rows = tokens.where(draw < wanted * (1 << 30)).orderBy("label", draw, "token").collect()
+    known = Labelled(labelled_credentials(), labelled_plain() + labelled_ids())
+    number = {r[0]: r[1] for r in tokens.groupBy("label").count().collect()}
+    share = {k: weight / max(weight, n) for k, n in number.items()}
+    head = F.substring("token", 1, 4).alias("head")
+    begin = tokens.where("label").groupBy(head).agg(F.count("*").alias("n"), F.min("token").alias("a"), F.max("token").alias("z"))
+    for r in begin.where((F.col("n") * share.get(True, 1) >= 1) | F.col("head").isin(list(known.heads))).collect():
+        known.heads[r["head"]] += r["n"] * share[True]
+        known.ends.setdefault(r["head"], []).extend((r["a"], r["z"]))
+    known.total += number.get(True, 0) * share.get(True, 1)
+    known.group()
+    fixed = F.substring("token", 1, 4).isin(list(known.fixed))
+    g = F.when(~F.col("label"), "-").when(fixed, F.substring("token", 1, 4)).otherwise("").alias("g")
+    lead = F.coalesce(*[F.when(F.col("g") == h, len(p)) for h, p in known.prefix.items()], F.lit(0))
+    half = F.pmod(F.xxhash64("token", F.lit(12)), F.lit(2)).cast("int").alias("half")
+    rows = tokens.select("label", "token", g, half).withColumn("rest", F.substr("token", lead + 1))
+    few = FEW / F.when(F.col("g") == "-", share.get(False, 1)).otherwise(share.get(True, 1))
+    longer = rows.select("g", "rest")
+    for a, b in zip(DEPTHS, DEPTHS[1:], strict=False):
+        if a:  # only what goes on from a prefix that is often met
+            deep = [g + p for g, often in known.often.items() for p in often if len(p) == a + 1]
+            longer = longer.where(F.concat("g", F.lit("="), F.substring("rest", 1, a)).isin(deep)) if deep else longer.where("false")
+        starts = longer.where(F.length("rest") > a).select("g", F.explode(F.sequence(F.lit(a + 1), F.least(F.lit(b), F.length("rest")))).alias("k"), "rest")
+        for r in starts.groupBy("g", F.substr("rest", F.lit(1), F.col("k")).alias("p")).count().where(F.col("count") >= few).collect():
+            known.often[r["g"]].add("=" + r["p"])
+    _count_steps(rows, known, share)
+    model = Model(known)
+    own = {h for h, f in model.formats.items() if f.cut == math.inf}
+    if own:
+        got = _scored(rows.where(F.col("label") & F.col("g").isin(list(own))), model, lambda w, _: model.formats[model._head(w)].likelihood(w))
+        for h in own:
+            model.formats[h].cut_at({x: n for (k, x), n in got.items() if k == h}, model.quantile)
+    judged = _scored(rows.where(~F.col("label")), model, lambda w, k: model.over(w, model.others[k])) if number.get(False) else {}
     drop_written(tokens)
-    labelled, plain = ([r["token"] for r in rows if r["label"] == kind] for kind in (True, False))
-    first = Model(labelled + labelled_credentials(), plain[:sample] + labelled_plain() + labelled_ids())
-    first.margin = max(_margin(first, plain[sample:]), _margin(first, labelled_ids(250, seed=45)))
-    return first
+    over, room = 0.0, number.get(False, 0) // 1000
+    for (_, x), n in sorted(judged.items(), key=lambda i: -i[0][1]):
+        room -= n
+        if x <= 0 or room < 0:
+            over = max(0.0, x)
+            break
+    model.margin, model.others = max(over, _margin(model, labelled_ids(250, seed=45))), []
+    return model
+
+
+def _count_steps(rows: DataFrame, known: Labelled, share: dict[bool, float]) -> None:
+    """Adds to ``known`` the lengths and steps of all ``rows`` (label, token, g, half, rest)."""
+    often = known.often
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words: dict[str, list[str]] = {}
+            for key, half, rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words.setdefault(f"-{half}" if key == "-" else key, []).append(rest)
+            made = [(k, s, c, n) for k, mine in words.items() for (s, c), n in _steps(mine, often[k[:1] if k in ("-0", "-1") else k]).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["g", "s", "c", "n"])
+
+    steps = rows.select("g", "half", "rest").mapInArrow(of, "g string, s string, c string, n long").groupBy("g", "s", "c").agg(F.sum("n").alias("n"))
+    for r in steps.collect():
+        known.steps.setdefault(r["g"], Counter())[r["s"], r["c"]] += r["n"] * share[r["g"] not in ("-0", "-1")]
+    for r in rows.where("label").groupBy("g", F.length("token").alias("k")).count().collect():
+        known.lengths[r["g"]][r["k"]] += r["count"] * share[True]
+
+
+def _scored(rows: DataFrame, model: Model, score) -> Counter:
+    """(g, score) -> number of ``rows``; scores are rounded up to 1e-4."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = Counter((key, math.ceil(x * 1e4) / 1e4 if x > -math.inf else x) for key, half, w in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in (score(w, half),))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64()), pa.array(list(got.values()), pa.int64())], names=["g", "x", "n"])
+
+    found = rows.select("g", "half", "token").mapInArrow(of, "g string, x double, n long").groupBy("g", "x").agg(F.sum("n").alias("n"))
+    return Counter({(r["g"], r["x"]): r["n"] for r in found.collect()})
 
 
 def _margin(model: Model, plain: list[str]) -> float:
