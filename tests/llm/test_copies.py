@@ -109,3 +109,24 @@ def test_group_under_the_cut_gives_few_pairs(spark):
     got = {r["doc_id"]: r["component_id"] for r in Watched(spark.createDataFrame(rows, DOCS)).classes().collect()}
     assert got == plain_components(rows, 0.8, 14)
     assert found[1] < 1000  # of 11,175 pairs, most of them near in fingerprints
+
+
+def test_picked_rows_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from wavetally.llm.simhash import _picked
+
+    rows = spark.range(0, 100_000, 1, 3).select(F.monotonically_increasing_id().alias("uid"), F.col("id"), F.lit("x").alias("text"))
+    wanted = rows.where("id % 7 = 3 or id in (0, 32767, 32768, 99999)").select("uid", "id")
+    got = _picked(rows, wanted.select("uid").unionByName(wanted.select("uid").limit(5)))
+    assert got.columns == rows.columns
+    assert sorted(r["id"] for r in got.select("id").collect()) == sorted(r["id"] for r in wanted.select("id").collect())
+    assert _picked(rows, wanted.select("uid").limit(0)).count() == 0
+    # Only blocks of bits meet in an exchange, also where no table may be broadcast by itself.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got._jdf.queryExecution().optimizedPlan().toString() + _picked(rows, wanted.select("uid"))._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -467,6 +467,18 @@ def similar(a: np.ndarray, b: np.ndarray, cut: float) -> bool:
     return both >= cut * (len(a) + len(b) - both) - 1e-9
 
 
+def _picked(rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``uid`` (a number that ascends within a partition) is in ``uids``.
+    A broadcast bit for each row of ``rows`` says so, in blocks of 32,768, so no text is shuffled."""
+    at = F.col("uid") + 1  # positive numbers have blocks without overlap
+    blocks = uids.select(F.bitmap_bucket_number(at).alias("_block"), F.bitmap_bit_position(at).alias("_at"))
+    blocks = blocks.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    placed = rows.select("*", F.bitmap_bucket_number(at).alias("_block"), F.bitmap_bit_position(at).alias("_at"))
+    byte = F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (F.col("_at") % 8).cast("int"))
+    return placed.join(F.broadcast(blocks), "_block").where(bit == 1).drop("_block", "_at", "_bits")
+
+
 class Copies:
     """Near copies among ``docs``: texts whose sets of ``shingle`` words have a Jaccard
     similarity of ``cut`` or more, and chains of such texts.
@@ -510,6 +522,7 @@ class Copies:
         rep = F.min(F.struct(at.isNull().alias("no_id"), at.alias("id"), F.col("uid").alias("uid"))).alias("rep")
         nodes = written(self.rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", *SKETCHES)], rep, F.count("*").alias("n")), "nodes")
         self.total = nodes.agg(F.sum("n")).first()[0] or 0
+        self.reps = nodes.select("node", "rep")
         probes = Probes(nodes, radius, cut=cut)
         met = probes.written_pairs(nodes, _nearest)
         first = met.where("u != v")
@@ -539,7 +552,8 @@ class Copies:
         shingle, cut = self.shingle, self.cut
         pairs = written(pairs, "near")
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        texts = self.rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first(F.col("doc").getField(text_col)).alias("text"))
+        reps = self.reps.join(ends, "node", "left_semi").select(F.col("rep.uid").alias("uid"))
+        texts = _picked(self.rows.select("uid", "node", F.col("doc").getField(text_col).alias("text")), reps)
         texts = written(texts.select("node", text_bytes("text")), "texts")
 
         def beside(rows: DataFrame, end: str, share: int = 64) -> DataFrame:
@@ -586,4 +600,4 @@ class Copies:
     def first_of_each(self) -> DataFrame:
         """``docs`` with one row of each class: the least id; of its repeated rows one."""
         stay = self.nodes.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.uid").alias("uid"))
-        return self.rows.join(stay, "uid", "left_semi").select("doc.*")
+        return _picked(self.rows, stay).select("doc.*")
