@@ -343,6 +343,9 @@ class Probes:
                 best, self.groups, self.near, self.masks = mean, gs, near, all_masks
         if best == np.inf:
             raise ValueError("no number of partitions reaches this radius")
+        # Sent once: within the function each query of a slice would have a copy of its own.
+        self.tables = fps.sparkSession.sparkContext.broadcast((self.near, self.masks))
+        self.near = self.masks = None
 
     def _cost(self, fp: np.ndarray, groups, near, all_masks) -> np.ndarray:
         v, options = values(fp, groups), len(all_masks[0])
@@ -358,6 +361,7 @@ class Probes:
         if sized, ``size``."""
         schema = pa.schema([("key", pa.int64()), ("role", pa.int8()), *((c, pa.int64()) for c in names)])
         total = self.radius - len(self.groups) + 1
+        near, all_masks = self.tables.value
         for whole in batches:
             step = min(2048, 6144 // len(names))  # rows of many columns make larger batches
             for at in range(0, whole.num_rows, step):
@@ -367,13 +371,13 @@ class Probes:
                 level = np.zeros(len(v), np.int64)
                 if self.cut is not None:
                     level = np.floor(np.log(np.maximum(np.asarray(b.column("size")), 1)) / -np.log(self.cut)).astype(np.int64)
-                chosen = allot(self._cost(columns[0], self.groups, self.near, self.masks), total)
+                chosen = allot(self._cost(columns[0], self.groups, near, all_masks), total)
                 chosen[~np.asarray(b.column("asks"))] = -1
                 for k in only:
                     own = v[:, k] | (k << 32) | (level << 36)
                     for up in (0, 1) if self.cut is not None else (0,):
                         yield as_batch(schema, own + (up << 36), np.zeros(len(v), np.int8), *columns)
-                    for t, m in enumerate(self.masks[k]):
+                    for t, m in enumerate(all_masks[k]):
                         who = np.flatnonzero(chosen[:, k] == t)
                         if len(who):
                             keys = (own[who][:, None] ^ m[None, :]).ravel()
@@ -403,12 +407,13 @@ class Probes:
         parts_of = lambda n: F.ceil(F.col(n) / block).cast("int")
         # Only buckets of more than one block: at most rows / block of them.
         hot = written(size.where(F.greatest("n_i", "n_p") > block).select("key", parts_of("n_i").alias("b_i"), parts_of("n_p").alias("b_p")), "hot")
-        if hot.count() <= 1_000_000:  # else the rows are shuffled once more
+        buckets = hot.count()
+        if buckets <= 1_000_000:  # else the rows are shuffled once more
             hot = F.broadcast(hot)
         own = lambda n: F.pmod(F.xxhash64(names[-1] if pick is _linked else "node", F.lit(7)), F.col(n)).cast("int")
         to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         dealt = (
-            rows.join(hot, "key", "left")
+            (rows.join(hot, "key", "left") if buckets else rows.withColumns({"b_i": F.lit(1), "b_p": F.lit(1)}))
             .withColumn("b_i", F.greatest(F.coalesce("b_i", F.lit(1)), F.lit(1)))
             .withColumn("b_p", F.greatest(F.coalesce("b_p", F.lit(1)), F.lit(1)))
             .withColumn("x", F.explode(F.when(F.col("role") == 0, F.array(own("b_i"))).otherwise(to("b_i"))))
@@ -540,11 +545,14 @@ class Copies:
         placed = written(placed, "placed")
         second = probes.written_pairs(placed, _possible)
         more = self._similar(second.join(first, ["u", "v"], "left_anti"), text_col)
-        for t in (met, second, groups, placed):
+        for t in (met, second, placed):
             drop_written(t)
-        comp = nodes.join(connected_components(links.unionByName(more)), "node", "left")
+        probes.tables.destroy()
+        # The stars of the first round stand for its links.
+        stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        comp = nodes.join(connected_components(stars.unionByName(more)), "node", "left")
         self.nodes = written(comp.select("node", "rep", "n", F.coalesce("component", "node").alias("component")), "classes")
-        for t in (links, more, nodes):
+        for t in (links, more, groups, nodes):
             drop_written(t)
 
     def _similar(self, pairs: DataFrame, text_col: str) -> DataFrame:

@@ -249,6 +249,7 @@ def _fit(words: DataFrame, marks: list[str], steps: int, ridge: float) -> tuple[
         if done:
             break
     drop_written(blocks)
+    shared.destroy()
     return landmarks.table(theta), float(theta[-1])
 
 
@@ -363,6 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
         table, bias = _fit(drawn, list(dict.fromkeys(marks)), 8, ridge)
         drop_written(drawn)
         drop_written(now)
+        shared.destroy()
     raw = Scorer(table, bias)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
